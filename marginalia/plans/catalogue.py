@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from marginalia.plans import reads  # noqa: F401
+from marginalia.plans.base import ORACLE, QUERIES
+
 FLAGSHIP = "flagship"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
