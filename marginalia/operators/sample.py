@@ -94,8 +94,8 @@ def copied(questions: DataFrame, passages: DataFrame, n: int = COPY_WORDS) -> Da
     Each side gives its distinct runs; a semi join on the run finds the questions, and no pair is ever
     formed, however many passages hold the same run.
     """
-    a = questions.select("q_id", F.explode(shingles(C.question_normalize(F.col("q")), n)).alias("run"))
-    b = passages.select(F.explode(shingles(C.question_normalize(F.col("text")), n)).alias("run")).distinct()
+    a = questions.select("q_id", C.question_normalize(F.col("q")).alias("norm")).select("q_id", F.explode(shingles(F.col("norm"), n)).alias("run"))
+    b = passages.select(C.question_normalize(F.col("text")).alias("norm")).select(F.explode(shingles(F.col("norm"), n)).alias("run")).distinct()
     return a.join(b, "run", "left_semi").select("q_id").distinct()
 
 

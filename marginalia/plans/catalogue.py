@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marginalia.plans import reads  # noqa: F401
+from marginalia.plans import reads, relations, texts  # noqa: F401
 from marginalia.plans.base import ORACLE, QUERIES
 
 FLAGSHIP = "flagship"
