@@ -72,10 +72,10 @@ def language_models(docs: DataFrame, text: str = "text", label: str = "lang", pe
 
 
 def text_languages(docs: DataFrame, models: CharModels, key: str = "id", text: str = "text", keep: tuple[str, ...] = (), segments: bool = False) -> DataFrame:
-    """key, the columns `keep`, lang, confidence and langs (all languages of the text) of each row; with
+    """key, the columns `keep`, language, confidence and languages (all that the text is in) of each row; with
     `segments` instead key, segment_no, start_pos, end_pos, lang and confidence of each sentence.
 
-    A text without sentences (headings, tables or code only) is judged as one segment.  lang is null
+    A text without sentences (headings, tables or code only) is judged as one segment.  The language is null
     where every segment is rejected.
     """
     shared = docs.sparkSession.sparkContext.broadcast(models)
@@ -91,9 +91,9 @@ def text_languages(docs: DataFrame, models: CharModels, key: str = "id", text: s
                     yield pd.DataFrame(rows, columns=["k", "segment_no", "start_pos", "end_pos", "lang", "confidence"])
                 else:
                     out = pdf.drop(columns="t")
-                    out["_lang"] = [g[0] for g in got]
+                    out["language"] = [g[0] for g in got]
                     out["confidence"] = [g[1] for g in got]
-                    out["langs"] = [g[2] for g in got]
+                    out["languages"] = [g[2] for g in got]
                     yield out
 
     kind = docs.schema[key].dataType.simpleString()
@@ -101,14 +101,14 @@ def text_languages(docs: DataFrame, models: CharModels, key: str = "id", text: s
     if segments:
         return slim.mapInPandas(run, f"k {kind}, segment_no int, start_pos int, end_pos int, lang string, confidence double").withColumnRenamed("k", key)
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return slim.mapInPandas(run, f"k {kind}{extra}, _lang string, confidence double, langs array<string>").withColumnRenamed("k", key)
+    return slim.mapInPandas(run, f"k {kind}{extra}, language string, confidence double, languages array<string>").withColumnRenamed("k", key)
 
 
 def language_corrections(docs: DataFrame, models: CharModels, key: str = "id", text: str = "text", label: str = "lang") -> DataFrame:
     """key, lang: for a missing or wrong label the text's language, for a mixed text each of its languages."""
     got = text_languages(docs, models, key, text, keep=(label,))
-    wrong = label_missing_sql(F.col(label)) | ~label_sql(F.col(label)).eqNullSafe(F.col("_lang"))
-    rows = got.filter("_lang is not null").withColumn("out", F.when(F.size("langs") > 1, F.col("langs")).when(wrong, F.array("_lang")))
+    wrong = label_missing_sql(F.col(label)) | ~label_sql(F.col(label)).eqNullSafe(F.col("language"))
+    rows = got.filter("language is not null").withColumn("out", F.when(F.size("languages") > 1, F.col("languages")).when(wrong, F.array("language")))
     return rows.select(key, F.explode("out").alias("lang"))
 
 

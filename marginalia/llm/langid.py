@@ -18,7 +18,7 @@ LANGS = ("en", "vi", "ja", "zh", "fr", "de", "ko")
 ORDER = 4
 VOCABULARY = 6000  # of the uniform distribution below order 1
 
-_NOISE = regex.compile(r"https?://[!-~]+|[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9.-]+|`[^`\n]*`|[A-Za-z0-9_./%-]*[0-9][A-Za-z0-9_./%-]*|[^\p{L}\p{M}'’]+")
+_NOISE = regex.compile(r"https?://[!-~]+|(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9.-]+|`[^`\n]*`|(?<![A-Za-z0-9_./%-])[A-Za-z0-9_./%-]*[0-9][A-Za-z0-9_./%-]*|[^\p{L}\p{M}'’]+")
 _SPACELESS = regex.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
 _SPACES = regex.compile(r" {2,}")
 _MARKS = regex.compile(r"\p{M}+")
@@ -157,7 +157,7 @@ def _train(rows: list[tuple[str, list[str]]], langs: tuple[str, ...]) -> CharMod
     keys: list[np.ndarray] = [None] * ORDER  # type: ignore[list-item]
     cnt: list[np.ndarray] = [None] * ORDER  # type: ignore[list-item]
     for order in range(ORDER, 0, -1):
-        union = np.unique(np.concatenate([k for k, _ in counts]))
+        union = np.unique(np.concatenate([np.zeros(1, np.uint64), *(k for k, _ in counts)]))  # never empty
         c = np.zeros((len(union), len(langs)))
         for j, (k, n) in enumerate(counts):
             c[np.searchsorted(union, k), j] = n

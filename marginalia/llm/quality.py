@@ -54,11 +54,11 @@ _HAN = regex.compile(r"[㐀-䶿一-鿿豈-﫿]")
 _HANGUL = regex.compile(r"[가-힯]")
 _CODE = regex.compile(r"(?<![A-Za-z0-9])[A-Z]{1,4}-?[A-Z]?[0-9][A-Za-z0-9-]*")
 _MARK = regex.compile(r"[ \t　]*(?:[-*+•‣◦–—][ \t]+(?:\[[ xX]?\][ \t]*)?|・[ \t]*|\(?\d{1,3}[.)）．、][ \t　]*|\(?[a-zA-Z][.)][ \t]+|[①-⑳][ \t]*|\[[ xX]?\][ \t]+|[☐☑✓✔▪●○■□][ \t]*)")
-_LINK = regex.compile(r"\[([^\]\n]*)\]\([^)\n]*\)")
-_URL = regex.compile(r"(?i)<?https?://[!-;=?-~]+>?|[a-z0-9_.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+")
+_LINK = regex.compile(r"\[([^\[\]\n]{0,400})\]\([^()\n]{0,2000}\)")
+_URL = regex.compile(r"(?i)<?https?://[!-;=?-~]+>?|(?<![a-z0-9_.+-])[a-z0-9_.+-]{1,64}@[a-z0-9-]+(?:\.[a-z0-9-]+)+")
 _FINAL = regex.compile(r"[.!?…。！？｡．]+[\"'”’»«“」』）)\]]*\Z")
 _HEAD = regex.compile(r"[ \t]*#{1,6}\s")
-_ROW_SEP = regex.compile(r"\s+[·|»›→/–—•>~]+\s+|[,;、，；|•·]\s*|\t+|\s*／\s*")
+_ROW_SEP = regex.compile(r"(?<!\s)\s+[·|»›→/–—•>~]+\s+|[,;、，；|•·]\s*|\t+|／")
 _MOJI = regex.compile(r"[\u00C2-\u00F4][\u0080-\u00BF\u0152\u0153\u0160\u0161\u0178\u017D\u017E\u0192\u02C6\u02DC\u2013-\u203A\u20AC\u2122\uFFFD]")
 _DAMAGE = regex.compile(r"[\uFFFD\u0080-\u009F\u0000-\u0008\u000E-\u001F\p{Co}\p{Cn}]")
 _ENCODED = regex.compile(r"(?:[A-Za-z0-9+/_-]{28,}={0,2})|(?:\b[0-9a-fA-F]{4}\b[ \t]*){4,}|(?:\b[0-9a-fA-F]{2}\b[ \t:]*){8,}|(?:%[0-9A-Fa-f]{2}){3,}|(?:\\[ux][0-9A-Fa-f]{2,4}){3,}")
@@ -67,7 +67,7 @@ _LOG = regex.compile(
     r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d:\d\d(?:[.,]\d+)?\b.*(?:\[|\b(?:DEBUG|INFO|WARN|ERR|ERROR|TRACE|FATAL)\b|0x[0-9a-f]+|=)|^\s*at [\w.$<>]+\(|^\s*File \"|^Traceback|^\s*(?:GET|POST|PUT) /|\b0x[0-9a-fA-F]{6,}\b.*=|"
     r"^\s*[{}\[\]();]+,?\s*$|^\s*\"[\w-]+\"\s*:|^\s*[.#]?[\w-]+\s*\{|^\s*(?:var|let|const|function|import|return|if|for)\b.*[;{]\s*$"
 )
-_ODD_IN_WORD = regex.compile(r"(?<=[\p{L}\p{M}])[{}|¦~#!;^\\<>$%@*=+_0-9&](?=\p{L})|(?<=[぀-ヿ一-鿿가-힯])[{}|¦~#!;^\\<>$@*=](?=[぀-ヿ一-鿿가-힯\s]|\Z)|(?<=\s|^)[{}|¦~#;^\\](?=[\p{L}])")
+_ODD_IN_WORD = regex.compile(r"(?<=[\p{Latin}\p{M}])[{}|¦~#!;^\\<>$%@*=+_0-9&](?=\p{Latin})|(?<=[぀-ヿ一-鿿가-힯])[{}|¦~#!;^\\<>$@*=](?=[぀-ヿ一-鿿가-힯\s]|\Z)|(?<=\s|^)[{}|¦~#;^\\](?=[\p{L}])")
 _KO_FINAL = regex.compile(r"[다요까오죠네자][.!?。\"'”」)]*\Z")
 _JA_BODY = regex.compile(r"[ぁ-ん一-鿿ァ-ヶーA-Za-z0-9][はをがにでへもと][^\s]|[ぁ-ん]{3}")
 _JA_FINAL = regex.compile(r"(?:ます|ません|です|ました|でした|ください|た|だ|る|い|か|ん|う|く|す|つ|ぬ|む|ぶ|よ|ね|と)[。．.！？!?…｡]*[」』）)\"]*\Z")
@@ -231,10 +231,10 @@ def _junk_share(lines: list[str]) -> float:
     marks = len(_rx(r"[\p{S}\p{P}]").findall(_rx(r"(?m)[|:]?[ \t]*-{2,}|^[ \t]*[-*+>#|]+|\|").sub(" ", body)))
     if marks > letters and letters + marks > 20 and len(_rx(r"\p{L}{3,}").findall(body)) < 3:
         share = max(share, 0.95)
-    odd = len(_ODD_IN_WORD.findall(_CODE.sub("", _rx(r"https?://\S+|[\w.+-]{1,64}@[\w.-]+|(?<![\w/.-])[\w/.-]{1,80}\.\w{2,4}\b|<\|[^|>\s]{0,40}\|>").sub(" ", body))))
+    odd = len(_ODD_IN_WORD.findall(_CODE.sub("", _rx(r"https?://\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+|(?<![\w/.-])[\w/.-]{1,80}\.\w{2,4}\b|<\|[^|>\s]{0,40}\|>").sub(" ", body))))
     if letters and odd / letters > 0.035:
         share = max(share, 0.9)
-    words = [w for w in _rx(r"[\p{L}\p{M}]+").findall(_CODE.sub(" ", _rx(r"https?://\S+|[\w.+-]{1,64}@[\w.-]+|`[^`\n]*`").sub(" ", body)))]
+    words = [w for w in _rx(r"[\p{L}\p{M}]+").findall(_CODE.sub(" ", _rx(r"https?://\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+|`[^`\n]*`").sub(" ", body)))]
     latin = [w for w in words if _rx(r"\p{Latin}").match(w)]
     if len(latin) >= 6 and sum(map(len, latin)) > 0.5 * letters:
         strange = sum(_odd_word(w) for w in latin) / len(latin)

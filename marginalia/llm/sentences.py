@@ -80,7 +80,7 @@ _WORD_AFTER = regex.compile(r"[\p{L}\p{M}]+")
 
 _LINE = regex.compile(r"[^\r\n  \x0b\x0c\x85]*(?:\r\n|[\r\n  \x0b\x0c\x85]|\Z)")
 _FENCE = regex.compile(r"[ \t]*(`{3,}|~{3,})(.*)", regex.S)
-_HEADING = regex.compile(r"[ \t]{0,3}#{1,6}(?:[ \t　]|\Z)")
+_HEADING = regex.compile(r"[ \t]{0,3}#{1,6}(?:\s|\Z)")
 _RULE = regex.compile(r"[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})\Z")
 _SETEXT = regex.compile(r"[ \t]{0,3}(?:=+|-+)[ \t]*\Z")
 _QUOTE = regex.compile(r"[ \t]*(?:>[ \t]?)+")

@@ -24,7 +24,8 @@ from marginalia.tables import current_rows, filled, spread
 LIMIT, OVERLAP = 450, 40
 LEVELS = ("heading", "paragraph", "line", "sentence", "word", "hard")
 _HEADING = regex.compile(r"(?m)^[ \t]{0,3}#{1,6}(?=[ \t])")
-_PARAGRAPH = regex.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)\s*(?=\S)")
+_BLANKS = regex.compile(r"\s+")
+_NEWLINES = regex.compile(r"\r\n|\n|\r")
 _LINE = regex.compile(r"(?:\r\n|\n|\r)")
 
 
@@ -50,7 +51,7 @@ def boundaries(text: str, sentences: bool = True) -> list[np.ndarray]:
     """Sorted positions of each level but the last; no level holds 0 or the end."""
     n = len(text)
     heading = [m.start() for m in _HEADING.finditer(text)]
-    paragraph = [m.end() for m in _PARAGRAPH.finditer(text)]
+    paragraph = [m.end() for m in _BLANKS.finditer(text) if len(_NEWLINES.findall(m.group())) > 1]
     line = [m.end() for m in _LINE.finditer(text)]
     sentence = [s for s, _ in sentence_spans(text)] if sentences else []
     k = class_codes(text)
