@@ -18,7 +18,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from marginalia.tables import run_sql
+from marginalia.tables import cut_lineage, run_sql
 
 NONE = "(none)"
 #: Keys shorter than this allow no edits, one edit, or else two; keys of spaceless scripts allow none.
@@ -129,34 +129,33 @@ FROM r LATERAL VIEW explode(sequence(0, k)) s AS seg WHERE k > 0
 #: What follows an abbreviated first word.
 ABBREVIATED = "regexp_extract(f, r'^[a-z]{3,}[.] *([^.]+)$', 1)"
 
+DISTINCT_VALUES = r"SELECT DISTINCT tag FROM <<tags>> WHERE tag IS NOT NULL AND tag rlike r'[^\p{IsWhite_Space}]'"
+
 VALUES = rf"""
-WITH folded AS (SELECT tag, {fold_sql("tag")} AS f FROM (SELECT DISTINCT tag FROM <<tags>> WHERE tag IS NOT NULL AND tag rlike r'[^\p{{IsWhite_Space}}]'))
+WITH folded AS (SELECT tag, {fold_sql("tag")} AS f FROM <<distinct_values>>)
 SELECT tag, {key_sql(words_sql("f"))} AS key,
     regexp_extract(f, r'^([a-z]{{3,}})[.] *[^.]+$', 1) AS prefix,
     {key_sql(words_sql(ABBREVIATED))} AS other_words
 FROM folded
 """
 
-# one row per way to find a value's reference; for every reference length within k of the value's, every
-# segment at up to k places from where it is in the reference
+# one row per way to find a value's reference, in one pass over the values; for every reference length
+# within k of the value's, every segment at up to k places from where it is in the reference
+_K = f"CASE WHEN len < {ONE_EDIT} THEN 0 WHEN len < {TWO_EDITS} THEN 1 ELSE 2 END"
+_SIZE = f"((seg + 1) * len) div ({_K} + 1) - (seg * len) div ({_K} + 1)"
+_NEAR = f"""
+flatten(transform(filter(sequence(greatest(length(key) - 2, 1), length(key) + 2), len -> ({_K}) > 0 AND abs(length(key) - len) <= ({_K})), len ->
+    flatten(transform(sequence(0, {_K}), seg -> transform(
+        filter(sequence(-({_K}), {_K}), move -> 1 + (seg * len) div ({_K} + 1) + move >= 1 AND (seg * len) div ({_K} + 1) + move + {_SIZE} <= length(key)),
+        move -> struct(key AS wanted, 'near' AS kind, len AS len, seg AS seg, substr(key, 1 + (seg * len) div ({_K} + 1) + move, {_SIZE}) AS part))))))"""
+_NOTHING = "array()"
 PARTS_OF_VALUES = f"""
-WITH keyed AS (
-    SELECT tag, key, '' AS prefix, 'same' AS kind, 0 AS len, 0 AS seg, key AS part FROM <<vals>> WHERE key <> ''
-    UNION ALL
-    SELECT tag, translate(key, '{LEET_FROM}', '{LEET_TO}'), '', 'same', 0, 0, translate(key, '{LEET_FROM}', '{LEET_TO}') FROM <<vals>> WHERE key rlike '[a-z]' AND key rlike '[0-9$@]'
-    UNION ALL
-    SELECT tag, key, prefix, 'short', 0, 0, other_words FROM <<vals>> WHERE prefix <> '' AND other_words <> ''
-), lens AS (
-    SELECT tag, key, len, CASE WHEN len < {ONE_EDIT} THEN 0 WHEN len < {TWO_EDITS} THEN 1 ELSE 2 END AS k
-    FROM <<vals>> LATERAL VIEW explode(sequence(greatest(length(key) - 2, 1), length(key) + 2)) l AS len WHERE key <> '' AND NOT key rlike '{_CJK}'
-), segs AS (
-    SELECT tag, key, len, k, seg, 1 + (seg * len) div (k + 1) AS at, ((seg + 1) * len) div (k + 1) - (seg * len) div (k + 1) AS size
-    FROM lens LATERAL VIEW explode(sequence(0, k)) s AS seg WHERE k > 0 AND abs(length(key) - len) <= k
-)
-SELECT * FROM keyed
-UNION ALL
-SELECT DISTINCT tag, key, '' AS prefix, 'near' AS kind, len, seg, substr(key, at + move, size) AS part
-FROM segs LATERAL VIEW explode(sequence(-k, k)) m AS move WHERE at + move >= 1 AND at + move + size - 1 <= length(key)
+SELECT tag, prefix, p.wanted AS key, p.kind, p.len, p.seg, p.part FROM (SELECT tag, prefix, explode(array_distinct(concat(
+    array(struct(key AS wanted, 'same' AS kind, 0 AS len, 0 AS seg, key AS part)),
+    CASE WHEN key rlike '[a-z]' AND key rlike '[0-9$@]' THEN array(struct(translate(key, '{LEET_FROM}', '{LEET_TO}') AS wanted, 'same' AS kind, 0 AS len, 0 AS seg, translate(key, '{LEET_FROM}', '{LEET_TO}') AS part)) ELSE {_NOTHING} END,
+    CASE WHEN prefix <> '' AND other_words <> '' THEN array(struct(key AS wanted, 'short' AS kind, 0 AS len, 0 AS seg, other_words AS part)) ELSE {_NOTHING} END,
+    CASE WHEN key rlike '{_CJK}' THEN {_NOTHING} ELSE {_NEAR} END))) AS p
+FROM <<vals>> WHERE key <> '')
 """
 
 MATCHES = f"""
@@ -173,7 +172,7 @@ SELECT tag, b.term AS canonical, b.score AS score FROM least WHERE size(filter(a
 RESOLVED = f"""
 SELECT tag, canonical, score FROM <<matches>>
 UNION ALL
-SELECT v.tag, '{NONE}' AS canonical, CAST(NULL AS INT) AS score FROM <<vals>> v LEFT ANTI JOIN <<matches>> m ON v.tag = m.tag
+SELECT v.tag, '{NONE}' AS canonical, CAST(NULL AS INT) AS score FROM <<distinct_values>> v LEFT ANTI JOIN <<matches>> m ON v.tag = m.tag
 """
 
 # the map of values is met by salted rows, so that a value that a third of all rows hold is spread
@@ -190,10 +189,10 @@ def resolve(tags: DataFrame, terms: DataFrame) -> DataFrame:
     sql = run_sql
     refs = sql(REFERENCES, terms=terms.select("tag", "synonyms"))
     segments = sql(SEGMENTS_OF_REFERENCES, refs=refs)
-    values = sql(VALUES, tags=tags.select("tag"))
-    parts = sql(PARTS_OF_VALUES, vals=values)
-    matches = sql(MATCHES, parts=parts, segments=segments)
-    return sql(RESOLVED, matches=matches, vals=values)
+    distinct_values = sql(DISTINCT_VALUES, tags=tags.select("tag"))
+    parts = sql(PARTS_OF_VALUES, vals=sql(VALUES, distinct_values=distinct_values))
+    matches = cut_lineage(sql(MATCHES, parts=parts, segments=segments))  # read twice below
+    return sql(RESOLVED, matches=matches, distinct_values=distinct_values)
 
 
 def applied(doc_tags: DataFrame, terms: DataFrame) -> DataFrame:
