@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,40 @@ EXTRA = ("department", "region", "customer", "effective_from", "effective_to", "
 DOC_COLUMNS = ("id", "path", "type", "title", "description", "lang", "status", "updated", *EXTRA, "reserved", "fm_state", "tokens")
 
 
+class Tables(Mapping):
+    """Tables of a folder by name, each read when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str, names: tuple[str, ...]):
+        self._spark, self._folder, self._names, self._read = spark, folder, names, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._names:
+            raise KeyError(name)
+        if name not in self._read:
+            self._read[name] = table(self._spark, self._folder, name)
+        return self._read[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._names)
+
+    def __len__(self) -> int:
+        return len(self._names)
+
+
 @dataclass
 class Bundle:
     """docs (with body), tags (doc_id, ord, tag, norm, folded, canonical), vocabulary (tag, synonyms, facet,
-    description), datasets by name, and vectors (chunk_id, doc_id, vec)."""
+    description), datasets by name, and a reader of vectors (chunk_id, doc_id, vec)."""
 
     docs: DataFrame
     tags: DataFrame
     vocabulary: DataFrame
-    datasets: dict[str, DataFrame] = field(default_factory=dict)
-    vectors: DataFrame | None = None
+    datasets: Mapping[str, DataFrame] = field(default_factory=dict)
+    read_vectors: Callable[[], DataFrame] | None = None
+
+    @property
+    def vectors(self) -> DataFrame | None:
+        return self.read_vectors() if self.read_vectors else None
 
     @property
     def spark(self) -> SparkSession:
@@ -87,6 +112,9 @@ def from_testdata(spark: SparkSession, folder: str) -> Bundle:
     tags = table(spark, folder, "doc_tags").select("doc_id", "ord", "tag").distinct().filter(C.blank_to_null(F.col("tag")).isNotNull())
     tags = tags.withColumn("norm", C.normalize_tag(F.col("tag"))).withColumn("folded", C.fold(F.col("norm")))
     vocabulary = table(spark, folder, "terms")
-    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("doc_id"), F.col("embedding").alias("vec"))
     names = ("sales", "price_list", "inventory", "customer", "orders", "lineitem", "part", "supplier", "nation", "region", "events")
-    return Bundle(docs, canonical_tags(tags, vocabulary), vocabulary, {n: table(spark, folder, n) for n in names}, vectors)
+
+    def vectors() -> DataFrame:
+        return table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("doc_id"), F.col("embedding").alias("vec"))
+
+    return Bundle(docs, canonical_tags(tags, vocabulary), vocabulary, Tables(spark, folder, names), vectors)

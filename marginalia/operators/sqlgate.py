@@ -13,6 +13,7 @@ import re
 import threading
 import time
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,26 +85,25 @@ def inspect(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
 class Gate:
     """Datasets behind the rules; `sources` names the file that each table comes from."""
 
-    def __init__(self, datasets: dict[str, DataFrame], sources: dict[str, str] | None = None, labels: dict[str, dict[str, str]] | None = None):
+    def __init__(self, datasets: Mapping[str, DataFrame], sources: dict[str, str] | None = None, labels: dict[str, dict[str, str]] | None = None):
         self.datasets, self.sources, self.labels = datasets, sources or {}, labels or {}
-        self.spark = next(iter(datasets.values())).sparkSession
+        self.spark = SparkSession.active()
 
-    def visible(self, scope: Scope = EVERYTHING) -> dict[str, DataFrame]:
+    def visible(self, scope: Scope = EVERYTHING) -> list[str]:
         """Tables whose source path (without extension) the path rules allow."""
         if not (scope.allow or scope.deny):
-            return dict(self.datasets)
+            return sorted(self.datasets)
         paths = {n: re.sub(r"\.[^./]+$", "", self.sources.get(n, n)) for n in self.datasets}
         rows = self.spark.createDataFrame(list(paths.items()), "name string, path string")
-        ok = {r["name"] for r in rows.filter(scope.path(rows["path"])).collect()}
-        return {n: df for n, df in self.datasets.items() if n in ok}
+        return sorted(r["name"] for r in rows.filter(scope.path(rows["path"])).collect())
 
     def schema_rows(self, scope: Scope = EVERYTHING) -> DataFrame:
         """table_name, position, column_name, label, type, source of the visible tables."""
-        rows = [(n, i, f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString(), self.sources.get(n, n)) for n, df in sorted(self.visible(scope).items()) for i, f in enumerate(df.schema.fields)]
+        rows = [(n, i, f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString(), self.sources.get(n, n)) for n in self.visible(scope) for i, f in enumerate(self.datasets[n].schema.fields)]
         return self.spark.createDataFrame(rows, "table_name string, position int, column_name string, label string, type string, source string")
 
     def tables(self, scope: Scope = EVERYTHING) -> list[dict]:
-        return [{"name": n, "source": self.sources.get(n, n), "rows": df.count(), "columns": [(f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString()) for f in df.schema.fields]} for n, df in sorted(self.visible(scope).items())]
+        return [{"name": n, "source": self.sources.get(n, n), "rows": self.datasets[n].count(), "columns": [(f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString()) for f in self.datasets[n].schema.fields]} for n in self.visible(scope)]
 
     def plan(self, sql: str, scope: Scope = EVERYTHING) -> DataFrame:
         """The checked query as a DataFrame of the gate's own session."""
@@ -118,9 +118,9 @@ class Gate:
         session = self.spark.newSession()
         session.conf.set("spark.sql.ansi.enabled", "false")
         session.conf.set("spark.sql.runSQLOnFiles", "false")
-        for n, df in tables.items():
+        for n in tables:
             if n.lower() in relations:
-                self._share(session, n, df)
+                self._share(session, n, self.datasets[n])
         if SCHEMA_TABLE in relations:
             self._share(session, SCHEMA_TABLE, self.schema_rows(scope))
         try:
