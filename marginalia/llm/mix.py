@@ -112,7 +112,8 @@ def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     t = t.filter("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.when(F.count("max_repeats") == F.count(F.lit(1)), F.max("max_repeats")).alias("max_repeats"))
     weights = F.sum("weight").over(Window.partitionBy(F.lit(0)))  # the targets are a small table
     t = t.withColumn("share", F.when(weights > 0, F.col("weight") / weights).otherwise(0.0))
-    hist = lengths.groupBy("source", F.col("n_tokens").alias("length"), "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # kept: it is read twice, and the texts must not be tokenized twice
+    hist = cut_lineage(lengths.groupBy("source", F.col("n_tokens").alias("length"), "bucket").agg(F.count(F.lit(1)).alias("n")))
     sums = hist.groupBy("source").agg(F.sum(F.col("length") * F.col("n")).alias("tokens"), F.sum("n").alias("documents"))
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per listed source
     report = t.join(sums, "source", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
