@@ -82,8 +82,12 @@ def _words(s: str) -> list[str]:
 
 def _phrase(s: str) -> str:
     """A stretch without its marker, link target, emphasis and code numbers."""
-    s = _URL.sub(" ", _LINK.sub(r"\1", s))
-    s = _MARK.sub("", s, count=1)
+    if "](" in s:
+        s = _LINK.sub(r"\1", s)
+    if "@" in s or "://" in s:
+        s = _URL.sub(" ", s)
+    if m := _MARK.match(s):
+        s = s[m.end() :]
     return _CODE.sub("", s).strip(" \t*_`|")
 
 
@@ -219,11 +223,11 @@ def _junk_share(lines: list[str]) -> float:
     body = _LINK.sub(r"\1", "\n".join(lines)).strip()
     if not body:
         return 0.0
-    n = max(1, sum(1 for c in body if not c.isspace()))
+    n = max(1, len("".join(body.split())))
     damaged = sum(len(m.group()) for m in _MOJI.finditer(body)) + len(_DAMAGE.findall(body))
     share = min(1.0, 3.0 * damaged / n) if damaged / n > 0.04 else 0.0
-    encoded = sum(len(m.group().replace(" ", "")) for m in _ENCODED.finditer(_URL.sub(" ", body)))
-    tags = sum(len(m.group()) for m in _TAG.finditer(body))
+    encoded = sum(len(m.group().replace(" ", "")) for m in _ENCODED.finditer(_URL.sub(" ", body) if "://" in body or "@" in body else body))
+    tags = sum(len(m.group()) for m in _TAG.finditer(body)) if "<" in body or "&" in body else 0
     logs = sum(len(x) for x in lines if _LOG.search(x))
     share = max(share, encoded / n, tags / n, logs / max(1, sum(map(len, lines))))
     # symbols in place of letters
@@ -231,22 +235,22 @@ def _junk_share(lines: list[str]) -> float:
     marks = len(_rx(r"[\p{S}\p{P}]").findall(_rx(r"(?m)[|:]?[ \t]*-{2,}|^[ \t]*[-*+>#|]+|\|").sub(" ", body)))
     if marks > letters and letters + marks > 20 and len(_rx(r"\p{L}{3,}").findall(body)) < 3:
         share = max(share, 0.95)
-    odd = len(_ODD_IN_WORD.findall(_CODE.sub("", _rx(r"https?://\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+|(?<![\w/.-])[\w/.-]{1,80}\.\w{2,4}\b|<\|[^|>\s]{0,40}\|>").sub(" ", body))))
-    if letters and odd / letters > 0.035:
-        share = max(share, 0.9)
-    words = [w for w in _rx(r"[\p{L}\p{M}]+").findall(_CODE.sub(" ", _rx(r"https?://\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+|`[^`\n]*`").sub(" ", body)))]
-    latin = [w for w in words if _rx(r"\p{Latin}").match(w)]
-    if len(latin) >= 6 and sum(map(len, latin)) > 0.5 * letters:
-        strange = sum(_odd_word(w) for w in latin) / len(latin)
-        common = sum(w.lower() in COMMON for w in latin) / len(latin)
-        if strange > 0.25 and common < 0.15:
+    odd = len(_ODD_IN_WORD.findall(body))
+    if letters and odd / letters > 0.035:  # codes, links and file names hold such characters too
+        odd = len(_ODD_IN_WORD.findall(_CODE.sub("", _rx(r"https?://\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+|(?<![\w/.-])[\w/.-]{1,80}\.\w{2,4}\b|<\|[^|>\s]{0,40}\|>").sub(" ", body))))
+        if odd / letters > 0.035:
+            share = max(share, 0.9)
+    plain = _rx(r"https?://\S+|(?<![\w.+-])[\w.+-]{1,64}@[\w.-]+|`[^`\n]*`").sub(" ", body) if "://" in body or "@" in body or "`" in body else body
+    latin = _rx(r"[\p{Latin}\p{M}]+").findall(_CODE.sub(" ", plain))
+    if len(latin) >= 6 and sum(map(len, latin)) > 0.5 * letters and sum(w.lower() in COMMON for w in latin) < 0.15 * len(latin):
+        if sum(map(_odd_word, latin)) > 0.25 * len(latin):
             share = max(share, 0.9)
     tokens = body.split()
     if len(tokens) >= 12:
         tiny = sum(len(t) <= 2 for t in tokens) / len(tokens)
-        real = sum(bool(_rx(r"[\p{L}\p{M}'’]{3,}[.,;:!?]?").fullmatch(t)) for t in tokens) / len(tokens)
-        if tiny > 0.8 and real < 0.1 and not _CJK.search(body) and not _rx(r"\d{2}").search(body):
-            share = max(share, 0.9)
+        if tiny > 0.8 and not _CJK.search(body) and not _rx(r"\d{2}").search(body):
+            real = sum(bool(_rx(r"[\p{L}\p{M}'’]{3,}[.,;:!?]?").fullmatch(t)) for t in tokens) / len(tokens)
+            share = max(share, 0.9 if real < 0.1 else 0.0)
     return min(1.0, share)
 
 
