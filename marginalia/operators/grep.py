@@ -77,11 +77,12 @@ def totals(hits: DataFrame) -> DataFrame:
     return hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0)).alias("total_lines"), F.count(F.lit(1)).alias("total_docs"))
 
 
-def with_context(hits: DataFrame, context: int = 1, key: str = "id") -> DataFrame:
+def with_context(hits: DataFrame, context: int = 1, key: str = "id", most: int | None = None) -> DataFrame:
     """key, line, text (at most LINE_CHARS characters) and hit; windows of `context` lines around the hits,
-    merged, no line twice."""
+    merged, no line twice; with `most` only the first lines of each document."""
     c = max(0, min(5, context))
     near = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(F.greatest(h - c, F.lit(1)), F.least(h + c, F.size("lines")))))))
+    near = F.slice(near, 1, most) if most else near
     rows = hits.select(key, "hits", "lines", F.explode(near).alias("line"))
     return rows.select(key, "line", F.substring(F.get("lines", F.col("line") - 1), 1, LINE_CHARS).alias("text"), F.array_contains("hits", F.col("line")).alias("hit"))
 
@@ -90,12 +91,12 @@ def budgeted(hits: DataFrame, limit: int = 40, context: int = 1, key: str = "id"
     """The first rows of the best documents (most matching lines, then key) within an output budget: a
     document's head costs one, each line one.
 
-    The budget is at most 200, so at most 200 documents are looked at; they are taken by a top-k before
-    the running sum, which then is small whatever the input.
+    The budget is at most 200, so at most 200 documents and 200 lines of each are looked at; they are taken
+    by a top-k before the running sum, which then is small whatever the input.
     """
     n = max(1, min(200, limit))
     top = hits.withColumn("matches", F.size("hits")).orderBy(F.desc("matches"), key).limit(n)
-    lines = with_context(top, context, key).join(top.select(key, "matches"), key)
+    lines = with_context(top, context, key, n).join(top.select(key, "matches"), key)
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("matches"), key, "line")
     first = F.row_number().over(Window.partitionBy(key).orderBy("line")) == 1
     cost = F.sum(F.when(F.col("first"), 2).otherwise(1)).over(w)

@@ -42,6 +42,9 @@ class Context:
     generated: DataFrame | None = None  # id, fields array<string>, verified boolean
     schemas: DataFrame | None = None  # type, field, kind, required, allowed array<string>
     links: DataFrame | None = None
+    parsed: DataFrame | None = None  # path, id, frontmatter (JSON), fm_state, error: of files read from a folder
+    vocabulary_state: str = "valid"  # or absent, invalid
+    broken_schemas: tuple[str, ...] = ()  # paths of type schemas that can't be read
     disabled: frozenset[str] = frozenset()
     extra: list[Callable[[Context], DataFrame]] = field(default_factory=list)
 
@@ -113,7 +116,7 @@ def _index_contents(c: Context) -> list[DataFrame]:
     index = c.bundle.docs.filter((F.col("id") == "index") | F.col("id").endswith("/index")).select("id", "path", C.id_dir(F.col("id")).alias("folder"))
     children = c.docs.select(C.id_dir(F.col("id")).alias("folder"), F.col("id").alias("child"))
     lost = index.join(children, "folder").join(links.select(F.col("src").alias("id"), F.col("target").alias("child")), ["id", "child"], "left_anti")
-    stale = lost.groupBy("path").agg(F.array_join(F.slice(F.array_sort(F.collect_set("child")), 1, 20), ", ").alias("m"))
+    stale = lost.groupBy("path").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" not linked, the first: "), F.min("child")).alias("m"))
     logs = access.headings_of(c.bundle.docs.filter((F.col("id") == "log") | F.col("id").endswith("/log"))).filter((F.col("level") == 2) & ~C.is_iso_date(F.col("text")))
     return [diagnostic(stale, "stale-index", F.col("path"), F.col("m")), diagnostic(logs, "log-date-heading", F.concat("id", F.lit(".md")), F.col("text"), F.col("line"))]
 
@@ -157,6 +160,27 @@ def _schemas(c: Context) -> list[DataFrame]:
     ]
 
 
+def _files(c: Context) -> list[DataFrame]:
+    """Rules on the files themselves, and on the bundle's own documents of terms and types."""
+    spark, out = c.bundle.spark, []
+    one = lambda code, paths: diagnostic(spark.createDataFrame([(p,) for p in paths], "path string"), code, F.col("path"))
+    if c.vocabulary_state != "valid":
+        out.append(one("no-vocabulary" if c.vocabulary_state == "absent" else "invalid-vocabulary", ["_meta/vocabulary.md"]))
+    if c.broken_schemas:
+        out.append(one("invalid-schema", list(c.broken_schemas)))
+    if c.parsed is None:
+        return out
+    p = c.parsed
+    type_ = F.try_variant_get(F.try_parse_json("frontmatter"), "$.type", "variant")
+    keys = F.json_object_keys("frontmatter")
+    index = (F.col("id") == "index") | F.col("id").endswith("/index")
+    extra = F.when(F.col("id") == "index", F.size(F.array_except(keys, F.array(F.lit("okf_version")))) > 0).otherwise(F.size(keys) > 0)
+    out.append(diagnostic(p.filter("error is not null"), "unreadable", F.col("path"), F.col("error")))
+    out.append(diagnostic(p.filter(F.schema_of_variant(type_) != "STRING").filter(F.schema_of_variant(type_) != "VOID"), "invalid-type", F.col("path"), fld="type"))
+    out.append(diagnostic(p.filter(index & (F.col("fm_state") == "valid") & F.coalesce(extra, F.lit(False))), "index-frontmatter", F.col("path")))
+    return out
+
+
 def _links(c: Context) -> list[DataFrame]:
     links = access.resolve_wiki(c.links if c.links is not None else c.bundle.links(), c.bundle.docs.select("id"))
     lost = access.broken(links, c.bundle.docs.select("id")).join(c.docs.select(F.col("id").alias("src"), "path"), "src")
@@ -165,7 +189,7 @@ def _links(c: Context) -> list[DataFrame]:
 
 def lint(c: Context) -> DataFrame:
     """All diagnostics, equal ones once."""
-    parts = [_filters(c), *_tags(c), *_structure(c), *_index_contents(c), *_supersedes(c), *_generated(c), *_schemas(c), *_links(c), *(r(c) for r in c.extra)]
+    parts = [_filters(c), *_tags(c), *_structure(c), *_index_contents(c), *_supersedes(c), *_generated(c), *_schemas(c), *_files(c), *_links(c), *(r(c) for r in c.extra)]
     out = reduce(DataFrame.unionByName, parts)
     return out.filter(~F.col("rule").isin(*c.disabled) if c.disabled else F.lit(True)).dropDuplicates()
 
@@ -193,12 +217,11 @@ def canonical_plan(b: Bundle) -> DataFrame:
 
 
 def index_plan(c: Context) -> DataFrame:
-    """folder and content of the index documents to create."""
+    """folder and line: the lines of the index documents to create, one row each (null where a folder only
+    has folders), so that a folder of any size is never gathered in one task."""
     lost = _structure(c)[1].select(F.regexp_replace("path", "/?index[.]md$", "").alias("folder"))
     own = c.docs.select(C.id_dir(F.col("id")).alias("folder"), C.id_name(F.col("id")).alias("name"), F.coalesce("title", C.id_name(F.col("id"))).alias("title"))
-    line = F.concat(F.lit("- ["), "title", F.lit("](./"), "name", F.lit(".md)"))
-    lists = own.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
-    return lost.join(lists, "folder", "left").select("folder", F.coalesce("content", F.lit("")).alias("content"))
+    return lost.join(own.select("folder", F.concat(F.lit("- ["), "title", F.lit("](./"), "name", F.lit(".md)")).alias("line")), "folder", "left")
 
 
 # -- output ------------------------------------------------------------------------------------------

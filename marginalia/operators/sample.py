@@ -46,12 +46,24 @@ def stratified(chunks: DataFrame, s: Settings = Settings()) -> DataFrame:  # noq
 
 def heldout(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008: frozen
     """doc_id and heldout: of n documents ordered by hash the first max(share, min(min_heldout, n/4)), but
-    not all."""
-    d = docs.select("doc_id").distinct().withColumn("hash", passage_hash(F.col("doc_id")))
-    n = d.count()
+    not all.
+
+    The hash's first four digits are counted, the one bucket that the last held-out document falls into is
+    ranked, and every other bucket is in or out as a whole: no global sort.
+    """
+    d = docs.select("doc_id").distinct().withColumn("hash", passage_hash(F.col("doc_id"))).withColumn("bucket", F.substring("hash", 1, 4))
+    sizes = sorted((r["bucket"], r["count"]) for r in d.groupBy("bucket").count().collect())  # at most 65,536 rows
+    n = sum(c for _, c in sizes)
     want = min(max(math.ceil(n * s.heldout_share), min(s.min_heldout_docs, n // 4)), max(n - 1, 0))
-    cut = d.orderBy("hash").limit(want).select("doc_id", F.lit(True).alias("heldout")) if want else d.limit(0).select("doc_id", F.lit(True).alias("heldout"))
-    return d.select("doc_id").join(cut, "doc_id", "left").withColumn("heldout", F.coalesce("heldout", F.lit(False)))
+    edge, left = "", want
+    for bucket, size in sizes:
+        if left < size:
+            edge = bucket
+            break
+        left -= size
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("hash"))
+    inside = d.filter(F.col("bucket") == edge).withColumn("heldout", rank <= left).select("doc_id", "heldout")
+    return d.filter(F.col("bucket") != edge).select("doc_id", (F.col("bucket") < edge).alias("heldout")).unionByName(inside)
 
 
 def batches(passages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008: frozen
@@ -121,7 +133,9 @@ def check_questions(questions: DataFrame, passages: DataFrame, langs: list[str])
     chars = lambda c: F.when(F.length(flat(c)) >= COPY_CHARS, F.transform(F.sequence(F.lit(1), F.length(flat(c)) - COPY_CHARS + 1), lambda i: F.substr(flat(c), i, F.lit(COPY_CHARS)))).otherwise(F.array().cast("array<string>"))
     copy = F.when(F.col("p_lang") == "vi", runs(COPY_SYLLABLES)).otherwise(runs(COPY_WORDS)) | (C.is_cjk(F.col("text")) & F.arrays_overlap(chars(F.col("norm")), chars(F.col("p_norm"))))
     long_title = (F.size(F.split("t_norm", " ")) >= F.when(F.col("p_lang") == "vi", 6).otherwise(3)) | (C.is_cjk(F.col("title")) & (F.length("t_norm") >= 8))
-    again = F.row_number().over(Window.partitionBy("norm").orderBy("q_id")) > 1
+    # the first of equal questions, by a partial minimum: equal questions never meet in one task
+    j = j.join(j.groupBy("norm").agg(F.min("q_id").alias("first_id")), "norm", "left")
+    again = F.col("q_id") > F.col("first_id")
     problems = F.when(F.col("text").isNull(), F.array(F.lit("unknown passage"))).otherwise(
         F.array_compact(
             F.array(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from marginalia.functions.columns import embed_input
 
 
+#: Queries that are held at once.
+QUERY_BLOCK = 4096
+
+
 class Embedder(Protocol):
     """A model: its identity, and unit vectors of queries and documents."""
 
@@ -75,14 +80,21 @@ def embed_sync(chunks: DataFrame, vectors: DataFrame, embedder: Embedder) -> Dat
     return kept.unionByName(embed(missing(chunks, vectors, embedder.model), embedder))
 
 
+def top_up(chunks: DataFrame, vectors: DataFrame, embedder: Embedder, most: int = 64) -> DataFrame:
+    """Vectors of at most `most` chunks that lack one (the first by id), to be added before a search."""
+    return embed(missing(chunks, vectors, embedder.model).orderBy("id").limit(most), embedder)
+
+
 def scores(vectors: DataFrame, queries: DataFrame, block: int = 2000) -> DataFrame:
     """query_id, chunk_id, doc_id, score (cosine) of every vector against a stated set of queries.
 
-    The queries (query_id, qvec) are a small set that the caller has bounded; they are held as one matrix
+    The queries (query_id, qvec) are at most QUERY_BLOCK rows, which is checked; they are held as one matrix
     and every partition multiplies its vectors by it in blocks.  Vectors of another length are left out;
     a zero vector scores 0.
     """
-    q = queries.collect()
+    q = queries.limit(QUERY_BLOCK + 1).collect()
+    if len(q) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries at once; search() takes them in blocks")
     ids = [r["query_id"] for r in q]
     mat = _unit(np.array([r["qvec"] for r in q], np.float64)) if q else np.zeros((0, 0))
     kind = dict(queries.dtypes)["query_id"]
@@ -117,7 +129,14 @@ def top_k(scored: DataFrame, k: int = 8, per_doc: int = 2) -> DataFrame:
 
 
 def search(vectors: DataFrame, queries: DataFrame, limit: int = 8, per_doc: int = 2) -> DataFrame:
-    return top_k(scores(vectors, queries), max(1, min(50, limit)), per_doc)
+    """The best rows for every query.  More queries than QUERY_BLOCK are taken in blocks of less than that,
+    by hash, one pass over the vectors each; only a block at a time is held."""
+    k, n = max(1, min(50, limit)), queries.count()
+    if n <= QUERY_BLOCK:
+        return top_k(scores(vectors, queries), k, per_doc)
+    blocks = 2 * -(-n // QUERY_BLOCK)
+    part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [top_k(scores(vectors, queries.filter(part == i)), k, per_doc) for i in range(blocks)])
 
 
 def pack(hits: DataFrame, budget: int = 3000) -> DataFrame:

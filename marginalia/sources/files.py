@@ -321,3 +321,24 @@ def folder_shares(parsed: DataFrame) -> DataFrame:
     g = parsed.groupBy(top.alias("top")).agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.coalesce(ok, F.lit(False))).alias("conformant"))
     share = F.col("conformant") / F.col("docs")
     return g.withColumn("kind", F.when(share >= 0.8, "collection").when(share >= 0.2, "partial").otherwise("markdown"))
+
+
+def best_folder(shares: list[dict]) -> dict | None:
+    """The folder to open of measured ones (top, docs, conformant, kind): by kind, then documents; None if
+    the first two are alike in both."""
+    order = {"collection": 0, "partial": 1, "markdown": 2}
+    ranked = sorted(shares, key=lambda r: (order[r["kind"]], -r["docs"], r["top"]))
+    if len(ranked) > 1 and all(ranked[0][k] == ranked[1][k] for k in ("kind", "docs")):
+        return None
+    return ranked[0] if ranked else None
+
+
+def pending_pages(sources: DataFrame) -> DataFrame:
+    """path, hash and page of the pages without text (sources: path, hash, needs_ocr array<int>)."""
+    return sources.select("path", "hash", F.explode("needs_ocr").alias("page"))
+
+
+def with_transcripts(sources: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Sources with needs_ocr less the pages that are transcribed for the same content (hash, page)."""
+    left = pending_pages(sources).join(transcripts.select("hash", "page"), ["hash", "page"], "left_anti").groupBy("path").agg(F.array_sort(F.collect_list("page")).alias("needs_ocr"))
+    return sources.drop("needs_ocr").join(left, "path", "left").withColumn("needs_ocr", F.coalesce("needs_ocr", F.array().cast("array<int>")))

@@ -162,6 +162,10 @@ def test_lint(bundle, empty):
     assert lint.summary(lint.lint(lint.Context(bundle)).limit(0)).first()["level"] == 2
     sarif = lint.to_sarif([r.asDict() for r in lint.lint(lint.Context(bundle)).collect()])
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) > 10
+    spark = bundle.spark
+    parsed = spark.createDataFrame([("a.md", "a", '{"type": 3}', "valid", None), ("b.md", "b", '{"type": "x"}', "valid", None), ("index.md", "index", '{"okf_version": 1}', "valid", None), ("s/index.md", "s/index", '{"x": 1}', "valid", None), ("z.md", "z", None, None, "not UTF-8")], "path string, id string, frontmatter string, fm_state string, error string")
+    more = {(r["rule"], r["path"]) for r in lint.lint(lint.Context(empty, parsed=parsed, vocabulary_state="absent", broken_schemas=("_meta/types/x.md",))).collect()}
+    assert more == {("empty-bundle", ""), ("no-vocabulary", "_meta/vocabulary.md"), ("invalid-schema", "_meta/types/x.md"), ("invalid-type", "a.md"), ("index-frontmatter", "s/index.md"), ("unreadable", "z.md")}
     assert "missing-type" not in {r["rule"] for r in lint.lint(lint.Context(bundle, disabled=frozenset({"missing-type"}))).collect()}
 
 
@@ -218,6 +222,10 @@ def test_vectors(spark):
     got = [(r["rank"], r["chunk_id"], round(r["score"], 3)) for r in vectors.search(v, q, 4, 2).orderBy("rank").collect()]
     assert got == [(1, 1, 1.0), (2, 2, 1.0), (3, 4, 0.0), (4, 7, 0.0)]
     assert vectors.search(v.limit(0), q).count() == 0 and vectors.search(v, q.limit(0)).count() == 0
+    many = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(vectors.QUERY_BLOCK + 5)], "query_id bigint, qvec array<float>")
+    assert vectors.search(v, many, 1, 1).count() == vectors.QUERY_BLOCK + 5
+    with pytest.raises(ValueError, match="blocks"):
+        vectors.scores(v, many)
     hits = spark.createDataFrame([(0, 1, 11, 900), (0, 2, 12, 300), (0, 3, 13, 80), (1, 1, 14, 5000)], "query_id bigint, rank int, chunk_id bigint, tokens int")
     packed = {r["query_id"]: (r["chunks"], r["tokens"]) for r in vectors.pack(hits, 1000).collect()}
     assert packed == {0: ([11, 13], 980), 1: ([14], 5000)}

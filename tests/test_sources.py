@@ -98,6 +98,15 @@ def test_html():
     files.html_to_markdown("<div>" * 3000)
 
 
+def test_pages_and_folders(spark):
+    src = spark.createDataFrame([("a.pdf", "h1", [1, 3]), ("b.pdf", "h2", [])], "path string, hash string, needs_ocr array<int>")
+    assert [(r["path"], r["page"]) for r in files.pending_pages(src).collect()] == [("a.pdf", 1), ("a.pdf", 3)]
+    done = spark.createDataFrame([("h1", 1), ("h9", 3)], "hash string, page int")
+    assert {r["path"]: r["needs_ocr"] for r in files.with_transcripts(src, done).collect()} == {"a.pdf": [3], "b.pdf": []}
+    a, b = {"top": "a", "docs": 5, "kind": "partial"}, {"top": "b", "docs": 9, "kind": "markdown"}
+    assert files.best_folder([b, a]) == a and files.best_folder([a, {**a, "top": "c"}]) is None and files.best_folder([]) is None
+
+
 def test_streams(spark, folder, tmp_path):
     seen = []
     q = new_files(spark, folder, lambda df, _: seen.extend(r["path"] for r in df.collect()), str(tmp_path / "cp"))
