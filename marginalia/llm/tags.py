@@ -18,7 +18,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from marginalia.tables import cut_lineage, run_sql
+from marginalia.tables import cut_lineage, run_sql, spread
 
 NONE = "(none)"
 #: Keys shorter than this allow no edits, one edit, or else two; keys of spaceless scripts allow none.
@@ -190,7 +190,7 @@ def resolve(tags: DataFrame, terms: DataFrame) -> DataFrame:
     refs = sql(REFERENCES, terms=terms.select("tag", "synonyms"))
     segments = sql(SEGMENTS_OF_REFERENCES, refs=refs)
     distinct_values = sql(DISTINCT_VALUES, tags=tags.select("tag"))
-    parts = sql(PARTS_OF_VALUES, vals=sql(VALUES, distinct_values=distinct_values))
+    parts = sql(PARTS_OF_VALUES, vals=sql(VALUES, distinct_values=spread(distinct_values)))  # small rows, much work for each
     matches = cut_lineage(sql(MATCHES, parts=parts, segments=segments))  # read twice below
     return sql(RESOLVED, matches=matches, distinct_values=distinct_values)
 
