@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import columns as C
 from marginalia.functions import markdown as M
-from marginalia.tables import current_rows, table
+from marginalia.tables import current_rows, spread, table
 
 #: Metadata fields kept as columns, beside those of every document.
 EXTRA = ("department", "region", "customer", "effective_from", "effective_to", "contract_value", "currency")
@@ -80,7 +80,7 @@ class Bundle:
                 yield pd.DataFrame(rows, columns=["doc_id", "ord", "heading", "text", "start_line", "end_line", "tokens"])
 
         got = self.docs.filter(~F.coalesce("reserved", F.lit(False))).select("id", "body").filter("body is not null")
-        got = got.mapInPandas(cut, "doc_id string, ord int, heading string, text string, start_line int, end_line int, tokens int")
+        got = spread(got).mapInPandas(cut, "doc_id string, ord int, heading string, text string, start_line int, end_line int, tokens int")
         return got.withColumn("id", F.xxhash64("doc_id", "ord"))
 
     def links(self) -> DataFrame:

@@ -36,9 +36,10 @@ class Engine:
             tags = d.select(F.col("id").alias("doc_id"), F.posexplode("tags").alias("ord", "tag")).withColumn("norm", C.normalize_tag(F.col("tag")))
             tags = tags.withColumn("folded", C.fold(F.col("norm")))
             names = vocabulary if vocabulary is not None else spark.createDataFrame([], "tag string, synonyms array<string>, facet string, description string")
-            return Bundle(d.drop("tags"), canonical_tags(tags, names), names)
+            return Bundle(d.drop("tags"), canonical_tags(tags, names), names, tables)
 
-        return cls(load(), reload=load)
+        tables, sources, _, _ = files.datasets(spark, root)
+        return cls(load(), reload=load, sources=sources)
 
     def refresh(self) -> None:
         if self._reload and time.time() - self._at > self._ttl:
@@ -137,6 +138,23 @@ class Engine:
         finally:
             p.unpersist()
 
+    def replay(self, cases: list[dict]) -> DataFrame:
+        """id, category, passed and baseline_passed of recorded cases: {id, cat, calls: [{tool, args}],
+        expect: {ids, values, rank}, baseline}.  A call that fails fails its case."""
+        rows = []
+        for c in cases:
+            found, text, ok = [], [], True
+            for call in c["calls"]:
+                try:
+                    r = self.call(call["tool"], call.get("args"))
+                except Exception:  # noqa: BLE001: any error is a failed case
+                    ok = False
+                    break
+                text.append(str(r))
+                found += [d["id"] for d in r.get("docs", r.get("hits", []))] if isinstance(r, dict) else []
+            rows.append((c["id"], c.get("cat", ""), ok and sample.judge_case(c.get("expect", {}), found, "\n".join(text)), c.get("baseline") == "pass"))
+        return self.bundle.spark.createDataFrame(rows, "id string, category string, passed boolean, baseline_passed boolean")
+
     # -- calls by name -----------------------------------------------------------------------------
 
     TOOLS = ("search", "retrieve", "catalog", "list", "grep", "get", "query", "data_tables", "data_query", "links", "graph", "stats", "lint", "vocabulary")

@@ -13,6 +13,7 @@ from marginalia.bundle import Bundle
 from marginalia.functions.columns import fold_text
 from marginalia.operators.query import Filter, matching
 from marginalia.operators.scope import EVERYTHING, Scope, glob_predicate
+from marginalia.tables import spread
 
 LINE_CHARS = 220
 
@@ -57,7 +58,7 @@ def line_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "body")
             yield pd.DataFrame(rows, columns=["k", "hits", "lines"])
 
     slim = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    return slim.mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, hits array<int>, lines array<string>").withColumnRenamed("k", key)
+    return spread(slim).mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, hits array<int>, lines array<string>").withColumnRenamed("k", key)
 
 
 def native_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "body") -> DataFrame:

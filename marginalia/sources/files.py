@@ -69,11 +69,17 @@ def discover(root: str) -> list[str]:
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """path, id, hash, size, mtime_ns, fm_state, fm_raw, frontmatter (JSON), body, error of every markdown
     file; files that aren't UTF-8 have an error and no body."""
-    names = spark.createDataFrame([(p,) for p in discover(root)], "path string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = "file:" + os.path.abspath(root).rstrip("/") + "/" if "://" not in root else root.rstrip("/") + "/"
-    rel = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
-    files = files.withColumn("path", F.substring(rel, len(base) + 1, 1_000_000)).join(names, "path", "left_semi")
+    return _read(spark, root, discover(root))
+
+
+def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    schema = "path string, hash string, size bigint, mtime_ns bigint, fm_state string, fm_raw string, frontmatter string, body string, error string, id string"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    base = root.rstrip("/") if "://" in root else os.path.abspath(root)
+    literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f"{base}/{p}") for p in paths]  # a path is no pattern
+    files = spark.read.format("binaryFile").load(literal)
+    files = files.withColumn("path", F.expr(f"substring(path, locate({_quoted(base + '/')}, path) + {len(base) + 1})"))
 
     def parse(batches):
         for pdf in batches:
@@ -86,11 +92,42 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
                     rows.append((path, None, None, None, None, f"not UTF-8: {e.reason}"))
             yield pd.DataFrame(rows, columns=["path", "fm_state", "fm_raw", "frontmatter", "body", "error"])
 
-    facts = files.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    facts = files.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), (F.unix_millis("modificationTime") * 1000000).alias("mtime_ns"))
     parsed = files.select("path", "content").mapInPandas(parse, "path string, fm_state string, fm_raw string, frontmatter string, body string, error string")
     return facts.join(parsed, "path").withColumn("id", F.regexp_replace("path", r"\.md$", ""))
 
 
+def _quoted(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path, size and mtime_ns (whole milliseconds) of the markdown files, without reading them."""
+    rows = [(p, (st := os.stat(os.path.join(root, p))).st_size, st.st_mtime_ns // 1_000_000 * 1_000_000) for p in discover(root)]
+    return spark.createDataFrame(rows, "path string, size bigint, mtime_ns bigint")
+
+
+def sync_folder(spark: SparkSession, root: str, state) -> dict[str, int]:
+    """Brings the state's docs table up to date and returns how many files were new, changed, touched,
+    unchanged or removed.  Only files whose size or time differ are read; of those only the ones whose
+    hash differs count as changed.  Readers see the old version until the new one is complete."""
+    from marginalia.operators.sync import changes, merged
+
+    now, old = listing(spark, root), state.read("docs")
+    known = old.select("path", "hash", "size", "mtime_ns") if old is not None else spark.createDataFrame([], "path string, hash string, size bigint, mtime_ns bigint")
+    quick = now.alias("a").join(known.alias("b"), (F.col("a.path") == F.col("b.path")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.mtime_ns") == F.col("b.mtime_ns")), "left_anti")
+    suspects = sorted(r["path"] for r in quick.select("path").collect())  # the listing was made here, too
+    fresh = documents(_read(spark, root, suspects))
+    hashed = now.join(fresh.select("path", "hash"), "path", "left").join(known.select("path", F.col("hash").alias("known_hash")), "path", "left")
+    hashed = hashed.select("path", F.coalesce("hash", "known_hash").alias("hash"), "size", "mtime_ns")
+    actions = changes(hashed, known)
+    counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
+    if set(counts) - {"unchanged"} or old is None:
+        gone = actions.filter("action = 'removed'").select(F.regexp_replace("path", r"\.md$", "").alias("id"))
+        state.commit({"docs": merged(old, fresh, gone) if old is not None else fresh})
+    return counts
+
+
 def documents(parsed: DataFrame) -> DataFrame:
     """The document table of parsed markdown: mapped title (metadata, first heading, file name), description
     and tags; reserved files; text fields of the metadata."""
@@ -342,3 +379,60 @@ def with_transcripts(sources: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Sources with needs_ocr less the pages that are transcribed for the same content (hash, page)."""
     left = pending_pages(sources).join(transcripts.select("hash", "page"), ["hash", "page"], "left_anti").groupBy("path").agg(F.array_sort(F.collect_list("page")).alias("needs_ocr"))
     return sources.drop("needs_ocr").join(left, "path", "left").withColumn("needs_ocr", F.coalesce("needs_ocr", F.array().cast("array<int>")))
+
+
+def datasets(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict[str, str], dict[str, dict[str, str]], list[tuple[str, str]]]:
+    """Typed tables of a folder's CSV, TSV and XLSX files by name, the file of each, the headers of their
+    columns, and (file, reason) of what couldn't be read.  A name that two files give belongs to the first."""
+    from marginalia.sources import tabular
+
+    tables, sources, labels, skipped = {}, {}, {}, []
+    for path in walk(root, ("csv", "tsv", "xlsx", "xlsm", "xls", "ods")):
+        full, ext = os.path.join(os.path.abspath(root), path), path.rpartition(".")[2].lower()
+        try:
+            if ext in ("csv", "tsv"):
+                got = {tabular.table_name(path): tabular.read_delimited(spark, full, "\t" if ext == "tsv" else ",")}
+            elif ext in ("xlsx", "xlsm"):
+                got = tabular.read_workbook(spark, full)
+            else:
+                skipped.append((path, f"no reader for {ext}"))
+                continue
+        except Exception as e:  # noqa: BLE001: one bad file leaves the others readable
+            skipped.append((path, str(e).split("\n")[0]))
+            continue
+        for name, (df, head) in got.items():
+            if name in tables:
+                skipped.append((path, f"table {name} exists"))
+            else:
+                tables[name], sources[name], labels[name] = tabular.typed(df), path, dict(zip(df.columns, head))
+    return tables, sources, labels, skipped
+
+
+def scaffold(root: str, title: str = "Knowledge") -> list[str]:
+    """Writes a root index and an empty vocabulary where they are missing; returns what was written."""
+    out = []
+    for path, text in (("index.md", f"---\nokf_version: 1\n---\n# {title}\n"), ("_meta/vocabulary.md", "---\nterms: {}\n---\n")):
+        full = os.path.join(root, path)
+        if not os.path.exists(full):
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "w", encoding="utf-8") as f:
+                f.write(text)
+            out.append(path)
+    return out
+
+
+def new_document(root: str, folder: str, title: str, kind: str, today: str) -> str:
+    """Writes a draft document named after its title and returns its path; an existing one is left alone."""
+    import json
+
+    from marginalia.functions.columns import fold_text
+
+    name = re.sub(r"[\W_]+", "-", fold_text(title)).strip("-") or "untitled"
+    path = f"{folder.strip('/')}/{name}.md".lstrip("/")
+    full = os.path.join(root, path)
+    if os.path.exists(full):
+        raise FileExistsError(path)
+    os.makedirs(os.path.dirname(full), exist_ok=True)
+    with open(full, "w", encoding="utf-8") as f:
+        f.write(f"---\ntype: {json.dumps(kind, ensure_ascii=False)}\ntitle: {json.dumps(title, ensure_ascii=False)}\nstatus: draft\nupdated: {today}\n---\n# {title}\n")
+    return path

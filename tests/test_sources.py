@@ -53,6 +53,53 @@ def test_engine_on_a_folder(spark, folder):
         e.call("drop")
 
 
+def test_replay(spark, folder):
+    e = Engine.open_folder(spark, folder)
+    cases = [
+        {"id": "1", "cat": "list", "calls": [{"tool": "query", "args": {"status": "stable"}}], "expect": {"ids": ["a"], "rank": {"id": "a", "k": 1}}, "baseline": "pass"},
+        {"id": "2", "cat": "sheet", "calls": [{"tool": "data_query", "args": {"sql": "SELECT sum(a) AS s FROM t"}}], "expect": {"values": [1]}, "baseline": "fail"},
+        {"id": "3", "cat": "list", "calls": [{"tool": "get", "args": {"id": "none"}}], "expect": {}, "baseline": "pass"},
+    ]
+    from marginalia.operators.sample import category_results
+
+    assert {r["category"]: tuple(r)[1:] for r in category_results(e.replay(cases)).collect()} == {"list": (2, 1, 1, 0), "sheet": (1, 1, 0, 1)}
+
+
+def test_sync_folder(spark, tmp_path):
+    import os
+
+    from marginalia.operators.sync import State
+
+    root, state = tmp_path / "kb", State(spark, str(tmp_path / "state"))
+    assert files.scaffold(str(root)) == ["index.md", "_meta/vocabulary.md"] and files.scaffold(str(root)) == []
+    assert files.new_document(str(root), "p", "Đổi trả + more", "Policy", "2026-01-01") == "p/doi-tra-more.md"
+    with pytest.raises(FileExistsError):
+        files.new_document(str(root), "p", "Đổi trả + more", "Policy", "2026-01-01")
+    (root / "p" / "a b+c%[1].md").write_text("old")
+    assert files.sync_folder(spark, str(root), state) == {"new": 4}
+    version = state.current()["version"]
+    assert files.sync_folder(spark, str(root), state) == {"unchanged": 4} and state.current()["version"] == version
+    (root / "p" / "a b+c%[1].md").write_text("newer")
+    (root / "index.md").unlink()
+    os.utime(root / "p" / "doi-tra-more.md", (1, 1))
+    assert files.sync_folder(spark, str(root), state) == {"changed": 1, "removed": 1, "touched": 1, "unchanged": 1}
+    got = {r["id"]: r["body"] for r in state.read("docs").collect()}
+    assert sorted(got) == ["_meta/vocabulary", "p/a b+c%[1]", "p/doi-tra-more"] and got["p/a b+c%[1]"] == "newer"
+
+
+def test_datasets(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Id,Name\n1,x\n")
+    (tmp_path / "b.tsv").write_text("Id\tN\n1\t2.5\n")
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.csv").write_text("x\n1\n")
+    (tmp_path / "w.xlsx").write_bytes(workbook())
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    (tmp_path / "old.xls").write_bytes(b"x")
+    tables, sources, labels, skipped = files.datasets(spark, str(tmp_path))
+    assert sorted(tables) == ["a", "b", "w"] and sources["a"] == "a.csv" and labels["a"] == {"id": "Id", "name": "Name"}
+    assert [tuple(r) for r in tables["b"].collect()] == [(1, 2.5)] and sorted(p for p, _ in skipped) == ["bad.xlsx", "old.xls", "s/a.csv"]
+
+
 def test_names():
     assert [tabular.sql_name(x) for x in ("Đơn Giá (VND)", "", "2026", "a--b")] == ["don_gia_vnd", "col", "c_2026", "a_b"]
     assert tabular.unique(["a", "a", "a_2", "a"]) == ["a", "a_2", "a_2_2", "a_3"]
