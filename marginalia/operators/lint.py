@@ -174,7 +174,7 @@ def _files(c: Context) -> list[DataFrame]:
     type_ = F.try_variant_get(F.try_parse_json("frontmatter"), "$.type", "variant")
     keys = F.json_object_keys("frontmatter")
     index = (F.col("id") == "index") | F.col("id").endswith("/index")
-    extra = F.when(F.col("id") == "index", F.size(F.array_except(keys, F.array(F.lit("okf_version")))) > 0).otherwise(F.size(keys) > 0)
+    extra = F.when(F.col("id") == "index", F.size(F.filter(keys, lambda k: ~k.endswith("_version"))) > 0).otherwise(F.size(keys) > 0)
     out.append(diagnostic(p.filter("error is not null"), "unreadable", F.col("path"), F.col("error")))
     out.append(diagnostic(p.filter(F.schema_of_variant(type_) != "STRING").filter(F.schema_of_variant(type_) != "VOID"), "invalid-type", F.col("path"), fld="type"))
     out.append(diagnostic(p.filter(index & (F.col("fm_state") == "valid") & F.coalesce(extra, F.lit(False))), "index-frontmatter", F.col("path")))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from marginalia.functions import markdown as M
 
 # ---- fixed values ---------------------------------------------------------------------------------
-SKIPPED_DIRS = frozenset("node_modules target vendor dist build __pycache__ venv".split())
+SKIPPED_DIRS = frozenset("node_modules bower_components jspm_packages __pycache__ site-packages".split())
 AGENT_FILES = frozenset(("AGENTS.md", "CLAUDE.md", "GEMINI.md"))
-SOURCE_EXTENSIONS = tuple("pdf docx pptx odt odp rtf epub html htm txt png jpg jpeg webp tif tiff".split())
+SOURCE_EXTENSIONS = tuple("pdf docx docm doc pptx pptm ppsx ppsm ppt pps pot odt odp rtf epub html htm txt rst adoc png jpg jpeg".split())
 SOURCE_LIMIT = 64 << 20
 CHROME = frozenset("script style noscript nav header footer aside form button svg iframe head".split())
 CONTENT_IDS = frozenset("main-content content main mw-content-text".split())
@@ -308,7 +308,7 @@ def convert(path: str, data: bytes) -> tuple[str | None, str | None, str | None]
     if ext in ("html", "htm"):
         md, title = html_to_markdown(data.decode("utf-8", "replace"))
         return md, title, None
-    if ext == "txt":
+    if ext in ("txt", "rst", "adoc"):
         return data.decode("utf-8", "replace"), None, None
     return None, None, f"no converter for {ext}"
 
@@ -411,7 +411,7 @@ def datasets(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict
 def scaffold(root: str, title: str = "Knowledge") -> list[str]:
     """Writes a root index and an empty vocabulary where they are missing; returns what was written."""
     out = []
-    for path, text in (("index.md", f"---\nokf_version: 1\n---\n# {title}\n"), ("_meta/vocabulary.md", "---\nterms: {}\n---\n")):
+    for path, text in (("index.md", f"---\nformat_version: 1\n---\n# {title}\n"), ("_meta/vocabulary.md", "---\nterms: {}\n---\n")):
         full = os.path.join(root, path)
         if not os.path.exists(full):
             os.makedirs(os.path.dirname(full), exist_ok=True)

@@ -163,7 +163,7 @@ def test_lint(bundle, empty):
     sarif = lint.to_sarif([r.asDict() for r in lint.lint(lint.Context(bundle)).collect()])
     assert sarif["version"] == "2.1.0" and len(sarif["runs"][0]["results"]) > 10
     spark = bundle.spark
-    parsed = spark.createDataFrame([("a.md", "a", '{"type": 3}', "valid", None), ("b.md", "b", '{"type": "x"}', "valid", None), ("index.md", "index", '{"okf_version": 1}', "valid", None), ("s/index.md", "s/index", '{"x": 1}', "valid", None), ("z.md", "z", None, None, "not UTF-8")], "path string, id string, frontmatter string, fm_state string, error string")
+    parsed = spark.createDataFrame([("a.md", "a", '{"type": 3}', "valid", None), ("b.md", "b", '{"type": "x"}', "valid", None), ("index.md", "index", '{"format_version": 1}', "valid", None), ("s/index.md", "s/index", '{"x": 1}', "valid", None), ("z.md", "z", None, None, "not UTF-8")], "path string, id string, frontmatter string, fm_state string, error string")
     more = {(r["rule"], r["path"]) for r in lint.lint(lint.Context(empty, parsed=parsed, vocabulary_state="absent", broken_schemas=("_meta/types/x.md",))).collect()}
     assert more == {("empty-bundle", ""), ("no-vocabulary", "_meta/vocabulary.md"), ("invalid-schema", "_meta/types/x.md"), ("invalid-type", "a.md"), ("index-frontmatter", "s/index.md"), ("unreadable", "z.md")}
     assert "missing-type" not in {r["rule"] for r in lint.lint(lint.Context(bundle, disabled=frozenset({"missing-type"}))).collect()}

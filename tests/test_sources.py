@@ -17,7 +17,7 @@ from marginalia.streaming.ingest import new_files, windowed
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("kb")
     for path, text in {
-        "index.md": "---\nokf_version: 1\n---\n- [a](a.md)\n", "a.md": "---\ntype: Policy\ntags: [Safety, 7]\nstatus: stable\nupdated: 2026-01-01\n---\n# Alpha rules\n\nAll boxes are checked at the gate.\n",
+        "index.md": "---\nformat_version: 1\n---\n- [a](a.md)\n", "a.md": "---\ntype: Policy\ntags: [Safety, 7]\nstatus: stable\nupdated: 2026-01-01\n---\n# Alpha rules\n\nAll boxes are checked at the gate.\n",
         "sub/b.md": "---\ntitle: Bé\nsummary: short\ncategories: x, y\n---\nSee [a](../a.md).\n", "sub/c.md": "no metadata", ".hidden/x.md": "x", "node_modules/y.md": "y", "AGENTS.md": "z", "skip/z.md": "z", ".gitignore": "skip/\n# note\n", "t.csv": "a\n1\n",
     }.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
