@@ -265,7 +265,10 @@ def classify(text: str | None) -> str | None:
     rows = table_lines(lines)
     loose = [x for x, r in zip(lines, rows) if not r]
     size = sum(map(len, lines))
-    if _junk_share(loose) * sum(map(len, loose)) > 0.5 * size or _junk_share([x for x, r in zip(lines, rows) if r and not _rx(r"\w").search(x)]) * sum(len(x) for x, r in zip(lines, rows) if r and not _rx(r"\w").search(x)) > 0.5 * size:
+    if _junk_share(loose) * sum(map(len, loose)) > 0.5 * size:
+        return "junk"
+    symbols = [x for x, r in zip(lines, rows) if r and not _rx(r"\w").search(x)]
+    if symbols and _junk_share(symbols) * sum(map(len, symbols)) > 0.5 * size:
         return "junk"
     raw = text.encode()
     if len(zlib.compress(raw, 6)) < 0.5 * len(raw) and _repeat_share(text, lines) > 0.6:
@@ -292,17 +295,17 @@ def classify(text: str | None) -> str | None:
         spans = [joined[a:b] for a, b in sentence_spans(joined)] or [joined]
         parts = [x.strip() for x in _ROW_SEP.split(joined) if x and x.strip()]
         whole = [is_sentence(x) for x in spans]
-        if len(parts) >= 5:
-            entry = [len(_words(_phrase(x))) <= 8 and len(_phrase(x)) <= 45 and not is_sentence(x) and not _JA_BODY.search(_phrase(x)) for x in parts]
-            told = sum(len(x) for x, w in zip(spans, whole) if w and len(_ROW_SEP.split(x)) < 5)
-            words = [len(_words(_phrase(x))) for x in parts]
-            if sum(entry) >= 0.8 * len(parts) and told < 0.3 * len(joined) and sum(words) / len(words) <= 6:
+        if len(parts) >= 5 and sum(len(x) for x, w in zip(spans, whole) if w and len(_ROW_SEP.split(x)) < 5) < 0.3 * len(joined):
+            phrases = [_phrase(x) for x in parts]
+            words = [len(_words(x)) for x in phrases]
+            entry = sum(n <= 8 and len(y) <= 45 and not is_sentence(x) and not _JA_BODY.search(y) for x, y, n in zip(parts, phrases, words))
+            if entry >= 0.8 * len(parts) and sum(words) / len(words) <= 6:
                 mass["list"] += len(joined.strip())
                 n_entries += len(parts)
                 continue
         for x, told_ in zip(spans, whole):
             lines_of = [y for y in x.split("\n") if y.strip()]
-            short = sorted(len(_words(_phrase(y))) if not _CJK.search(y) else len(_phrase(y)) // 3 for y in lines_of)
+            short = sorted(len(_words(_phrase(y))) if not _CJK.search(y) else len(_phrase(y)) // 3 for y in lines_of) if len(lines_of) > 2 else []
             if len(lines_of) >= 3 and short[len(short) // 2] <= 4 or len(lines_of) > 1 and not told_:  # entries on lines of their own, without marks
                 for y in lines_of:
                     if is_sentence(y):
