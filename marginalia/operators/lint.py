@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from marginalia.bundle import Bundle
 from marginalia.functions import columns as C
 from marginalia.functions import markdown as M
 from marginalia.operators import access
+from marginalia.tables import cut_lineage
 
 SCHEMA = "rule string, level int, severity string, path string, line int, field string, message string"
 STATUSES = ("stable", "deprecated", "draft")
@@ -45,6 +46,7 @@ class Context:
     parsed: DataFrame | None = None  # path, id, frontmatter (JSON), fm_state, error: of files read from a folder
     vocabulary_state: str = "valid"  # or absent, invalid
     broken_schemas: tuple[str, ...] = ()  # paths of type schemas that can't be read
+    whole: Bundle | None = None  # the bundle with bodies, where `bundle` has none
     disabled: frozenset[str] = frozenset()
     extra: list[Callable[[Context], DataFrame]] = field(default_factory=list)
 
@@ -117,7 +119,7 @@ def _index_contents(c: Context) -> list[DataFrame]:
     children = c.docs.select(C.id_dir(F.col("id")).alias("folder"), F.col("id").alias("child"))
     lost = index.join(children, "folder").join(links.select(F.col("src").alias("id"), F.col("target").alias("child")), ["id", "child"], "left_anti")
     stale = lost.groupBy("path").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" not linked, the first: "), F.min("child")).alias("m"))
-    logs = access.headings_of(c.bundle.docs.filter((F.col("id") == "log") | F.col("id").endswith("/log"))).filter((F.col("level") == 2) & ~C.is_iso_date(F.col("text")))
+    logs = access.headings_of((c.whole or c.bundle).docs.filter((F.col("id") == "log") | F.col("id").endswith("/log"))).filter((F.col("level") == 2) & ~C.is_iso_date(F.col("text")))
     return [diagnostic(stale, "stale-index", F.col("path"), F.col("m")), diagnostic(logs, "log-date-heading", F.concat("id", F.lit(".md")), F.col("text"), F.col("line"))]
 
 
@@ -188,7 +190,14 @@ def _links(c: Context) -> list[DataFrame]:
 
 
 def lint(c: Context) -> DataFrame:
-    """All diagnostics, equal ones once."""
+    """All diagnostics, equal ones once.
+
+    The documents' metadata and the tags are read by many rules: they are worked out once and kept (without
+    the bodies); only links and dated headings come from the bodies.
+    """
+    b = c.bundle
+    slim = replace(b, docs=cut_lineage(b.docs.drop("body")), tags=cut_lineage(b.tags.drop("folded")))
+    c = replace(c, bundle=slim, whole=b, links=c.links if c.links is not None else b.links())
     parts = [_filters(c), *_tags(c), *_structure(c), *_index_contents(c), *_supersedes(c), *_generated(c), *_schemas(c), *_files(c), *_links(c), *(r(c) for r in c.extra)]
     out = reduce(DataFrame.unionByName, parts)
     return out.filter(~F.col("rule").isin(*c.disabled) if c.disabled else F.lit(True)).dropDuplicates()

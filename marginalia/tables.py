@@ -10,18 +10,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def current_rows(docs: DataFrame, *columns: str, key: str = "id", version: str = "mtime_ns") -> DataFrame:
+def current_rows(docs: DataFrame, *columns: str, key: str = "id", version: str = "mtime_ns", ties: tuple[str, ...] = ("hash", "seen_at", "size")) -> DataFrame:
     """One row per key: that with the greatest version; null versions come last.
 
-    Rows with a null key belong to no document and are dropped.  Of different rows with the same key and
-    version, the one with the greatest hash over the chosen columns is taken, whatever the input's order.
-    Catalyst limits each key to one row in every task before the shuffle, so that a key with many versions
-    never meets in one task.
+    Rows with a null key belong to no document and are dropped.  Different rows with the same key and
+    version are told apart by the greatest of the `ties` that the table has (without any, by the greatest
+    hash over the chosen columns), whatever the input's order; the chosen columns themselves aren't
+    compared, so that those a query doesn't need aren't read.  Catalyst limits each key to one row in every
+    task before the shuffle, so that a key with many versions never meets in one task.
     """
     cols = list(dict.fromkeys([key, *columns]))
     rank = "__rank_of_version"
-    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), F.xxhash64(*[c for c in cols if c != key] or [key]).desc())
-    slim = docs.select(*dict.fromkeys([*cols, version])).filter(F.col(key).isNotNull())
+    own = [c for c in ties if c in docs.columns]
+    last = [F.col(c).desc_nulls_last() for c in own] or [F.xxhash64(*[c for c in cols if c != key] or [key]).desc()]
+    order = Window.partitionBy(key).orderBy(F.col(version).desc_nulls_last(), *last)
+    slim = docs.select(*dict.fromkeys([*cols, version, *own])).filter(F.col(key).isNotNull())
     return slim.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*cols)
 
 
@@ -59,9 +62,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder, so that later stages neither repeat the work nor lose it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows written to the shared folder and read from there, so that later stages neither repeat the
+    work nor lose it with an executor.
+
+    A table is written rather than a checkpoint, which would compute its last stage twice.  It is deleted
+    when the application ends.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/marginalia-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def run_sql(text: str, **frames: DataFrame) -> DataFrame:
