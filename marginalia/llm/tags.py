@@ -175,11 +175,12 @@ UNION ALL
 SELECT v.tag, '{NONE}' AS canonical, CAST(NULL AS INT) AS score FROM <<distinct_values>> v LEFT ANTI JOIN <<matches>> m ON v.tag = m.tag
 """
 
-# the map of values is met by salted rows, so that a value that a third of all rows hold is spread
+# the map of values is met by salted rows, so that a value that a third of all rows hold is spread; never
+# broadcast, since Spark's size estimate doesn't know of the sixteen copies
 APPLIED = """
 WITH salted AS (SELECT *, pmod(xxhash64(doc_id, ord), 16) AS salt FROM <<rows>>),
      map AS (SELECT tag, canonical AS meant, score, salt FROM <<resolved>> LATERAL VIEW explode(sequence(0, 15)) s AS salt)
-SELECT s.doc_id, s.ord, s.tag, s.canonical AS stored, m.meant AS canonical, m.score FROM salted s JOIN map m ON s.tag = m.tag AND s.salt = m.salt
+SELECT /*+ MERGE(m) */ s.doc_id, s.ord, s.tag, s.canonical AS stored, m.meant AS canonical, m.score FROM salted s JOIN map m ON s.tag = m.tag AND s.salt = m.salt
 """
 
 
