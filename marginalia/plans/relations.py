@@ -244,7 +244,8 @@ def _pack(b):
 
 @query(name="embed_sync")
 def _embed(b):
-    chunks = b.docs.filter("body is not null").select(F.xxhash64("id").alias("id"), "title", F.lit("").alias("heading"), F.substring("body", 1, 400).alias("text"))
+    """Vectors of whole texts, chunk by chunk, under their documents' titles."""
+    chunks = b.chunks().join(b.docs.select(F.col("id").alias("doc_id"), "title"), "doc_id").select("id", "title", "heading", "text")
     none = b.spark.createDataFrame([], "chunk_id bigint, model string, vec array<float>")
     return vectors.embed_sync(chunks, none, vectors.LetterEmbedder()).select("chunk_id", "model", F.size("vec").alias("dims"))
 

@@ -10,6 +10,7 @@ from marginalia.operators import access, adopt, grep, lint, sample, sync, vector
 from marginalia.operators import query as Q
 from marginalia.operators.scope import Scope, glob_predicate
 from marginalia.operators.sqlgate import Gate, SqlError, SqlTimeout, rewrite, to_text
+from marginalia.plans import relations
 
 DOCS = "id string, path string, type string, title string, description string, lang string, status string, updated string, department string, region string, customer string, effective_from string, effective_to string, contract_value bigint, currency string, reserved boolean, fm_state string, tokens bigint, body string"
 BODY = "# Rules\n\nSee [b](b.md) and [gone](gone.md) and [[only]].\nPhí vận chuyển\n## Scope\ntext\n"
@@ -289,3 +290,13 @@ def test_sync(spark, tmp_path):
     assert s.read("docs").count() == 4 and sync.State(spark, s.folder, "2").read("docs") is None
     c = sync.Claims(10)
     assert [c.next([1, 2], set(), 0), c.next([1, 2], set(), 1), c.next([1, 2], set(), 2), c.next([1, 2], {1}, 12)] == [1, 2, None, 2]
+
+
+def test_embed_sync_takes_whole_texts(bundle):
+    long = "# Top\n\n" + "".join(f"## Part {k}\n\n" + f"word{k} " * 900 + "\n" for k in range(3)) + "## End\n\n" + "last " * 900
+    docs = bundle.docs.withColumn("body", F.when(F.col("id") == "p/a", long).otherwise(F.col("body")))
+    b = Bundle(docs, bundle.tags, bundle.vocabulary)
+    chunks = {r["id"]: r["text"] for r in b.chunks().collect()}
+    assert len(chunks) > 4 and sum(t.count("last") for t in chunks.values()) == 900
+    got = [(r["chunk_id"], r["dims"]) for r in relations._embed(b).collect()]
+    assert sorted(got) == sorted((k, 64) for k in chunks)
