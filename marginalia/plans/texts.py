@@ -109,6 +109,13 @@ def numbers_in(spark, d):
     return docs.select("doc_id", C.numbers_in(F.col("text")).alias("numbers"))
 
 
+@plain()
+def numbers_in_all(spark, d):
+    """Numbers of every text, both readings of separators kept: the whole job, of which numbers_in is the part that its SQL can express."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    return docs.select("doc_id", C.numbers_in(F.col("text")).alias("numbers"))
+
+
 @plain("SELECT p_partkey, CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END AS shown FROM part")
 def fmt_num(spark, d):
     return table(spark, d, "part").select("p_partkey", C.fmt_num(F.col("p_retailprice")).alias("shown"))

@@ -11,6 +11,7 @@ from marginalia.operators import query as Q
 from marginalia.operators.scope import Scope, glob_predicate
 from marginalia.operators.sqlgate import Gate, SqlError, SqlTimeout, rewrite, to_text
 from marginalia.plans import relations
+from marginalia.plans.catalogue import QUERIES
 
 DOCS = "id string, path string, type string, title string, description string, lang string, status string, updated string, department string, region string, customer string, effective_from string, effective_to string, contract_value bigint, currency string, reserved boolean, fm_state string, tokens bigint, body string"
 BODY = "# Rules\n\nSee [b](b.md) and [gone](gone.md) and [[only]].\nPhí vận chuyển\n## Scope\ntext\n"
@@ -300,3 +301,11 @@ def test_embed_sync_takes_whole_texts(bundle):
     assert len(chunks) > 4 and sum(t.count("last") for t in chunks.values()) == 900
     got = [(r["chunk_id"], r["dims"]) for r in relations._embed(b).collect()]
     assert sorted(got) == sorted((k, 64) for k in chunks)
+
+
+def test_numbers_of_every_text(spark, tmp_path):
+    texts = ["1.234,5 and 7.", "1,234.50", "2.5.2025", "from 1,2 to 3.4, at 12", "no number", "", "8 and 08", "...", None, "3,,4"]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["numbers"] for r in QUERIES["numbers_in_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: sorted(sample.numbers(t)) for k, t in rows if t is not None}
