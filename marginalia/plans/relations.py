@@ -186,6 +186,11 @@ def dedup_questions(spark, d):
 
 # -- ranks and packs ---------------------------------------------------------------------------------
 
+def _passages(docs: DataFrame) -> DataFrame:
+    """Documents as passages, three to a document of the sample."""
+    return docs.select(F.concat(F.lit("d"), F.expr("doc_id div 3")).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("tokens"), "text", "lang")
+
+
 @plain("""WITH p AS (SELECT 'd' || (doc_id // 3) || '#' || doc_id AS key, 'd' || (doc_id // 3) AS doc, lower(lang) AS lang FROM documents WHERE n_chars >= 40 AND lang IN ('en', 'vi', 'ja') AND text IS NOT NULL AND length(trim(text)) > 0 AND regexp_matches(text, '[a-zA-Z]')),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sha256(key)) AS rank_in_doc FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rank_in_doc, sha256(key)) AS turn FROM r WHERE rank_in_doc <= 4)
     SELECT key, turn FROM s ORDER BY turn, lang LIMIT 60""")
@@ -202,8 +207,9 @@ def heldout_split(spark, d):
 
 @plain()
 def batch_pack(spark, d):
-    docs = table(spark, d, "documents").filter("n_chars is not null").orderBy("doc_id").limit(400)  # a plan's passages are at most 400
-    return sample.batches(docs.select(F.col("doc_id").alias("turn"), F.col("doc_id").cast("string").alias("key"), F.col("n_chars").alias("tokens")))
+    """The plan drawn from all documents, packed in its order."""
+    plan = sample.stratified(_passages(table(spark, d, "documents")))
+    return sample.batches(plan.select(F.struct("turn", "top", "passage_lang").alias("turn"), "key", "tokens"))
 
 
 QUERY_VECS = "q AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0)"

@@ -1,5 +1,7 @@
 """Operators on small tables: nulls, ties, empty inputs, hidden documents."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +311,36 @@ def test_numbers_of_every_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["numbers"] for r in QUERIES["numbers_in_all"](spark, str(tmp_path)).collect()}
     assert got == {k: sorted(sample.numbers(t)) for k, t in rows if t is not None}
+
+
+def drawn(rows, most):
+    """(key, turn, tokens) of the plan by brute force."""
+    c = [(f"d{k // 3}#{k}", f"d{k // 3}", n, (lang or "").strip().split("-")[0].lower() or ("ja" if "\u3042" in t else "en")) for k, t, lang, n in rows if t and t.strip() and n >= 40]
+    c.sort(key=lambda x: hashlib.sha256(x[0].encode()).hexdigest())
+    in_doc, strata, seen = {}, {}, {}
+    ranked = [(in_doc.setdefault(x[1], []).append(0) or len(in_doc[x[1]]), x) for x in c]
+    for r, x in sorted((x for x in ranked if x[0] <= 4), key=lambda x: x[0]):
+        strata.setdefault(x[3], []).append(x)
+    for lang, xs in strata.items():
+        for turn, x in enumerate(xs, 1):
+            seen[turn, lang] = (x[0], turn, x[2])
+    return [seen[k] for k in sorted(seen)][:most]
+
+
+def passages(spark, tmp_path):
+    langs = ("en", "en-GB", "de", None)
+    rows = [(k, "some text here", langs[k % 4], 30 + k * 37 % 900) for k in range(440)]
+    rows += [(k, "\u3042\u3044\u3046 \u3048\u304a", ("ja", None, " ")[k % 3], 50 + k) for k in range(440, 480)] + [(480, None, "en", None), (481, " ", "fr", 50), (482, "texte", "fr", 50)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    return rows
+
+
+def test_batches_hold_the_plan_of_all_documents(spark, tmp_path):
+    want, batch, n, t = [], 1, 0, 0
+    for key, _, tokens in drawn(passages(spark, tmp_path), 400):
+        if n and (n >= 10 or t + tokens > 6000):
+            batch, n, t = batch + 1, 0, 0
+        n, t = n + 1, t + tokens
+        want.append((key, batch))
+    got = [(r["key"], r["batch"]) for r in QUERIES["batch_pack"](spark, str(tmp_path)).collect()]
+    assert len(want) == 400 and sorted(got) == sorted(want) and any(k.endswith("#482") for k, _ in got)
