@@ -111,6 +111,17 @@ def copied(questions: DataFrame, passages: DataFrame, n: int = COPY_WORDS) -> Da
     return a.join(b, "run", "left_semi").select("q_id").distinct()
 
 
+def copied_from_others(rows: DataFrame, asked: Column, n: int = COPY_WORDS) -> DataFrame:
+    """The asked rows (id, text) that share a run of n words with any row but themselves.
+
+    A run is another's too if its least and greatest id differ, which partial aggregates tell: neither
+    pairs nor lists of ids are formed.
+    """
+    runs = lambda df: df.select("id", C.question_normalize(F.col("text")).alias("norm")).select("id", F.explode(shingles(F.col("norm"), n)).alias("run"))
+    shared = runs(rows).groupBy("run").agg(F.min("id").alias("least"), F.max("id").alias("greatest")).filter("least <> greatest")
+    return runs(rows.filter(asked)).join(shared, "run", "left_semi").select("id").distinct()
+
+
 def check_questions(questions: DataFrame, passages: DataFrame, langs: list[str]) -> DataFrame:
     """q_id and the problems of each question (q_id, passage, kind, lang, q) by its passage (key, lang,
     title, text): unknown passage, language rules, script, length, copying, repetition."""

@@ -290,6 +290,13 @@ def ngram_copy(spark, d):
     return sample.copied(q, docs.filter("doc_id % 20 <> 0").select("text")).select(F.col("q_id").alias("doc_id"))
 
 
+@plain()
+def ngram_copy_all(spark, d):
+    """The whole job, of which ngram_copy is the part that its SQL can express: every row whose id is divisible by 20 against all rows but itself."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return sample.copied_from_others(rows, F.col("id") % 20 == 0).select(F.col("id").alias("doc_id"))
+
+
 @plain()
 def check_batch(spark, d):
     docs = table(spark, d, "documents").filter("text is not null and source is not null")

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from marginalia.bundle import Bundle, canonical_tags
@@ -344,3 +345,16 @@ def test_batches_hold_the_plan_of_all_documents(spark, tmp_path):
         want.append((key, batch))
     got = [(r["key"], r["batch"]) for r in QUERIES["batch_pack"](spark, str(tmp_path)).collect()]
     assert len(want) == 400 and sorted(got) == sorted(want) and any(k.endswith("#482") for k, _ in got)
+
+
+def test_copies_among_all_rows(spark, tmp_path):
+    texts = {0: "one two three four five", 1: "No. One, TWO three four FIVE!", 20: "alpha beta gamma delta eps", 40: "x alpha beta gamma delta eps", 60: "a b c d e a b c d e", 80: "phí vận chuyển cho đơn hàng", 81: "Phi van chuyen cho don", 100: "単 語 が 五 つ ある", 101: "単 語 が 五 つ", 120: None, 121: None, 140: "", 160: "one two three four", 180: "le prix est à payer", 183: "nur der andere text hier"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def runs(t):
+        w = regex.sub(r"[^\p{L}\p{N}]+", " ", C.fold_text(t or "")).strip().split(" ")
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    want = [a for a in texts if a % 20 == 0 and any(runs(texts[a]) & runs(t) for b, t in texts.items() if b != a)]
+    assert want == [0, 20, 40, 80, 100]
+    assert sorted(r["doc_id"] for r in QUERIES["ngram_copy_all"](spark, str(tmp_path)).collect()) == want
