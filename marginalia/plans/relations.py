@@ -196,8 +196,13 @@ def _passages(docs: DataFrame) -> DataFrame:
     SELECT key, turn FROM s ORDER BY turn, lang LIMIT 60""")
 def stratified_rr(spark, d):
     docs = table(spark, d, "documents").filter("lang in ('en', 'vi', 'ja') and text rlike '[a-zA-Z]'")
-    chunks = docs.select(F.concat(F.lit("d"), F.expr("doc_id div 3")).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("tokens"), "text", "lang")
-    return sample.stratified(chunks, sample.Settings(max_passages=60)).select("key", "turn")
+    return sample.stratified(_passages(docs), sample.Settings(max_passages=60)).select("key", "turn")
+
+
+@plain()
+def stratified_rr_all(spark, d):
+    """The whole job, of which stratified_rr is the part that its SQL can express: all documents, the strata left to the operator."""
+    return sample.stratified(_passages(table(spark, d, "documents")), sample.Settings(max_passages=60)).select("key", "turn")
 
 
 @plain("SELECT CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) <= (SELECT CAST(least(greatest(ceil(count(*) * 0.15), least(20, count(*) // 4)), count(*) - 1) AS BIGINT) FROM documents) AS heldout FROM documents")
