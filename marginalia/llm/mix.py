@@ -89,6 +89,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT
     if rest <= 4 * exact and usable:
         for k, n in zip(usable, knapsack([int(lengths[k]) for k in usable], [int(counts[k] - take[k]) for k in usable], int(rest))):
             take[k] += n
+    elif usable:  # each that is left is longer than rest - exact, so only one fits: the longest
+        take[usable[0]] += 1
     return take
 
 

@@ -111,3 +111,17 @@ def test_fit_is_close_and_unbiased():
     take = mix.fit(lens, counts, total // 2)
     assert abs((take * lens).sum() / take.sum() - (counts * lens).sum() / counts.sum()) < 40
     assert mix.fit(np.array([0, 5]), np.array([3, 1]), 4).tolist() == [0, 0]
+
+
+def test_documents_longer_than_the_knapsack_are_filled_in():
+    lens, counts = np.array([140_000, 300_000]), np.array([2, 1])
+    assert mix.fit(lens, counts, 290_000).tolist() == [2, 0]
+    rng = random.Random(5)
+    for _ in range(300):
+        lens = np.array(sorted(rng.sample(range(1_000, 900_000), rng.randint(1, 5))))
+        counts = np.array([rng.randint(1, 3) for _ in lens])
+        budget = rng.randint(1, int((lens * counts).sum()))
+        take = mix.fit(lens, counts, budget)
+        rest = budget - int((lens * take).sum())
+        assert rest >= 0 and (take <= counts).all()
+        assert not any(w <= rest and t < c for w, t, c in zip(lens, take, counts))
