@@ -125,3 +125,19 @@ def test_documents_longer_than_the_knapsack_are_filled_in():
         rest = budget - int((lens * take).sum())
         assert rest >= 0 and (take <= counts).all()
         assert not any(w <= rest and t < c for w, t, c in zip(lens, take, counts))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("K-01;kettle\nK-02;box\nK-03;night heater", "table"),
+        ("K-01 | kettle\nK-02 | box\nK-03 | label roll", "table"),
+        ("kettle;red-1\nbox;blue-3-xx\nheater;red-2\nroll;green-8x\nshelf;blue-44\nfan;black-x-12", "table"),
+        ("\n".join(["Home page", "Read more here", "Contact us now", "Back to the top"] * 6), "junk"),
+        ("We met at noon; nobody was late.\nWe wrote it down; it was long.\nWe left at two; it was raining.", "prose"),
+        ("kettle | red\nbox | blue and green\nheater unit | black\nroll | white", "list"),
+        ("kettle, red\nbox, blue\nheater, green\nroll, black", "list"),
+    ],
+)
+def test_two_columns_and_several_repeated_lines(text, kind):
+    assert quality.classify(text) == kind
