@@ -139,8 +139,9 @@ def _autocorrelation(x: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     return np.where(count < 4, 0.0, np.where(v <= 1e-9, 1.0, best))
 
 
-def profiles(texts: list[str | None]) -> tuple[pd.DataFrame, list[list[str]], list[list[bool]]]:
-    """FEATURES of each text, its lines that aren't blank, and which of them are rows."""
+def profiles(texts: list[str | None], sizes: list[int]) -> tuple[pd.DataFrame, list[list[str]], list[list[bool]]]:
+    """FEATURES of each text (composed; sizes are those of the texts as stored), its lines that aren't blank, and
+    which of them are rows."""
     n = len(texts)
     flat = [_BREAK.sub("\n", t) if t and not t.isprintable() else (t or "") for t in texts]
     lens = np.fromiter((len(t) + 1 for t in flat), np.int64, n)
@@ -158,7 +159,7 @@ def profiles(texts: list[str | None]) -> tuple[pd.DataFrame, list[list[str]], li
     opens = word.copy()
     opens[1:] &= ~word[:-1]
     n_words, in_words = total(opens, starts, ends), total(word, starts, ends)
-    size = np.fromiter((len(t) if t else 0 for t in texts), np.int64, n)
+    size = np.array(sizes, np.int64)
     # lines
     l1 = np.flatnonzero(cp == 10)
     l0 = np.concatenate([[0], l1[:-1] + 1])
@@ -209,6 +210,9 @@ def profiles(texts: list[str | None]) -> tuple[pd.DataFrame, list[list[str]], li
         "delimiter_alignment": np.fromiter((sum(r) / len(r) if r else 0.0 for r in rows), float, n),
         "indent_periodicity": _autocorrelation(indent, doc, n) if len(l0) else np.zeros(n), "length_autocorrelation": length_ac, "compressibility": packed,
     })
+    for c in out.columns[4:]:
+        out[c] = np.floor(out[c] * 1e4 + 0.5) / 1e4
+    out["mean_word_length"] = np.floor(out["mean_word_length"] * 1e4 + 0.5) / 1e4
     # how even the lines are: what regular layout, used below, is made of besides the features
     mean = np.bincount(doc, width, n) / k_
     out["_even"] = 1 - np.minimum(1, np.sqrt(np.bincount(doc, (width - mean[doc]) ** 2, n) / k_) / np.maximum(1, mean))
@@ -458,7 +462,7 @@ def kind_of(text: str, lines: list[str], rows: list[bool], f: dict[str, float])
     """prose, list, table or junk, from a text's lines, which of them are rows, and its FEATURES."""
     if (
         f["common_word_share"] >= 0.12 and f["delimiter_alignment"] == f["bullet_line_share"] == f["_damaged"] == 0 and f["symbol_ratio"] < 0.1 and f["digit_ratio"] < 0.1
-        and f["compressibility"] >= 0.5 and f["punctuated_line_share"] >= 0.5 and f["short_line_share"] <= 0.34 and 3 <= f["n_words"] / max(1, f["_finals"]) <= 40
+        and f["compressibility"] >= 0.5 and f["punctuated_line_share"] > 0.6 and f["short_line_share"] <= 0.34 and 3 <= f["n_words"] / max(1, f["_finals"]) <= 40
     ):  # running text of common words with a final mark every few words
         return "prose"
     loose = [x for x, r in zip(lines, rows) if not r]
@@ -546,8 +550,7 @@ def kind_of(text: str, lines: list[str], rows: list[bool], f: dict[str, float])
 
 def _all(texts: list[str | None]) -> tuple[pd.DataFrame, list[str | None]]:
     plain = [unicodedata.normalize("NFC", t) if t and not t.isascii() else t for t in texts]
-    f, lines, rows = profiles(plain)
-    f["n_chars"] = [len(t) if t else 0 for t in texts]
+    f, lines, rows = profiles(plain, [len(t) if t else 0 for t in texts])
     records = f.to_dict("records")
     kinds = [kind_of(t, own, r, rec) if own else None for t, own, r, rec in zip(plain, lines, rows, records)]
     return f, kinds
@@ -561,7 +564,7 @@ def classify(text: str | None) -> str | None:
 def features(text: str | None) -> tuple:
     """FEATURES of a text, all but n_chars zero for null, empty and blank texts."""
     f = _all([text])[0].iloc[0]
-    return tuple(int(f[c]) if c.startswith("n_") else round(float(f[c]), 4) for c in FEATURES)
+    return tuple(int(f[c]) if c.startswith("n_") else float(f[c]) for c in FEATURES)
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -573,7 +576,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             for at in range(0, len(pdf), 1000):
                 part = pdf.iloc[at : at + 1000]
                 f, kinds = _all(part["t"].where(part["t"].notna(), None).tolist())
-                out = f[[*FEATURES]].round(4)
+                out = f[[*FEATURES]].copy()
                 out.insert(0, "kind", kinds)
                 out.insert(0, "k", part["k"].to_numpy())
                 yield out

@@ -84,15 +84,20 @@ def p8_features(spark: SparkSession, d: str) -> DataFrame:
     return quality.statistics(table(spark, d, "documents"))
 
 
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Those of the statistics that SQL can express."""
+    return p8_features(spark, d).select("doc_id", "n_chars", "n_words", "mean_word_length", "n_lines", "symbol_ratio", "digit_ratio", "punctuated_line_share", "short_line_share", "common_word_share")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.statistics(table(spark, d, "documents"), with_features=False).filter("kind <> 'prose'").select("doc_id", "kind")
+    return p8_features(spark, d).filter("kind <> 'prose'").select("doc_id", "kind")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_counts, p2_budget, p3_found, p3_resolved, p3_unmatched, p4_found, p4_segments,
-        p5_found, p6_ids, p6_offsets, p7_found, p7_shares, p7_mixture, p8_found, p8_features,
+        p5_found, p6_ids, p6_offsets, p7_found, p7_shares, p7_mixture, p8_found, p8_features, p8_counts,
     )
 }
 
@@ -162,3 +167,31 @@ ORACLE |= {
     "p3_unmatched": _tags_oracle(f"SELECT f.tag, count(*) AS uses FROM flat f JOIN resolved r ON f.tag = r.tag WHERE r.canonical = '{tags.NONE}' GROUP BY f.tag"),
     "p3_found": _tags_oracle("SELECT f.doc_id, f.ord, r.canonical FROM flat f JOIN resolved r ON f.tag = r.tag WHERE f.stored IS DISTINCT FROM r.canonical"),
 }
+
+_WHITE = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_FINALS, _CLOSERS = ".!?…。！？｡．؟।។", "\"''’»«“”」』）)\\]"
+_SHARE = "CASE WHEN {n} = 0 THEN 0.0 ELSE floor(CAST({x} AS DOUBLE) / {n} * 10000 + 0.5) / 10000 END"
+
+
+def _share(x: str, n: str) -> str:
+    return _SHARE.format(x=x, n=n)
+
+
+_SYMBOLS, _DIGITS = _n(r"[\p{S}\p{P}]", "t"), _n(r"\p{Nd}", "t")
+ORACLE["p8_counts"] = rf"""
+    WITH plain AS (
+        SELECT doc_id, coalesce(length(text), 0) AS n_chars, nfc_normalize(text) AS raw,
+            regexp_replace(nfc_normalize(text), '\r\n|[\r\x{{0B}}\x{{0C}}\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM documents
+    ), cut AS (
+        SELECT *, t IS NOT NULL AND regexp_matches(t, '[^{_WHITE}]') AS told, regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}]+') AS ws,
+            list_transform(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_WHITE}]')), lambda x: regexp_replace(x, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')) AS ls FROM plain
+    ), counted AS (
+        SELECT doc_id, n_chars, told, ws, CASE WHEN told THEN len(ls) ELSE 0 END AS n_lines, CASE WHEN told THEN len(ws) ELSE 0 END AS n_words,
+            list_sum(list_transform(ws, lambda w: length(w))) AS in_words, {_SYMBOLS} AS marks,
+            {_DIGITS} AS digits, len(list_filter(ls, lambda x: regexp_matches(x, '[{_FINALS}][{_WHITE}{_CLOSERS}]*$'))) AS finals,
+            len(list_filter(ls, lambda x: length(x) <= 30)) AS short,
+            len(list_filter(regexp_extract_all(lower(t), '[\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: list_contains([{", ".join(f"'{w}'" for w in sorted(quality._COMMON))}], w))) AS common FROM cut
+    )
+    SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_words AS BIGINT) AS n_words, {_share("in_words", "n_words")} AS mean_word_length, CAST(n_lines AS BIGINT) AS n_lines,
+        CASE WHEN told THEN {_share("marks", "n_chars")} ELSE 0.0 END AS symbol_ratio, CASE WHEN told THEN {_share("digits", "n_chars")} ELSE 0.0 END AS digit_ratio,
+        {_share("finals", "n_lines")} AS punctuated_line_share, {_share("short", "n_lines")} AS short_line_share, {_share("common", "n_words")} AS common_word_share FROM counted"""
