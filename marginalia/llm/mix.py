@@ -1,10 +1,11 @@
 """Mixing sources to target weights.
 
-Documents are counted by source and exact token length (and by a hash bucket, so that no group of equal
-lengths meets in one task).  For each source the target is met by whole passes over its documents and a
-rest; the rest is filled in proportion over all lengths, and its last tokens exactly, by bounded-knapsack
-dynamic programming over the lengths still available.  Documents are then chosen by seeded order within
-source, length and bucket.
+Equal texts of a source are one text, whatever their ids, since the number of repeats is a limit per text.
+Texts are counted by source and exact token length.  For each source the target is met by whole passes over
+its texts and a rest; the rest is filled in proportion over all lengths but for a window of its last tokens,
+which bounded-knapsack dynamic programming over the lengths still available fits.  Where the window can't be
+filled to the last token it is widened, in the end to the whole rest, so that the sum is always the greatest
+there is.  Texts are then chosen by seeded order within source and length.
 """
 
 from __future__ import annotations
@@ -18,8 +19,7 @@ from marginalia.llm.encode import DEFAULT, token_lengths
 from marginalia.tables import cut_lineage
 
 BUCKETS = 64
-EXACT = 1 << 15  #: most tokens of the rest that the dynamic programming fits; bounds its memory and time
-PLAN = "source string, length bigint, passes bigint, below int, bucket int, rest bigint"
+WINDOW = 1 << 15  #: tokens of the rest that the dynamic programming fits at first
 
 
 def source_key(c: Column) -> Column:
@@ -30,7 +30,8 @@ def source_key(c: Column) -> Column:
 def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take for the greatest sum not above the budget.
 
-    Bounded counts are split in powers of two; the reachable sums are the bits of one integer per item.
+    Bounded counts are split in powers of two; the reachable sums are the bits of one integer per item.  Only every
+    k-th of these integers is kept, about the root of their number, and the others are worked out again on the way back.
     """
     items: list[tuple[int, int, int]] = []
     for k, (w, c) in enumerate(zip(lengths, counts)):
@@ -42,69 +43,81 @@ def knapsack(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             c -= take
             size *= 2
     full = (1 << (budget + 1)) - 1
-    steps = [1]
-    for _, _, w in items:
-        reach = steps[-1] | (steps[-1] << w) & full
-        steps.append(reach)
+    every = max(1, int(len(items) ** 0.5))
+    kept, reach, used = [1], 1, 0
+    for k, (_, _, w) in enumerate(items, 1):
+        reach |= (reach << w) & full
+        used = k
+        if k % every == 0:
+            kept.append(reach)
         if reach >> budget & 1:
             break
-    at, out = steps[-1].bit_length() - 1, [0] * len(lengths)
-    for i in range(len(steps) - 1, 0, -1):
-        if not steps[i - 1] >> at & 1:
-            k, take, w = items[i - 1]
-            out[k] += take
-            at -= w
+    at, out = reach.bit_length() - 1, [0] * len(lengths)
+    for block in range((used - 1) // every if used else -1, -1, -1):
+        steps = [kept[block]]
+        for _, _, w in items[block * every : min(used, (block + 1) * every)]:
+            steps.append(steps[-1] | (steps[-1] << w) & full)
+        for i in range(len(steps) - 1, 0, -1):
+            if not steps[i - 1] >> at & 1:
+                k, take, w = items[block * every + i - 1]
+                out[k] += take
+                at -= w
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: int = EXACT) -> np.ndarray:
-    """How many documents of each length to take, so that their sum is the greatest found not above the
-    budget: in proportion down to the last `exact` tokens, which the knapsack fits."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+    """How many texts of each length to take, so that their sum is the greatest not above the budget: in proportion
+    but for the last `window` tokens, which the knapsack fits.  A window that can't be filled is widened until it can
+    or holds the whole budget, where the knapsack's sum is the greatest possible."""
     take = np.zeros(len(lengths), np.int64)
-    if budget <= 0 or not len(lengths):
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    some = (lengths > 0) & (counts > 0)
+    if budget <= 0 or not some.any():
         return take
     total = int((lengths * counts).sum())
     if total <= budget:
-        return counts.astype(np.int64)
+        return counts.copy()
+    unit = int(np.gcd.reduce(lengths[some]))
+    budget = budget // unit * unit
     order = np.argsort(-lengths, kind="stable")
-    exact = min(exact, max(2 * int(lengths.max()), budget // 50))  # the knapsack's part of the choice stays small
-    goal, share, done, due = max(0, budget - exact), 0.0, 0, 0.0
-    share = goal / total
-    for k in order:  # in proportion, the error carried to shorter lengths
-        w, c = int(lengths[k]), int(counts[k])
-        if w <= 0:
-            continue
-        due += share * w * c
-        n = int(min(c, max(0, (due - done) // w)))
-        take[k] = n
-        done += n * w
-    for k in order:  # what rounding left beyond the knapsack's reach
-        w = int(lengths[k])
-        if w > 0 and budget - done > exact:
-            n = int(min(counts[k] - take[k], (budget - done - exact) // w))
-            take[k] += n
+    order = order[some[order]]
+    window = min(window, max(2 * int(lengths.max()), budget // 50))  # the knapsack's part of the choice stays small
+    while True:
+        take[:] = 0
+        goal, done, due = max(0, budget - window), 0, 0.0
+        for k in order if goal else ():  # in proportion, the error carried to shorter lengths
+            w, c = int(lengths[k]), int(counts[k])
+            due += goal / total * w * c
+            take[k] = n = int(min(c, max(0, (due - done) // w)))
             done += n * w
-    rest = budget - done
-    usable = [k for k in order if 0 < lengths[k] <= rest and counts[k] > take[k]]
-    if rest <= 4 * exact and usable:
-        for k, n in zip(usable, knapsack([int(lengths[k]) for k in usable], [int(counts[k] - take[k]) for k in usable], int(rest))):
+        for k in order if goal else ():  # what rounding left beyond the window
+            n = int(min(counts[k] - take[k], max(0, goal - done) // lengths[k]))
+            take[k] += n
+            done += n * int(lengths[k])
+        rest = budget - done
+        usable = [k for k in order if lengths[k] <= rest and counts[k] > take[k]]
+        got = knapsack([int(lengths[k]) // unit for k in usable], [int(counts[k] - take[k]) for k in usable], rest // unit)
+        for k, n in zip(usable, got):
             take[k] += n
-    elif usable:  # each that is left is longer than rest - exact, so only one fits: the longest
-        take[usable[0]] += 1
-    return take
+        if goal == 0 or int((lengths * take).sum()) == budget:
+            return take
+        window *= 4
 
 
-def lengths_of(docs: DataFrame, targets: DataFrame, name: str = DEFAULT, seed: int = 11) -> DataFrame:
-    """doc_id, source (its key), n_tokens, bucket and order of each document of a listed source."""
+def texts_of(docs: DataFrame, targets: DataFrame, name: str = DEFAULT, seed: int = 11) -> DataFrame:
+    """source (its key), doc_id (the smallest of the text), documents (how many), n_tokens, bucket and seeded order of
+    each different text of a listed source.  A null text counts as an empty one."""
     listed = targets.select(source_key(F.col("source")).alias("source")).distinct()
-    slim = docs.select("doc_id", source_key(F.col("source")).alias("source"), "text").join(listed, "source", "left_semi")
-    n = token_lengths(slim.select("doc_id", "source", "text"), ["doc_id", "source"], name=name)
-    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    return n.withColumns({"bucket": F.pmod(h, F.lit(BUCKETS)).cast("int"), "seeded": h})
+    slim = docs.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("text", F.lit("")).alias("text")).join(listed, "source", "left_semi")
+    n = token_lengths(slim.withColumn("digest", F.sha2("text", 256)), ["doc_id", "source", "digest"], name=name)
+    own = n.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("documents"), F.max("n_tokens").alias("n_tokens"))
+    h = F.xxhash64(F.col("digest"), F.lit(seed))
+    return own.withColumns({"bucket": F.pmod(h, F.lit(BUCKETS)).cast("int"), "seeded": h})
 
 
-def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
-    """PLAN rows, and for each source one row without length that reports it.
+def plan(texts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, n_tokens, passes, below, edge, rest: of each length the buckets below `below` are taken once more than
+    the whole passes, and `rest` texts of bucket `edge`; report: one row per source of the targets).
 
     A target is weight / (sum of weights) of the tokens of all documents of listed sources, each once.
     Null and negative weights count as 0; repeated spellings of a source in the targets add up, with the
@@ -114,74 +127,66 @@ def plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
     t = t.filter("source is not null").groupBy("source").agg(F.sum("weight").alias("weight"), F.when(F.count("max_repeats") == F.count(F.lit(1)), F.max("max_repeats")).alias("max_repeats"))
     weights = F.sum("weight").over(Window.partitionBy(F.lit(0)))  # the targets are a small table
     t = t.withColumn("share", F.when(weights > 0, F.col("weight") / weights).otherwise(0.0))
-    # kept: it is read twice, and the texts must not be tokenized twice
-    hist = cut_lineage(lengths.groupBy("source", F.col("n_tokens").alias("length"), "bucket").agg(F.count(F.lit(1)).alias("n")))
-    sums = hist.groupBy("source").agg(F.sum(F.col("length") * F.col("n")).alias("tokens"), F.sum("n").alias("documents"))
+    # kept: it is read several times, and the texts must not be tokenized again
+    hist = cut_lineage(texts.groupBy("source", "n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("documents").alias("documents")))
+    by = hist.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    sums = by.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("documents")).alias("tokens"), F.sum("documents").alias("documents"), F.sum(F.col("n_tokens") * F.col("n")).alias("text_tokens"), F.sum("n").alias("texts"))
     total = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row per listed source
-    report = t.join(sums, "source", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "documents": F.coalesce("documents", F.lit(0))})
-    report = report.withColumn("target", F.col("share") * F.coalesce(total, F.lit(0)))
-    both = hist.select("source", "length", "bucket", "n", *(F.lit(None).cast(k).alias(c) for c, k in (("target", "double"), ("max_repeats", "int"), ("weight", "double"), ("share", "double"))))
-    both = both.unionByName(report.select("source", F.lit(None).cast("bigint").alias("length"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("bigint").alias("n"), "target", "max_repeats", "weight", "share"))
+    head = t.join(sums, "source", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("tokens", "documents", "text_tokens", "texts")})
+    head = head.withColumn("target", F.col("share") * F.coalesce(total, F.lit(0)))
+    names = ["weight", "share", "target", "max_repeats", "documents", "tokens", "texts", "text_tokens"]
+    both = by.select("source", "n_tokens", "n", *(F.lit(None).cast(head.schema[c].dataType).alias(c) for c in names))
+    both = both.unionByName(head.select("source", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("n"), *names))
+    listed = both.join(head.select("source"), "source", "left_semi")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf["length"].isna()].iloc[0]
-        h = pdf[pdf["length"].notna()].sort_values(["length", "bucket"])
-        source, target = head["source"], float(head["target"])
-        most = None if pd.isna(head["max_repeats"]) else max(0, int(head["max_repeats"]))
-        by = h.groupby("length", sort=True)["n"].sum()
-        lens, counts = by.index.to_numpy(np.int64), by.to_numpy(np.int64)
-        tokens, docs = int((lens * counts).sum()), int(counts.sum())
-        reachable = not (tokens * most < target if most is not None else tokens == 0 and target > 0)
+        top = pdf[pdf["n_tokens"].isna()].iloc[0]
+        h = pdf[pdf["n_tokens"].notna()].sort_values("n_tokens")
+        lens, counts = h["n_tokens"].to_numpy(np.int64), h["n"].to_numpy(np.int64)
+        most = None if pd.isna(top["max_repeats"]) else max(0, int(top["max_repeats"]))
+        tokens, own, target = int(top["tokens"]), int(top["text_tokens"]), float(top["target"])
         want = int(round(target))
-        passes = want // tokens if tokens else 0
+        passes = want // own if own else 0
+        rest = want - passes * own
         if most is not None and passes >= most:
             passes, rest = most, 0
-        else:
-            rest = want - passes * tokens
         take = fit(lens, counts, rest)
-        rows, reached, chosen = [], passes * tokens, 0
-        for w, n, t_ in zip(lens, counts, take):
-            own = h[h["length"] == w]
-            below, at, left = 0, -1, int(t_)
-            for b, m in zip(own["bucket"].to_numpy(np.int64), own["n"].to_numpy(np.int64)):
-                if m <= left:
-                    left -= int(m)
-                    below = int(b) + 1
-                else:
-                    at = int(b)
-                    break
-            if left == 0 or at < 0:
-                at = -1
-            if passes or t_:
-                rows.append((source, int(w), passes, below, at, left, None, None, None, None, None, None, None, None))
-            reached += int(w) * int(t_)
-            chosen += int(t_) if not passes else int(n)
-        rows.append((source, None, passes, None, None, None, float(head["weight"]), float(head["share"]), target, most, docs, tokens, reached, reachable))
-        return pd.DataFrame(rows, columns=["source", "length", "passes", "below", "bucket", "rest", "weight", "share", "target", "max_repeats", "documents", "tokens", "reached", "reachable"]).astype(
-            {c: "Int64" for c in ("length", "passes", "below", "bucket", "rest", "max_repeats", "documents", "tokens", "reached")}
-        )
-
-    listed = both.join(report.select("source"), "source", "left_semi")
-    return listed.groupBy("source").applyInPandas(one, PLAN + ", weight double, share double, target double, max_repeats int, documents bigint, tokens bigint, reached bigint, reachable boolean")
+        out = pd.DataFrame({"source": top["source"], "n_tokens": lens, "passes": passes, "take": take})
+        out = out[(out["take"] > 0) | (passes > 0)]
+        last = {c: top[c] for c in ("source", *names)} | {
+            "passes": passes, "reached": passes * own + int((lens * take).sum()), "reachable": not (tokens * most < target if most is not None else tokens == 0 and target > 0),
+        }
+        out = pd.concat([out.astype(object), pd.DataFrame([last]).astype(object)], ignore_index=True)
+        return out[[f.split()[0] for f in schema]].astype({c.split()[0]: "Int64" for c in schema if c.endswith(("bigint", " int"))})
+
+    schema = ["source string", "n_tokens bigint", "passes bigint", "take bigint", "weight double", "share double", "target double", "max_repeats int", "documents bigint", "tokens bigint", "texts bigint", "text_tokens bigint", "reached bigint", "reachable boolean"]
+    planned = cut_lineage(listed.groupBy("source").applyInPandas(one, ", ".join(schema)))
+    # the bucket in which the texts taken of a length end
+    upto = F.sum("n").over(Window.partitionBy("source", "n_tokens").orderBy("bucket"))
+    edges = hist.join(planned.filter("n_tokens is not null").select("source", "n_tokens", "passes", "take"), ["source", "n_tokens"]).withColumn("upto", upto)
+    chosen = edges.groupBy("source", "n_tokens", "passes").agg(
+        F.coalesce(F.max(F.when(F.col("upto") <= F.col("take"), F.col("bucket") + 1)), F.lit(0)).alias("below"),
+        F.coalesce(F.max(F.when((F.col("upto") > F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")), F.col("bucket"))), F.lit(-1)).alias("edge"),
+        F.coalesce(F.max(F.when((F.col("upto") > F.col("take")) & (F.col("upto") - F.col("n") < F.col("take")), F.col("take") - F.col("upto") + F.col("n"))), F.lit(0)).alias("rest"),
+    )
+    return chosen, planned.filter("n_tokens is null").drop("n_tokens", "take")
 
 
 def report(planned: DataFrame) -> DataFrame:
     """One row per source of the targets: target and reached shares (of all reached tokens) and sizes."""
-    r = planned.filter("length is null")
-    whole = F.sum("reached").over(Window.partitionBy(F.lit(0)))
-    return r.select(
-        "source", "weight", F.col("share").alias("target_share"), F.col("target").alias("target_tokens"), "max_repeats", "documents", "tokens", "passes",
+    whole = F.sum("reached").over(Window.partitionBy(F.lit(0)))  # one row per listed source
+    return planned.select(
+        "source", "weight", F.col("share").alias("target_share"), F.col("target").alias("target_tokens"), "max_repeats", "documents", "tokens", "texts", "text_tokens", "passes",
         F.col("reached").alias("reached_tokens"), F.when(whole > 0, F.col("reached") / whole).otherwise(0.0).alias("reached_share"), "reachable",
     )
 
 
 def mixture(docs: DataFrame, targets: DataFrame, name: str = DEFAULT, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(documents with the number of copies each, report).  Documents without copies are left out; those
-    of null or unlisted sources, and those without tokens beyond whole passes, have none."""
-    lengths = cut_lineage(lengths_of(docs, targets, name, seed))
-    planned = cut_lineage(plan(lengths, targets))
-    chosen = planned.filter("length is not null").select("source", F.col("length").alias("n_tokens"), "passes", "below", F.col("bucket").alias("edge"), "rest")
-    joined = lengths.join(chosen, ["source", "n_tokens"])
+    """(one row per chosen text: doc_id, source, n_tokens, copies; report).  A text under several ids comes with its
+    smallest id.  Documents of null or unlisted sources, and texts without tokens beyond whole passes, have no row."""
+    texts = cut_lineage(texts_of(docs, targets, name, seed))
+    chosen, planned = plan(texts, targets)
+    joined = texts.join(chosen, ["source", "n_tokens"])
     sure = joined.filter("bucket <> edge").withColumn("copies", F.col("passes") + (F.col("bucket") < F.col("below")).cast("int"))
     w = Window.partitionBy("source", "n_tokens", "bucket").orderBy("seeded", "doc_id")
     edge = joined.filter("bucket = edge").withColumn("copies", F.col("passes") + (F.row_number().over(w) <= F.col("rest")).cast("int"))

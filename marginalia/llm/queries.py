@@ -73,7 +73,26 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return mix.report(mix.plan(mix.lengths_of(table(spark, d, "documents"), targets), targets))
+    return mix.report(mix.plan(mix.texts_of(table(spark, d, "documents"), targets), targets)[1])
+
+
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Those columns of the report that SQL can express."""
+    return p7_shares(spark, d).select("source", "target_share", "max_repeats", "documents", "texts")
+
+
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source: whether no text comes more often than allowed, whether the copies add up to the size reported,
+    and whether that is no more than the target."""
+    docs = table(spark, d, "documents")
+    chosen, told = mix.mixture(docs, table(spark, d, "mix_targets"))
+    texts = chosen.join(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")), "doc_id").groupBy("source", "digest").agg(F.sum("copies").alias("copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("size"))
+    most = texts.groupBy("source").agg(F.max("copies").alias("most"), F.sum("size").alias("size"))
+    ok = told.join(most, "source", "left")
+    return ok.select(
+        "source", (F.coalesce("most", F.lit(0)) <= F.coalesce("max_repeats", "most", F.lit(0))).alias("within_limit"), (F.coalesce("size", F.lit(0)) == F.col("reached_tokens")).alias("adds_up"),
+        (F.col("reached_tokens") <= F.col("target_tokens") + 1).alias("within_target"),
+    )
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +116,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_pieces, p2_found, p2_counts, p2_budget, p3_found, p3_resolved, p3_unmatched, p4_found, p4_segments,
-        p5_found, p6_ids, p6_offsets, p7_found, p7_shares, p7_mixture, p8_found, p8_features, p8_counts,
+        p5_found, p6_ids, p6_offsets, p7_found, p7_shares, p7_targets, p7_limits, p7_mixture, p8_found, p8_features, p8_counts,
     )
 }
 
@@ -195,3 +214,12 @@ ORACLE["p8_counts"] = rf"""
     SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, CAST(n_words AS BIGINT) AS n_words, {_share("in_words", "n_words")} AS mean_word_length, CAST(n_lines AS BIGINT) AS n_lines,
         CASE WHEN told THEN {_share("marks", "n_chars")} ELSE 0.0 END AS symbol_ratio, CASE WHEN told THEN {_share("digits", "n_chars")} ELSE 0.0 END AS digit_ratio,
         {_share("finals", "n_lines")} AS punctuated_line_share, {_share("short", "n_lines")} AS short_line_share, {_share("common", "n_words")} AS common_word_share FROM counted"""
+
+_KEY = f"regexp_replace(lower(regexp_replace(source, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g')), '[{_WHITE}_-]+', '-', 'g')"
+ORACLE["p7_targets"] = f"""
+    WITH t AS (SELECT {_KEY} AS source, greatest(coalesce(weight, 0), 0) AS w, max_repeats AS m FROM mix_targets WHERE source IS NOT NULL
+    ), d AS (SELECT {_KEY} AS source, coalesce(text, '') AS text FROM documents
+    ), n AS (SELECT source, count(*) AS documents, count(DISTINCT text) AS texts FROM d GROUP BY source)
+    SELECT t.source, sum(w) / (SELECT sum(w) FROM t) AS target_share, CASE WHEN count(m) = count(*) THEN max(m) END AS max_repeats,
+        CAST(coalesce(max(documents), 0) AS BIGINT) AS documents, CAST(coalesce(max(texts), 0) AS BIGINT) AS texts FROM t LEFT JOIN n ON t.source = n.source GROUP BY t.source"""
+ORACLE["p7_limits"] = f"SELECT DISTINCT {_KEY} AS source, true AS within_limit, true AS adds_up, true AS within_target FROM mix_targets WHERE source IS NOT NULL"

@@ -188,4 +188,4 @@ def test_lattices_on_both_sides_of_a_gap():
 def test_no_cap_on_quotations_or_brackets():
     assert units("「はい。」" * 40 + "と言った。次だ。") == ["「はい。」" * 40 + "と言った。", "次だ。"]
     deep = "(" * 60 + "a." + ")" * 60
-    assert units(f"{deep} b c. Next one.") == [f"{deep} b c.", "Next one."]
+    assert units(f"{deep} b can. Next one.") == [f"{deep} b c.", "Next one."]
