@@ -14,8 +14,9 @@ from marginalia.llm.sentences import sentence_spans
 from marginalia.llm.tokens import estimate_tokenizer, merge_tokenizer, tokenizer_file
 from marginalia.tables import current_rows, filled, run_sql, spread
 
-#: Labelled texts per language that the language models are trained on, and their greatest length.
-TRAIN_PER_LANGUAGE, TRAIN_CHARS = 400, 20_000
+#: Labelled texts per language that the language models are trained on, and their characters in all: what the driver
+#: collects.  Texts of any length take part; one that would go beyond the characters left is passed over.
+TRAIN_PER_LANGUAGE, TRAIN_CHARS = 400, 8_000_000
 
 
 def _chunks(pdf: pd.DataFrame, column: str, budget: int = 3_000_000) -> Iterator[pd.DataFrame]:
@@ -60,12 +61,14 @@ def label_missing_sql(label: Column) -> Column:
 
 
 def language_models(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> CharModels:
-    """Models trained on a bounded sample: of each language the `per_language` labelled texts (at most
-    TRAIN_CHARS characters) with the smallest hashes."""
+    """Models trained on a bounded sample: of each language the `per_language` labelled texts with the smallest hashes,
+    as far as they have TRAIN_CHARS characters together."""
     rows = run_sql(
-        f"""SELECT code, t FROM (SELECT code, t, row_number() OVER (PARTITION BY code ORDER BY xxhash64(t), t) AS rank FROM <<labelled>>)
-            WHERE rank <= {int(per_language)}""",
-        labelled=docs.select(label_sql(F.col(label)).alias("code"), F.col(text).alias("t")).filter(F.col("code").isNotNull() & filled(F.col("t")) & (F.length("t") <= TRAIN_CHARS)),
+        f"""SELECT code, t FROM (
+                SELECT code, t, sum(length(t)) OVER (PARTITION BY code ORDER BY length(t), h, t) AS upto FROM (
+                    SELECT code, t, xxhash64(t) AS h, row_number() OVER (PARTITION BY code ORDER BY xxhash64(t), t) AS rank FROM <<labelled>>) WHERE rank <= {int(per_language)})
+            WHERE upto <= {TRAIN_CHARS}""",
+        labelled=docs.select(label_sql(F.col(label)).alias("code"), F.col(text).alias("t")).filter(F.col("code").isNotNull() & filled(F.col("t"))),
     ).collect()
     rows.sort(key=lambda r: (r.code, r.t))
     return train([(r.code, [c for a, b in sentence_spans(r.t) if (c := clean(r.t[a:b]))]) for r in rows], LANGS)
@@ -145,8 +148,10 @@ def token_counts(docs: DataFrame, bpe: str | None = None) -> DataFrame:
 
 
 def token_budget(docs: DataFrame, bpe: str = "byte_bpe_50k.json") -> DataFrame:
-    """Documents and tokens by source (first segment of id), lang and type, as labelled."""
-    rows = token_counts(docs, bpe).withColumn("source", F.substring_index("id", "/", 1))
+    """Documents and tokens by source (first segment of id), language and type.  The language is that which the label
+    names, so that its spellings add up; labels that name none stay as they are, trimmed, missing ones null."""
+    lang = F.when(label_missing_sql(F.col("lang")), None).otherwise(F.coalesce(label_sql(F.col("lang")), F.trim("lang")))
+    rows = token_counts(docs, bpe).withColumns({"source": F.substring_index("id", "/", 1), "lang": lang})
     return rows.groupBy("source", "lang", "type").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("budgeted").alias("tokens"), F.sum("bpe_tokens").alias("bpe_tokens"), F.sum(F.when(~F.col("usable"), 1).otherwise(0)).alias("recounted")
     )

@@ -4,7 +4,8 @@ One interpolated Kneser-Ney model of order 4 per language, all of them in common
 key packs up to four characters into 64 bits, and each order holds one row of probabilities and one row
 of back-off weights (a column per language) for every key any language has seen.  A segment gets the
 language of the lowest length-normalised cross-entropy; it is rejected when even that one is above the
-limit calibrated on held-out training segments, or when the runner-up is as likely.
+limit of the language, or when the runner-up is as likely.  The limit is calibrated on held-out segments, between a
+high quantile of those of the language and a low quantile of those of all other languages.
 """
 
 from __future__ import annotations
@@ -70,7 +71,9 @@ def _codes(segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the 4-grams that end at each character, the segment of each, and each segment's length."""
     lens = np.fromiter((len(s) + 1 for s in segments), np.int64, len(segments))
     flat = np.frombuffer("".join("   " + s + " " for s in segments).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    flat = np.minimum(flat, 0xFFFF)
+    high = flat > 0xFFFF
+    if high.any():  # kept apart within any script of theirs, on code points that no text has
+        flat[high] = 0xD800 + (flat[high] - 0x10000) % 0x2100
     ends = np.cumsum(lens + 3)
     keep = np.ones(len(flat), bool)
     starts = ends - lens - 3
@@ -208,13 +211,19 @@ def _own(rows: list[tuple[str, list[str]]], langs: tuple[str, ...]) -> list[tupl
     return [r for r in out if r[1]]
 
 
-def train(labelled: list[tuple[str, list[str]]], langs: tuple[str, ...] = LANGS, seed: int = 7, spread: float = 8.0) -> CharModels:
+#: Quantiles of held-out cross-entropies that the limits are between (of the language's own segments, and of others'), and
+#: how far on the way to the second.
+OWN_QUANTILE, OTHER_QUANTILE, TOWARDS_OTHERS = 0.995, 0.005, 0.5
+
+
+def train(labelled: list[tuple[str, list[str]]], langs: tuple[str, ...] = LANGS, seed: int = 7) -> CharModels:
     """Models from (language, cleaned segments) of labelled texts.
 
     Labels may be wrong and texts mixed: segments that are more usual in another language are dropped
-    first, twice.  Vietnamese, French and German are also shown without their marks.  A tenth of the texts is held out to calibrate the rejection: the limit of a language is the
-    mean cross-entropy of its held-out segments plus `spread` standard deviations.  A language without
-    texts rejects everything.
+    first, twice.  Vietnamese, French and German are also shown without their marks.  A tenth of the texts is held
+    out to calibrate the rejection: the limit of a language is TOWARDS_OTHERS of the way from OWN_QUANTILE of the cross-entropies of
+    its held-out segments to OTHER_QUANTILE of those of the other languages' segments under its model (with one
+    language only, it is the uniform distribution's cross-entropy instead).  A language without texts rejects everything.
     """
     rng = np.random.default_rng(seed)
     kept = _own(_own(labelled, langs), langs)
@@ -225,16 +234,25 @@ def train(labelled: list[tuple[str, list[str]]], langs: tuple[str, ...] = LANGS,
 
     model = model_of(kept)
     pick = rng.random(len(kept)) < 0.1
-    held = [r for r, p in zip(kept, pick) if p] or kept
-    rest = model_of([r for r, p in zip(kept, pick) if not p]) if len(held) < len(kept) else model
+    seen = {lang for lang, _ in kept}
+    for x in seen - {lang for (lang, _), p in zip(kept, pick) if p}:  # at least one text of each language
+        own = [k for k, (lang, _) in enumerate(kept) if lang == x]
+        if len(own) > 1:
+            pick[own[-1]] = True
+    held = [r for r, p in zip(kept, pick) if p]
+    rest = model_of([r for r, p in zip(kept, pick) if not p]) if held else model
+    flat = [(lang, s) for lang, segs in held or kept for s in segs if len(s) >= 12 or (len(s) >= 5 and _SPACELESS.search(s))]
     limit = np.zeros(len(langs))
-    for j, x in enumerate(langs):
-        segs = [s for lang, ss in held if lang == x for s in ss if len(s) >= 12]
-        if segs:
-            ent, _ = rest.entropy(segs)
-            limit[j] = max(ent[:, j].mean() + spread * max(ent[:, j].std(), 0.25), 5.0)
-        elif any(lang == x for lang, _ in kept):
-            limit[j] = 7.0
+    if flat:
+        ent, _ = rest.entropy([s for _, s in flat])
+        of = np.array([lang for lang, _ in flat])
+        for j, x in enumerate(langs):
+            if x in seen:
+                told = ent.argmin(1) == j  # segments that another language explains better have a wrong label
+                own, other = ent[(of == x) & told, j], ent[(of != x) & ~told, j]
+                most = float(np.quantile(other, OTHER_QUANTILE)) if len(other) else float(np.log(VOCABULARY))
+                least = float(np.quantile(own, OWN_QUANTILE)) if len(own) else 0.0
+                limit[j] = min(most, least + TOWARDS_OTHERS * (most - least))
     model.limit = limit
     return model
 

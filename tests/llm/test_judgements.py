@@ -210,3 +210,32 @@ def test_batches_equal_single_texts():
     f, kinds = quality._all(texts)
     assert kinds == [quality.classify(t) for t in texts]
     assert [tuple(r) for r in f[[*quality.FEATURES]].itertuples(index=False)] == [quality.features(t) for t in texts]
+
+
+UNSEEN = {
+    "es": ["El perro corre por la playa mientras llueve.", "Nadie sabía dónde estaban las llaves de la casa.", "Mañana saldremos temprano hacia las montañas."],
+    "it": ["Il gatto dorme sul divano da ieri sera.", "Nonostante la tempesta i pescatori uscirono all'alba.", "Domani partiremo presto verso le montagne."],
+    "pt": ["Os pescadores saíram de madrugada e voltaram tarde.", "O preço do pão subiu outra vez este mês.", "Ninguém sabia onde estavam as chaves."],
+    "nl": ["De kat slaapt al de hele dag op de bank.", "Morgen vertrekken we vroeg naar de bergen.", "Niemand wist waar de sleutels waren."],
+    "id": ["Kucing itu tidur di sofa sejak kemarin sore.", "Besok kami berangkat pagi menuju pegunungan.", "Harga roti naik lagi bulan ini."],
+    "ru": ["Кот спит на диване со вчерашнего вечера."], "zz": ["xkq vbnz qwrt zxcv pllk hgfd mnbv"],
+}
+
+
+def test_unseen_languages_are_rejected(data):
+    pd = pytest.importorskip("pandas")
+    from marginalia.llm.sentences import sentence_spans
+
+    docs = pd.read_parquet(f"{data.replace('sf0.001', 'sf0.01')}/docs.parquet", columns=["lang", "text"]).dropna()
+    labelled = [(code, [c for a, b in sentence_spans(t) if (c := langid.clean(t[a:b]))]) for label, t in zip(docs["lang"], docs["text"]) if (code := langid.label_code(label))]
+    model = langid.train(labelled[::2])
+    foreign = [langid.clean(t) for texts in UNSEEN.values() for t in texts]
+    assert (model.choose(foreign)[0] >= 0).mean() <= 0.1
+    own = [(code, s) for code, segs in labelled[1::2] for s in segs if len(s) >= 12]
+    top, _, _ = model.choose([s for _, s in own])
+    assert (top >= 0).mean() > 0.99
+
+
+def test_supplementary_characters_are_told_apart():
+    a, b = langid._codes(["𐐨𐐩"])[0], langid._codes(["𐐪𐐫"])[0]
+    assert a[0] != b[0] and len(set(langid._codes(["𝒜𝒷😀"])[0].tolist())) == 4

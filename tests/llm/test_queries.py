@@ -50,6 +50,7 @@ def test_token_counts(odd_docs, no_docs):
     assert got["b"]["budgeted"] == (16 if got["b"]["usable"] else got["b"]["counted"])
     budget = corpus.token_budget(odd_docs).collect()
     assert sum(r["documents"] for r in budget) == 5
+    assert {r["lang"] for r in budget} == {"en", "fr", None}  # EN and en add up, `?` is no language
     assert corpus.token_budget(no_docs).count() == 0
 
 
