@@ -67,7 +67,7 @@ _rx = lru_cache(None)(regex.compile)
 _COMMON = frozenset(w for words in COMMON.values() for w in words.split())
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _BREAK = regex.compile(r"\r\n|[\r\x0b\x0c\x85\u2028\u2029]")
-_CJK = regex.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
+_CJK = regex.compile(r"[぀-ヿ㐀-䶿一-鿿\uF900-\uFAFFｦ-ﾟ]")
 _KANA = regex.compile(r"[ぁ-ん]")
 _HANGUL = regex.compile(r"[가-힯]")
 _LETTER = regex.compile(r"\p{L}")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.columns import estimate_tokens as _estimate
 from marginalia.llm import corpus, encode, mix, quality, split, tags
 from marginalia.llm.tokens import CJK_RANGES
 from marginalia.tables import current_rows, filled, table
@@ -14,6 +15,21 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.current_pieces(table(spark, d, "docs"))
 
 
+def p1_checked(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of each id checked by expressions of Spark: whether they cover the text, keep to the limit and share no
+    more than the overlap."""
+    docs = table(spark, d, "docs")
+    whole = current_rows(docs, "id", "text").select("id", F.length("text").alias("size"))
+    w = Window.partitionBy("id").orderBy("piece_no")
+    p = split.current_pieces(docs).withColumn("before", F.lag("end_pos", 1, 0).over(w))
+    p = p.withColumn("shared", _estimate(F.substring("text", F.lit(1), F.col("before") - F.col("start_pos"))))
+    own = p.groupBy("id").agg(
+        F.min("start_pos").alias("first"), F.max("end_pos").alias("last"), F.bool_and(F.col("start_pos") <= F.col("before")).alias("joined"),
+        F.bool_and(_estimate(F.col("text")) <= split.LIMIT).alias("within_limit"), F.bool_and((F.col("shared") <= split.OVERLAP) | (F.col("before") <= F.col("start_pos"))).alias("within_overlap"),
+    )
+    return own.join(whole, "id").select("id", ((F.col("first") == 0) & (F.col("last") == F.col("size")) & F.col("joined")).alias("covers"), "within_limit", "within_overlap")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return split.current_pieces(table(spark, d, "docs"), with_text=False).filter("piece_no = 0").select("id")
 
@@ -115,7 +131,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_pieces, p2_found, p2_counts, p2_budget, p3_found, p3_resolved, p3_unmatched, p4_found, p4_segments,
+        p1_found, p1_pieces, p1_checked, p2_found, p2_counts, p2_budget, p3_found, p3_resolved, p3_unmatched, p4_found, p4_segments,
         p5_found, p6_ids, p6_offsets, p7_found, p7_shares, p7_targets, p7_limits, p7_mixture, p8_found, p8_features, p8_counts,
     )
 }
@@ -141,6 +157,7 @@ _COUNT = f"((({_HUNDREDTHS}) + 99) // 100)"
 
 ORACLE = {
     "p1_found": f"SELECT id FROM {_CURRENT} WHERE {_FILLED} AND {_HUNDREDTHS} > 45000",
+    "p1_checked": f"SELECT id, true AS covers, true AS within_limit, true AS within_overlap FROM {_CURRENT} WHERE {_FILLED} AND {_HUNDREDTHS} > 45000",
     "p2_found": f"SELECT id FROM (SELECT id, tokens, {_COUNT} AS n FROM {_CURRENT} WHERE {_FILLED}) WHERE tokens IS NULL OR tokens <= 0 OR abs(tokens - n) * 10 > n",
     "p2_counts": f"""SELECT id, tokens, counted, usable, CASE WHEN usable THEN tokens ELSE counted END AS budgeted FROM (
         SELECT id, tokens, n AS counted, coalesce(tokens > 0 AND abs(tokens - n) * 10 <= n, false) AS usable

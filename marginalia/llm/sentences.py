@@ -91,7 +91,7 @@ QUOTES = frozenset("「『“„«‹\"")
 STRONG = "。！？｡．؟।॥។៕။።՜։།۔"
 TERM = frozenset(".!?…‥⋯" + STRONG)
 _EVENT = regex.compile(r'[.!?…。！？｡．‥⋯؟।॥។៕။።՜։།۔]+|["“”„«»‹›「」『』（）()\[\]【】《》〈〉〔〕［］]')
-_CJK = r"぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ"
+_CJK = r"぀-ヿ㐀-䶿一-鿿\uF900-\uFAFFｦ-ﾟ"
 _IS_CJK = regex.compile(f"[{_CJK}]")
 _KANA = regex.compile(r"[぀-ヿ]")
 _HANGUL = regex.compile(r"[가-힯ᄀ-ᇿ]")

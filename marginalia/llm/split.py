@@ -3,7 +3,8 @@
 Prefix sums of the estimate over all characters, and one sorted array of boundaries (headings,
 paragraphs, lines, sentences, words) per level.  A piece ends at the last boundary below the limit that
 a binary search finds, the strongest level in the second half of the piece first; the next piece begins
-at the first boundary from which no more than the overlap is shared.  A stretch without any boundary is
+at the first boundary from which no more than the overlap is shared, at a word where none of the others is near
+enough.  A stretch without any boundary is
 cut at the last character below the limit.
 """
 
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from marginalia.llm.sentences import sentence_spans
-from marginalia.llm.tokens import DIGIT_, MARKED_, WORD_, class_codes, costs
+from marginalia.llm.tokens import DIGIT, DIGIT_, MARKED, MARKED_, WORD, WORD_, class_codes, costs
 from marginalia.tables import current_rows, filled, spread
 
 LIMIT, OVERLAP = 450, 40
@@ -38,13 +39,34 @@ class Piece:
     cut: str  # what its end is
 
 
-def _cost(text: str, prefix: np.ndarray, inside: np.ndarray, a: int, b: int) -> int:
-    """Hundredths of text[a:b]; exact also where a or b lie inside a word."""
-    if a >= b:
-        return 0
-    if (a < len(inside) and inside[a]) or (b < len(inside) and inside[b]):
-        return int(costs(text[a:b]).sum())
-    return int(prefix[b] - prefix[a])
+class _Costs:
+    """Hundredths of any stretch of a text in constant time, also where it begins or ends inside a word."""
+
+    def __init__(self, text: str) -> None:
+        self.prefix = np.concatenate(([0], np.cumsum(costs(text))))
+        k = class_codes(text)
+        letter = (k == WORD_) | (k == MARKED_)
+        run = letter | (k == DIGIT_)
+        n = len(k)
+        inside = np.concatenate(([False], run[1:] & run[:-1], [False])) if n else np.zeros(1, bool)
+        at = np.arange(n + 1)
+        self.inside = inside
+        self.begin = np.maximum.accumulate(np.where(inside, -1, at))  # where the run around a position begins and ends
+        self.end = np.minimum.accumulate(np.where(inside, n, at)[::-1])[::-1]
+        self.digits, self.letters, self.marked = (np.concatenate(([0], np.cumsum(x))) for x in (k == DIGIT_, letter, k == MARKED_))
+
+    def _part(self, a: int, b: int) -> int:
+        """Of a part of one run."""
+        word = 0 if self.letters[a] == self.letters[b] else WORD if self.marked[a] == self.marked[b] else MARKED
+        return DIGIT * int(self.digits[b] - self.digits[a]) + word
+
+    def __call__(self, a: int, b: int) -> int:
+        if a >= b:
+            return 0
+        e, s = int(self.end[a]) if self.inside[a] else a, int(self.begin[b]) if self.inside[b] else b
+        if e > s:
+            return self._part(a, b)
+        return self._part(a, e) + int(self.prefix[s] - self.prefix[e]) + self._part(s, b)
 
 
 def boundaries(text: str, sentences: bool = True) -> list[np.ndarray]:
@@ -74,24 +96,21 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
         raise ValueError("limit must be at least 2 and overlap below it")
     if not text:
         return []
-    each = costs(text)
-    prefix = np.concatenate(([0], np.cumsum(each)))
+    cost = _Costs(text)
+    prefix = cost.prefix
     n, most, share = len(text), limit * 100, overlap * 100
     if prefix[-1] <= most:
         return [Piece(0, n, int(-(-prefix[-1] // 100)), 0, "end")]
-    k = class_codes(text)
-    run = (k == WORD_) | (k == MARKED_) | (k == DIGIT_)
-    inside = np.concatenate(([False], run[1:] & run[:-1]))
     levels = boundaries(text)
     out: list[Piece] = []
     start, before = 0, 0
     while True:
-        if _cost(text, prefix, inside, start, n) <= most:
+        if cost(start, n) <= most:
             end, cut = n, "end"
         else:
             reach = int(np.searchsorted(prefix, prefix[start] + most, "right")) - 1  # the last position within the limit
             reach = min(max(reach, start + 1), n - 1)
-            while reach > start + 1 and _cost(text, prefix, inside, start, reach) > most:
+            while reach > start + 1 and cost(start, reach) > most:
                 reach -= 1
             half = int(np.searchsorted(prefix, prefix[start] + most // 2))
             end, cut = -1, ""
@@ -109,16 +128,18 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
                     break
             if end < 0:
                 end, cut = reach, "hard"
-        shared = _cost(text, prefix, inside, start, before) if out else 0
-        out.append(Piece(start, end, int(-(-_cost(text, prefix, inside, start, end) // 100)), int(-(-shared // 100)), cut))
+        shared = cost(start, before) if out else 0
+        out.append(Piece(start, end, int(-(-cost(start, end) // 100)), int(-(-shared // 100)), cut))
         if end == n:
             return out
         # step back by the overlap: to the first boundary from which at most `share` is repeated
         back = int(np.searchsorted(prefix, prefix[end] - share))
         nxt = end
-        for at in levels[:4] if cut != "hard" else levels:
+        for name, at in zip(LEVELS, levels):
+            if name == "word" and nxt < end and cut != "hard":
+                break  # words only where nothing larger fits the overlap
             j = int(np.searchsorted(at, max(back, start + 1)))
-            if j < len(at) and at[j] < end and _cost(text, prefix, inside, int(at[j]), end) <= share:
+            if j < len(at) and at[j] < end and cost(int(at[j]), end) <= share:
                 nxt = min(nxt, int(at[j]))
         before = end
         start = nxt

@@ -116,6 +116,28 @@ def test_pieces_cover_the_text_within_the_limits(text):
     assert (len(pieces) > 1) == (tokens.estimate(text) > 45)
 
 
+def test_pieces_of_text_without_sentences_share_words():
+    text = " ".join(f"word{k % 7}" for k in range(3000))
+    got = split.split_text(text)
+    assert len(got) > 5 and all(0 < p.shared <= 40 for p in got[1:])
+
+
+def test_costs_of_any_stretch():
+    rng = random.Random(4)
+    for t in [*odd_texts(40, 3), "a1" * 30, "1" * 40, "12ab34é5" * 6]:
+        cost = split._Costs(t)
+        for _ in range(40):
+            a, b = sorted((rng.randint(0, len(t)), rng.randint(0, len(t))))
+            assert cost(a, b) == int(tokens.costs(t[a:b]).sum()), (t, a, b)
+
+
+def test_long_runs_are_split_in_linear_time():
+    began = time.time()
+    for t in ("1" * 300_000, "a" * 300_000, "a1" * 150_000):
+        split.split_text(t)
+    assert time.time() - began < 10
+
+
 def test_pieces_end_at_natural_boundaries():
     text = "\n\n".join(f"## Part {k}\n\n" + "The crew checks every box at noon. " * 12 for k in range(8))
     cuts = {p.cut for p in split.split_text(text)}
@@ -188,4 +210,4 @@ def test_lattices_on_both_sides_of_a_gap():
 def test_no_cap_on_quotations_or_brackets():
     assert units("「はい。」" * 40 + "と言った。次だ。") == ["「はい。」" * 40 + "と言った。", "次だ。"]
     deep = "(" * 60 + "a." + ")" * 60
-    assert units(f"{deep} b can. Next one.") == [f"{deep} b c.", "Next one."]
+    assert units(f"{deep} b can. Next one.") == [f"{deep} b can.", "Next one."]
