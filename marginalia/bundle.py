@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import columns as C
+from marginalia.functions import fields as metadata
 from marginalia.functions import markdown as M
+from marginalia.functions.fields import EXTRA
 from marginalia.tables import current_rows, spread, table
 
-#: Metadata fields kept as columns, beside those of every document.
-EXTRA = ("department", "region", "customer", "effective_from", "effective_to", "contract_value", "currency")
 DOC_COLUMNS = ("id", "path", "type", "title", "description", "lang", "status", "updated", *EXTRA, "reserved", "fm_state", "tokens")
 
 
@@ -58,15 +58,7 @@ class Bundle:
 
     def fields(self) -> DataFrame:
         """doc_id, key, idx, value_type, value_text, value_num of every metadata field that isn't null."""
-        d = self.docs
-        kinds = dict(d.dtypes)
-        each = [
-            F.struct(F.lit(c).alias("key"), F.lit("number" if kinds[c] in ("bigint", "int", "double") else "string").alias("value_type"), d[c].cast("string").alias("value_text"), (d[c].cast("double") if kinds[c] in ("bigint", "int", "double") else F.lit(None).cast("double")).alias("value_num"))
-            for c in ("type", "title", "description", "lang", "status", "updated", *EXTRA)
-            if c in kinds
-        ]
-        x = d.select(F.col("id").alias("doc_id"), F.explode(F.array(*each)).alias("f")).select("doc_id", "f.key", F.lit(0).alias("idx"), "f.value_type", "f.value_text", "f.value_num")
-        return x.filter("value_text is not null")
+        return metadata.long_table(self.docs)
 
     def chunks(self) -> DataFrame:
         """id (of document and number), doc_id, ord, heading, text, start_line, end_line, tokens; reserved
@@ -108,7 +100,12 @@ def canonical_tags(tags: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def from_testdata(spark: SparkSession, folder: str) -> Bundle:
     """The bundle of the driver's tables: the current rows of docs, their tags, and the other tables as
     datasets."""
-    docs = current_rows(table(spark, folder, "docs"), "id", *[c for c in DOC_COLUMNS if c != "id"], "text").withColumnRenamed("text", "body")
+    docs = current_rows(table(spark, folder, "docs"), "id", *[c for c in DOC_COLUMNS if c != "id"], "generated", "text").withColumnRenamed("text", "body")
+    # the block as it would stand before the body, and its content as JSON; columns that nobody asks for aren't worked out
+    keys = [c for c in DOC_COLUMNS if c in metadata.COLUMNS]
+    block = F.concat(F.lit("---\n"), F.concat_ws("", *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string"), F.lit("\n")) for c in keys]), F.lit("---\n"))
+    docs = docs.withColumn("fm_raw", F.when(F.col("fm_state") == "valid", block).otherwise(""))
+    docs = docs.withColumn("frontmatter", F.to_json(F.struct(*keys, F.col("generated.by").alias("generated_by"), F.col("generated.at").alias("generated_at")))).drop("generated")
     tags = table(spark, folder, "doc_tags").select("doc_id", "ord", "tag").distinct().filter(C.blank_to_null(F.col("tag")).isNotNull())
     tags = tags.withColumn("norm", C.normalize_tag(F.col("tag"))).withColumn("folded", C.fold(F.col("norm")))
     vocabulary = table(spark, folder, "terms")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import posixpath
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from urllib.parse import unquote_to_bytes
+from itertools import accumulate
+from urllib.parse import unquote
 
 import regex
 import yaml
 
-from marginalia.functions.columns import CJK, TOKEN_CJK, TOKEN_DIGIT, TOKEN_MARKED, TOKEN_NEWLINE, TOKEN_OTHER, TOKEN_WORD
+from marginalia.functions.columns import CJK, EMPHASIS, INLINE, TOKEN_CJK, TOKEN_DIGIT, TOKEN_MARKED, TOKEN_NEWLINE, TOKEN_OTHER, TOKEN_WORD
 
 # ---- fixed values ---------------------------------------------------------------------------------
 CHUNK_MIN, CHUNK_MAX, CHUNK_LINE_CHARS = 150, 450, 1350
@@ -22,6 +25,7 @@ _CJK = regex.compile(f"[{CJK}]")
 _OTHER = regex.compile(rf"[^\p{{L}}\p{{N}}\p{{White_Space}}{CJK}]")
 _RUN = regex.compile(rf"[[\p{{L}}\p{{N}}]--[{CJK}]]+", regex.V1)
 _MARKED = regex.compile("[À-ỹ]")
+_INLINE, _EMPHASIS = regex.compile(INLINE), regex.compile(EMPHASIS)
 
 
 def tokens(text: str | None) -> int:
@@ -115,15 +119,26 @@ def headings(body: str | None) -> list[tuple[int, str, int]]:
     return out
 
 
-def section(body: str | None, wanted: str, fold) -> str | None:
-    """From the first heading that holds the folded text to the next of the same or a higher level."""
+def _found(body: str | None, wanted: str, fold) -> tuple[list[tuple[int, str, int]], int | None]:
+    """The headings, and which of them is the first to hold the folded text."""
     heads = headings(body)
     want = fold(wanted.strip().lstrip("#").strip())
-    for k, (level, text, at) in enumerate(heads):
-        if want in fold(text):
-            end = next((line for lev, _, line in heads[k + 1 :] if lev <= level), None)
-            return "\n".join(_lines(body)[at - 1 : end - 1 if end else None])
-    return None
+    return heads, next((k for k, (_, text, _) in enumerate(heads) if want in fold(text)), None)
+
+
+def section_heading(body: str | None, wanted: str, fold) -> str | None:
+    heads, k = _found(body, wanted, fold)
+    return None if k is None else heads[k][1]
+
+
+def section(body: str | None, wanted: str, fold) -> str | None:
+    """From the first heading that holds the folded text to the next of the same or a higher level."""
+    heads, k = _found(body, wanted, fold)
+    if k is None:
+        return None
+    level, _, at = heads[k]
+    end = next((line for lev, _, line in heads[k + 1 :] if lev <= level), None)
+    return "\n".join(_lines(body)[at - 1 : end - 1 if end else None])
 
 
 def cut_to_tokens(text: str | None, budget: int) -> tuple[str, bool]:
@@ -151,22 +166,9 @@ def first_h1(body: str | None) -> str | None:
     return None
 
 
-@lru_cache(None)
-def _inline():
-    return [
-        (regex.compile(p), r)
-        for p, r in (
-            (r"\[\[[^\]|#]+(?:#[^\]|]*)?\|([^\]]+)\]\]", r"\1"), (r"\[\[([^\]|#]+)(?:#[^\]|]*)?\]\]", r"\1"), (r"!?\[([^\]]*)\]\([^)]*\)", r"\1"),
-            (r"\[([^\]]+)\]\[[^\]]*\]", r"\1"), (r"\[\^[^\]]*\]|<[^>]+>", ""), (r"(?:\*\*|__|\*|_|~~)([^*_~]+)(?:\*\*|__|\*|_|~~)", r"\1"),
-        )
-    ]
-
-
 def clean(s: str) -> str:
     """Inline markdown as plain text."""
-    for p, r in _inline():
-        s = p.sub(r, s)
-    return " ".join(s.split())
+    return " ".join(_EMPHASIS.sub(r"\1", _INLINE.sub(r"\1\2\3\4", s)).split())
 
 
 # -- chunks ------------------------------------------------------------------------------------------
@@ -182,62 +184,67 @@ class Chunk:
     tokens: int
 
 
+def _sections(lines: list[str]) -> list[tuple[str, int, int]]:
+    """(heading path, first line, line after the last) of what lies between ## and ### headings; the path of a ###
+    begins with the ## above it."""
+    marks = [(1, 0, "")] if lines else []
+    plain = {n for n, _, ok in _open_lines("\n".join(lines)) if ok}
+    for n, line in enumerate(lines, 1):
+        if n in plain and (m := regex.match(r"#(#{1,2}) (.*)", line)):
+            marks.append((n, len(m[1]), m[2].strip().rstrip("#").strip()))
+    out, above = [], ""
+    for (n, level, text), end in zip(marks, [*(m[0] for m in marks[1:]), len(lines) + 1]):
+        if level == 1:
+            above = text
+        path = f"{above} > {text}" if level == 2 and above else f" > {text}" if level == 2 else text
+        out.append((path.removeprefix(" > "), n, end))
+    return out
+
+
+def _reach(sums: list[int], at: int, most: int) -> int:
+    """The last position up to which no more than `most` has come since `at`."""
+    return bisect_right(sums, sums[at] + most) - 1
+
+
 def chunks(body: str | None) -> list[Chunk]:
     """Sections at ## and ### outside of fences; small ones are joined to the one before while it is
-    below CHUNK_MIN and both fit CHUNK_MAX; large ones are cut at lines, and huge lines at characters."""
-    sections: list[list] = [["", "", 1, 0]]  # heading, text, first line, last line
-    h2 = h3 = ""
+    below CHUNK_MIN and both fit CHUNK_MAX; large ones are cut at lines, and huge lines at characters.
+
+    Both are cuts in prefix sums: of the sections' sizes, and of the lines' sizes within a large section.
+    """
     lines = (body or "").splitlines()
-    outside = {n: plain for n, _, plain in _open_lines("\n".join(lines))}
-    for n, line in enumerate(lines, 1):
-        m = regex.match(r"(##|###) (.*)", line) if outside.get(n) else None
-        if m:
-            text = m[2].strip().rstrip("#").strip()
-            h2, h3 = (text, "") if m[1] == "##" else (h2, text)
-            sections.append([f"{h2} > {h3}" if h3 else h2, "", n, n])
-        sections[-1][1] += line + "\n"
-        sections[-1][3] = n
-    groups: list[list] = []
-    held: list | None = None
-    size = 0
-    for s in (x for x in sections if x[1].strip()):
-        t = tokens(s[1])
-        if t > CHUNK_MAX:
-            if held:
-                groups.append(held)
-                held = None
-            groups.extend(_cut(s))
-        elif held and size < CHUNK_MIN and size + t <= CHUNK_MAX:
-            held[1] += s[1]
-            held[3] = s[3]
-            size += t
-        else:
-            if held:
-                groups.append(held)
-            held, size = list(s), t
-    if held:
-        groups.append(held)
-    kept = [(h, t.strip(), a, max(a, b)) for h, t, a, b in groups if t.strip()]
+    joined = lambda a, b: "\n".join(lines[a - 1 : b - 1]) + "\n"
+    sections = [x for x in _sections(lines) if joined(x[1], x[2]).strip()]
+    sums = [0, *accumulate(tokens(joined(a, b)) for _, a, b in sections)]
+    spans: list[tuple[str, str, int, int]] = []
+    at = 0
+    while at < len(sections):
+        heading, first, end = sections[at]
+        if sums[at + 1] - sums[at] > CHUNK_MAX:
+            spans += [(heading, t, a, b) for t, a, b in _cut(lines, first, end)]
+            at += 1
+            continue
+        stop = max(at + 1, min(bisect_left(sums, sums[at] + CHUNK_MIN), _reach(sums, at, CHUNK_MAX)))
+        spans.append((heading, joined(first, sections[stop - 1][2]), first, sections[stop - 1][2] - 1))
+        at = stop
+    kept = [(h, t.strip(), a, b) for h, t, a, b in spans if t.strip()]
     return [Chunk(k, h, t, a, b, tokens(t)) for k, (h, t, a, b) in enumerate(kept)]
 
 
-def _cut(s: list) -> list[list]:
-    heading, text, first, _ = s
-    out, run, used, start = [], "", 0, first
-    for n, line in enumerate(text.splitlines(keepends=True), first):
-        t = tokens(line)
-        if run and used + t > CHUNK_MAX:
-            out.append([heading, run, start, n - 1])
-            run, used, start = "", 0, n
-        if t > CHUNK_MAX:
-            out.extend([heading, line[k : k + CHUNK_LINE_CHARS], n, n] for k in range(0, len(line), CHUNK_LINE_CHARS))
-            start = n + 1
-            continue
-        run, used = run + line, used + t
-        last = n
-    if run:
-        out.append([heading, run, start, last])
-    return out
+def _cut(lines: list[str], first: int, end: int) -> Iterator[tuple[str, int, int]]:
+    """(text, first line, last line) of the parts of the lines from `first` to before `end`."""
+    own = [x + "\n" for x in lines[first - 1 : end - 1]]
+    sums = [0, *accumulate(map(tokens, own))]
+    at = 0
+    while at < len(own):
+        stop = _reach(sums, at, CHUNK_MAX)
+        if stop == at:
+            line = own[at]
+            yield from ((line[k : k + CHUNK_LINE_CHARS], first + at, first + at) for k in range(0, len(line), CHUNK_LINE_CHARS))
+            stop += 1
+        else:
+            yield "".join(own[at:stop]), first + at, first + stop - 1
+        at = stop
 
 
 # -- links -------------------------------------------------------------------------------------------
@@ -258,97 +265,73 @@ def links(body: str | None) -> list[tuple[str, str, str, int]]:
 
 
 def resolve_link(source: str, target: str) -> str | None:
-    """The id a markdown link in document `source` leads to; null for other targets."""
-    t = regex.split("[#?]", target.strip(), maxsplit=1)[0]
-    scheme, colon, _ = t.partition(":")
-    if not t or t.startswith("//") or (colon and len(scheme) > 1 and regex.fullmatch(r"[A-Za-z0-9+.-]+", scheme)):
+    """The id a markdown link in document `source` leads to; null for addresses, other files and what lies above the
+    collection.  A folder stands for its index."""
+    address, _, _ = target.strip().replace("?", "#").partition("#")
+    if not address or regex.match(r"[\w+.-]{2,}:|//", address, regex.A):
         return None
     try:
-        t = unquote_to_bytes(t).decode()
+        address = unquote(address, errors="strict")
     except UnicodeDecodeError:
         pass
-    folder = source.rpartition("/")[0]
-    path = t[1:] if t.startswith("/") else f"{folder}/{t}" if folder else t
-    parts: list[str] = []
-    for seg in path.split("/"):
-        if seg == "..":
-            if not parts:
-                return None
-            parts.pop()
-        elif seg not in ("", "."):
-            parts.append(seg)
-    if path.endswith("/") or not parts:
-        parts.append("index")
-    elif parts[-1].endswith(".md"):
-        parts[-1] = parts[-1].removesuffix(".md")
-    else:
+    at = posixpath.normpath(address.lstrip("/") or "." if address.startswith("/") else posixpath.join(posixpath.dirname(source), address))
+    if at.split("/")[0] == ".." or "\\" in at:
         return None
-    return "/".join(parts) if all(parts) and not any("\\" in p for p in parts) else None
+    if at == "." or address.endswith("/"):
+        return posixpath.normpath(posixpath.join(at, "index"))
+    return at[:-3] if at.endswith(".md") and not at.endswith("/.md") and at != ".md" else None
 
 
 # -- first sentence ----------------------------------------------------------------------------------
 
 
+#: The blocks of a document: those without sentences of their own first, then list items, then lines of text.
+_BLOCKS = regex.compile(
+    r"""(?mx)
+    ^[ \t]*(?P<fence>```|~~~) [\s\S]*? (?: \n[ \t]*(?P=fence)[^\n]* | \Z )
+  | ^[ \t]*:::[^\n]+ (?: [\s\S]*? \n[ \t]*:::[ \t]*$ | [\s\S]*\Z )
+  | ^[ \t]*<(?!http)(?P<tag>[A-Za-z][\w-]*) [^\n]* (?: (?<=/>|</(?P=tag)>)[ \t]*$ | [\s\S]*? </(?P=tag)>[^\n]* | $ )
+  | ^[ \t]*(?: [#|>] | !\[ | \[!\[ | <(?!http) | (?:import|export)[ ] | \{/\* | -{3} | ={3} | ::: ) [^\n]*
+  | ^[ \t]*(?:[-*+]|\d+[.)])[ ]+(?P<item>[^\n]+)
+  | (?P<blank>^[ \t]*$)
+  | (?P<text>^[^\n]+)
+    """
+)
+_END = regex.compile(r"[。！？]|[.!?](?=\s|\Z)")
+
+
 def first_sentence(body: str | None) -> str | None:
     """The first meaningful sentence: of a paragraph, else of a list item.  Code, tables, headings, HTML,
     admonitions and images are skipped; a paragraph needs eight letters."""
-    texts: list[tuple[bool, str]] = []
-    run: list[str] = []
-
-    def close(listed: bool) -> None:
-        t = clean(" ".join(run))
-        run.clear()
-        if len(regex.findall(r"\p{L}", t)) >= 8:
-            texts.append((listed, t))
-
-    fenced = noted = False
-    depth = 0
-    for line in (body or "").splitlines():
-        t = line.strip()
-        if t.startswith(("```", "~~~")):
-            fenced = not fenced
-            close(False)
-        elif fenced:
+    found: dict[str, list[list[str]]] = {"text": [[]], "item": []}
+    for m in _BLOCKS.finditer("\n".join((body or "").splitlines())):
+        if m["text"]:
+            found["text"][-1].append(m["text"])
             continue
-        elif t.startswith(":::"):
-            noted = not noted and len(t) > 3
-            close(False)
-        elif noted:
-            continue
-        elif t.startswith("<") and not t.startswith("<http"):
-            depth = max(0, depth + t.count("<") - 2 * t.count("</") - t.count("/>"))
-            close(False)
-        elif depth:
-            if t.endswith(">") or t.startswith("</"):
-                depth -= 1
-        elif not t or t.startswith(("#", "|", ">", "![", "[![", "import ", "export ", "{/*", "---", "===")):
-            close(False)
-        elif m := regex.match(r"(?:[-*+]|\d+[.)]) +", t):
-            close(False)
-            run.append(t[m.end() :])
-            close(True)
-        else:
-            run.append(t)
-    close(False)
-    text = next((t for listed, t in texts if not listed), texts[0][1] if texts else None)
-    return _first(text) if text else None
-
-
-def _first(text: str) -> str:
-    weight, end = 0, len(text)
-    for i, c in enumerate(text):
-        weight += 3 if _CJK.match(c) else 1
-        stop = c in "。！？" or (c in ".!?" and (i + 1 == len(text) or text[i + 1].isspace()) and not _abbreviated(text[:i]))
-        if stop and weight >= min(SENTENCE_MIN, len(text)):
-            end = i + 1
-            break
+        found["text"].append([])  # whatever else comes ends a paragraph
+        if m["item"]:
+            found["item"].append([m["item"]])
+    for kind in ("text", "item"):
+        for lines in found[kind]:
+            t = clean(" ".join(lines))
+            if len(regex.findall(r"\p{L}", t)) >= 8:
+                return _shown(t)
+    return None
+
+
+def _shown(text: str) -> str:
+    """The first sentence of a text, or more until it is SENTENCE_MIN wide (a CJK character counts three); at most
+    SENTENCE_MAX characters, then cut at a blank."""
+    ends = (m.end() for m in _END.finditer(text) if m.group() != "." or not _abbreviated(text, m.start()))
+    end = next((e for e in ends if e + 2 * len(_CJK.findall(text, 0, e)) >= SENTENCE_MIN), len(text))
     s = text[:end].strip()
     if len(s) <= SENTENCE_MAX:
         return s
-    cut = s[: SENTENCE_MAX - 1]
-    return (cut.rpartition(" ")[0] or cut).rstrip(",;:") + "…"
+    whole = regex.match(rf"(?s).{{1,{SENTENCE_MAX - 1}}}(?=\s)", s)
+    return (whole.group() if whole else s[: SENTENCE_MAX - 1]).rstrip(",;: ") + "…"
 
 
-def _abbreviated(before: str) -> bool:
-    word = regex.search(r"\S*\Z", before).group().lower()
-    return len(word) == 1 or word.lstrip("(") in ABBREVIATIONS
+def _abbreviated(text: str, at: int) -> bool:
+    """Whether the full stop belongs to a single letter or a known abbreviation."""
+    word = text[:at].rsplit(maxsplit=1)[-1:] if not text[at - 1 : at].isspace() else []
+    return bool(word) and (len(word[0]) == 1 or word[0].lower().lstrip("(") in ABBREVIATIONS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marginalia.bundle import Bundle
 from marginalia.functions import columns as C
+from marginalia.functions import fields as metadata
 from marginalia.functions import markdown as M
 from marginalia.operators.query import Filter, facet_values, matching, visible
 from marginalia.operators.scope import EVERYTHING, Scope
@@ -40,7 +42,8 @@ def line_range(spec: str, count: int) -> tuple[int, int]:
 
 
 def get(b: Bundle, id_: str, section: str | None = None, lines: str | None = None, max_tokens: int = 4000, scope: Scope = EVERYTHING) -> dict:
-    """One document, one of its sections or a range of its lines, cut to a token budget (at least 100)."""
+    """One document, one of its sections or a range of its lines, cut to a token budget (at least 100); `section` is the
+    heading found, `tokens` counts the whole document."""
     key = re.sub(r"^(\./|/)+", "", id_.strip()).removesuffix(".md")
     row = visible(b, scope).filter(F.col("id") == key).first()
     if row is None:
@@ -58,8 +61,10 @@ def get(b: Bundle, id_: str, section: str | None = None, lines: str | None = Non
     else:
         content = body
     content, cut = M.cut_to_tokens(content, max(100, max_tokens))
+    at = M.section_heading(body, section, C.fold_text) if section and not missing else None
+    fields = json.loads(row["frontmatter"]) if "frontmatter" in b.docs.columns and row["frontmatter"] else {}
     shown = [(level, text) for level, text, _ in heads if level <= 2] if cut or missing else []
-    return {"id": key, "path": row["path"], "title": row["title"], "content": content, "section": section, "truncated": cut, "headings": shown, "tokens": M.tokens(content)}
+    return {"id": key, "path": row["path"], "title": row["title"], "frontmatter": fields, "content": content, "section": at, "truncated": cut, "headings": shown, "tokens": M.tokens(body)}
 
 
 def sections_of(docs: DataFrame, wanted: str) -> DataFrame:
@@ -265,8 +270,8 @@ def content_langs(docs: DataFrame) -> DataFrame:
 
 def frequent_fields(b: Bundle, docs: DataFrame, top: int = 12) -> DataFrame:
     """key and documents of custom fields in at least a tenth of the documents, the most frequent first."""
-    own = b.fields().filter(~F.col("key").isin("type", "title", "description", "lang", "status", "updated")).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    per = own.groupBy("key").agg(F.countDistinct("doc_id").alias("documents"))
+    own = metadata.long_table(docs).filter(~F.col("key").isin(*metadata.STANDARD_KEYS))
+    per = own.select("doc_id", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("documents"))
     n = docs.agg(F.greatest(F.floor(F.count(F.lit(1)) / 10), F.lit(1)).alias("least"))
     return per.join(F.broadcast(n), F.col("documents") >= F.col("least")).select("key", "documents").orderBy(F.desc("documents"), "key").limit(top)  # n is one row
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
@@ -40,7 +41,7 @@ def compile_pattern(pattern: str, compat: bool = False) -> Pattern:
     return Pattern(folded, False)
 
 
-def line_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "body") -> DataFrame:
+def line_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "whole") -> DataFrame:
     """key, line (number), text and hit of each line of the documents with a match, only matching lines
     being hits.  A match over several lines counts on its first.  Null texts match nothing."""
     rx, literal = p.text, p.literal
@@ -51,7 +52,11 @@ def line_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "body")
             rows = []
             for k, t in zip(pdf["k"], pdf["t"]):
                 folded = fold_text(t)
-                at = sorted({folded.count("\n", 0, m.start()) + 1 for m in find.finditer(folded)})
+                starts = [m.start() for m in find.finditer(folded) if m.end() > m.start() or m.start() < len(folded)]
+                if not starts:
+                    continue
+                breaks = np.flatnonzero(np.frombuffer(folded.encode("utf-32-le", "surrogatepass"), np.uint32) == 10)
+                at = (np.unique(np.searchsorted(breaks, starts)) + 1).tolist()
                 if at:
                     rows.append((k, at, t.split("\n")))
             yield pd.DataFrame(rows, columns=["k", "hits", "lines"])
@@ -60,7 +65,7 @@ def line_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "body")
     return slim.mapInPandas(run, f"k {docs.schema[key].dataType.simpleString()}, hits array<int>, lines array<string>").withColumnRenamed("k", key)
 
 
-def native_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "body") -> DataFrame:
+def native_hits(docs: DataFrame, p: Pattern, key: str = "id", text: str = "whole") -> DataFrame:
     """The same without Python, for patterns that can't match a line feed and Latin text: key, line, text."""
     from marginalia.functions.columns import fold_native
 
@@ -104,7 +109,11 @@ def budgeted(hits: DataFrame, limit: int = 40, context: int = 1, key: str = "id"
 
 
 def corpus(b: Bundle, path: str | None = None, f: Filter | None = None, scope: Scope = EVERYTHING) -> DataFrame:
+    """The documents searched, with `whole`: the metadata block as written, and the body behind it, so that lines are
+    numbered as in the file."""
     d = matching(b, f or Filter(), scope)
+    block = F.coalesce("fm_raw", F.lit("")) if "fm_raw" in d.columns else F.lit("")
+    d = d.withColumn("whole", F.concat(block, F.coalesce("body", F.lit(""))))
     return d.filter(glob_predicate(path, F.col("id"))) if path else d
 
 

@@ -15,6 +15,8 @@ from marginalia.functions import markdown as M
 from marginalia.operators import access
 from marginalia.tables import cut_lineage
 
+#: Rules on single documents that look at every document.
+ALWAYS = ("missing-frontmatter", "invalid-frontmatter", "doc-too-long")
 SCHEMA = "rule string, level int, severity string, path string, line int, field string, message string"
 STATUSES = ("stable", "deprecated", "draft")
 
@@ -54,6 +56,20 @@ class Context:
     def docs(self) -> DataFrame:
         return self.bundle.docs.filter(~F.coalesce("reserved", F.lit(False)))
 
+    @property
+    def usable(self) -> DataFrame:
+        """Documents with a metadata block that can be read, outside of _meta/: only they have findings on their
+        metadata, on others those would only repeat what is wrong with the block."""
+        return self.docs.filter(_usable())
+
+
+def _usable() -> Column:
+    return F.coalesce(F.col("fm_state") == "valid", F.lit(False)) & ~_is_meta(F.col("id"))
+
+
+def _is_meta(c: Column) -> Column:
+    return (c == "_meta") | c.startswith("_meta/")
+
 
 def diagnostic(df: DataFrame, code: str, path: Column, message: Column | str = "", line: Column | int | None = None, fld: str | None = None) -> DataFrame:
     level, severity = RULES.get(code, (0, "warning"))
@@ -85,13 +101,13 @@ def _filters(c: Context) -> DataFrame:
         "invalid-updated": F.coalesce(~empty("updated") & ~C.is_iso_date(F.col("updated")), F.lit(False)),
         "invalid-effective-range": bad_range,
     }
-    each = F.array_compact(F.array(*[F.when(p, F.struct(F.lit(code).alias("rule"), F.lit(RULES[code][0]).alias("level"), F.lit(RULES[code][1]).alias("severity"))) for code, p in checks.items() if code not in c.disabled]))
+    each = F.array_compact(F.array(*[F.when(p, F.struct(F.lit(code).alias("rule"), F.lit(RULES[code][0]).alias("level"), F.lit(RULES[code][1]).alias("severity"))) for code, p in ((code, p if code in ALWAYS else p & _usable()) for code, p in checks.items()) if code not in c.disabled]))
     rows = c.docs.select("path", F.explode(each).alias("x"))
     return rows.select("x.rule", "x.level", "x.severity", "path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("field"), F.lit("").alias("message"))
 
 
 def _tags(c: Context) -> list[DataFrame]:
-    tags, docs, out = c.bundle.tags, c.docs.select(F.col("id").alias("doc_id"), "path"), []
+    tags, docs, out = c.bundle.tags, c.usable.select(F.col("id").alias("doc_id"), "path"), []
     bare = docs.join(tags.select("doc_id").distinct(), "doc_id", "left_anti")
     out.append(diagnostic(bare, "missing-tags", F.col("path"), fld="tags"))
     t = tags.join(docs, "doc_id")
@@ -103,22 +119,35 @@ def _tags(c: Context) -> list[DataFrame]:
 def _structure(c: Context) -> list[DataFrame]:
     out = []
     none = c.docs.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0")
-    out.append(diagnostic(none, "empty-bundle", F.lit("")))
-    # every folder with documents, and all above it, has an index
+    out.append(diagnostic(none, "empty-bundle", F.lit(".")))
+    # every folder with usable documents, and all above it, has an index
     parts = F.split("id", "/")
-    folders = c.docs.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("folder")).distinct()
+    folders = c.usable.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("folder")).distinct()
     index = c.bundle.docs.filter((F.col("id") == "index") | F.col("id").endswith("/index")).select(C.id_dir(F.col("id")).alias("folder"))
-    out.append(diagnostic(folders.join(index, "folder", "left_anti"), "missing-index", F.concat("folder", F.lit("/index.md"))))
+    out.append(diagnostic(folders.join(index, "folder", "left_anti"), "missing-index", F.concat(F.when(F.col("folder") != "", F.concat("folder", F.lit("/"))).otherwise(""), F.lit("index.md"))))
     return out
 
 
 def _index_contents(c: Context) -> list[DataFrame]:
-    """stale-index: an index that doesn't link everything in its folder; log-date-heading."""
+    """stale-index: an index that doesn't link every document of its folder and the index of every folder below it
+    (_meta aside); log-date-heading."""
     links = c.links if c.links is not None else c.bundle.links()
-    index = c.bundle.docs.filter((F.col("id") == "index") | F.col("id").endswith("/index")).select("id", "path", C.id_dir(F.col("id")).alias("folder"))
-    children = c.docs.select(C.id_dir(F.col("id")).alias("folder"), F.col("id").alias("child"))
-    lost = index.join(children, "folder").join(links.select(F.col("src").alias("id"), F.col("target").alias("child")), ["id", "child"], "left_anti")
-    stale = lost.groupBy("path").agg(F.concat(F.count(F.lit(1)).cast("string"), F.lit(" not linked, the first: "), F.min("child")).alias("m"))
+    index = c.bundle.docs.filter((F.col("id") == "index") | F.col("id").endswith("/index")).select("path", C.id_dir(F.col("id")).alias("folder")).filter(~_is_meta(F.col("folder")))
+    # what each folder above a document has to list: the document itself, or the index of the folder between
+    parts = F.split("id", "/")
+    above = F.transform(
+        F.sequence(F.lit(0), F.size(parts) - 1),
+        lambda k: F.struct(
+            F.array_join(F.slice(parts, 1, k), "/").alias("folder"),
+            F.when(k == F.size(parts) - 1, F.col("id")).otherwise(F.concat(F.array_join(F.slice(parts, 1, k + 1), "/"), F.lit("/index"))).alias("child"),
+            F.when(k < F.size(parts) - 1, F.array_join(F.slice(parts, 1, k + 1), "/")).otherwise("").alias("sub"),
+        ),
+    )
+    expected = c.docs.select(F.explode(above).alias("x")).select("x.*").filter(~_is_meta(F.col("sub"))).select("folder", "child").distinct()
+    listed = links.filter((F.col("kind") == "markdown") & C.id_name(F.col("src")).isin("index")).select(C.id_dir(F.col("src")).alias("folder"), F.col("target").alias("child"))
+    # both sides meet by folder and child, so that a large folder is no hot key; only counts meet the index documents
+    lost = expected.join(listed, ["folder", "child"], "left_anti").groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("first"))
+    stale = lost.join(index, "folder").select("path", F.concat(F.lit("does not list: "), F.regexp_replace("first", "/index$", "/"), F.when(F.col("n") > 1, F.concat(F.lit(" and "), (F.col("n") - 1).cast("string"), F.lit(" more"))).otherwise("")).alias("m"))
     logs = access.headings_of((c.whole or c.bundle).docs.filter((F.col("id") == "log") | F.col("id").endswith("/log"))).filter((F.col("level") == 2) & ~C.is_iso_date(F.col("text")))
     return [diagnostic(stale, "stale-index", F.col("path"), F.col("m")), diagnostic(logs, "log-date-heading", F.concat("id", F.lit(".md")), F.col("text"), F.col("line"))]
 
@@ -147,8 +176,9 @@ def _schemas(c: Context) -> list[DataFrame]:
     """Declared fields per type: the schemas are few rows."""
     if c.schemas is None:
         return []
-    fields = c.bundle.fields().groupBy("doc_id", "key").agg(F.first("value_text").alias("v"), F.first("value_type").alias("t"))
-    j = c.docs.select(F.col("id").alias("doc_id"), "path", "type").join(c.schemas, "type").join(fields.withColumnRenamed("key", "field"), ["doc_id", "field"], "left")
+    # one row an item: each item of a list is held against the allowed values, the field itself against its kind
+    fields = c.bundle.fields().select("doc_id", "key", F.col("value_text").alias("v"), F.when(F.col("idx") > 0, "json").otherwise(F.col("value_type")).alias("t"))
+    j = c.usable.select(F.col("id").alias("doc_id"), "path", "type").join(c.schemas, "type").join(fields.withColumnRenamed("key", "field"), ["doc_id", "field"], "left")
     kind = F.lower("kind")
     fits = (
         F.when(kind.isin("any", ""), True).when(kind.isin("number", "float"), F.col("t") == "number").when(kind.isin("integer", "int"), (F.col("t") == "number") & F.col("v").rlike(r"^-?\d+(\.0+)?$"))

@@ -5,17 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.bundle import EXTRA, Bundle
+from marginalia.bundle import Bundle
 from marginalia.functions import columns as C
+from marginalia.functions import fields as M
 from marginalia.operators.scope import EVERYTHING, Scope, glob_predicate, value_matches
 
-COLUMNS = ("type", "status", "lang", "title", "description", "updated", *EXTRA)
-#: Fields that are no "extra" of a result row (fixed values).
-STANDARD_KEYS = tuple("type title description tags status lang updated aliases supersedes sources generated verified resource summary excerpt categories".split())
-
 
 @dataclass(frozen=True)
 class Filter:
@@ -98,8 +95,8 @@ def tag_keys(tags: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def predicate(f: Filter) -> Column:
-    """The conditions on documents themselves (all but tags)."""
+def predicate(docs: DataFrame, f: Filter) -> Column:
+    """The conditions on documents themselves (all but tags).  Any metadata field can be asked for."""
     p = F.lit(True)
     if f.type:
         p &= F.coalesce(value_matches(F.col("type"), list(f.type)), F.lit(False))
@@ -118,21 +115,22 @@ def predicate(f: Filter) -> Column:
     if f.active_on:
         p &= active_on(f.active_on)
     for name, wanted in f.fields.items():
-        p &= F.coalesce(value_matches(F.col(name).cast("string"), wanted), F.lit(False)) if name in COLUMNS else F.lit(False)
+        p &= F.coalesce(value_matches(M.items(docs, name), wanted, many=True), F.lit(False))
     for name, r in f.ranges.items():
-        p &= in_range(F.col(name).cast("string"), r.get("from"), r.get("to")) if name in COLUMNS else F.lit(not r)
+        p &= in_range(M.scalar(docs, name), r.get("from"), r.get("to"))
     return p
 
 
 def visible(b: Bundle, scope: Scope = EVERYTHING) -> DataFrame:
-    cols = {c: F.col(c).cast("string") for c in COLUMNS if c in b.docs.columns}
-    return b.docs.filter(scope.visible(F.col("id"), F.col("reserved"), cols)) if scope.restricted else b.docs
+    if not scope.restricted:
+        return b.docs
+    return b.docs.filter(scope.visible(F.col("id"), F.col("reserved"), {n: M.items(b.docs, n) for n in (*scope.within, *scope.without)}))
 
 
 def matching(b: Bundle, f: Filter, scope: Scope = EVERYTHING) -> DataFrame:
     """The documents a filter keeps; reserved ones are never among them.  Tags are joined only when asked
     for."""
-    d = visible(b, scope).filter(~F.coalesce("reserved", F.lit(False))).filter(predicate(f))
+    d = visible(b, scope).filter(~F.coalesce("reserved", F.lit(False))).filter(predicate(b.docs, f))
     want = lambda ts: [C.fold_text(_norm(t)) for t in ts]
     if f.tags_all or f.tags_any:
         d = d.join(tag_keys(b.tags).withColumnRenamed("doc_id", "id"), "id", "left")
@@ -151,13 +149,14 @@ def _norm(t: str) -> str:
     return re.sub(r"[\s_-]+", "-", t.strip().lower()).strip("-")
 
 
-def facet_values(b: Bundle, docs: DataFrame, fields: list[str]) -> DataFrame:
-    """field, value, count of every value; all plain fields in one pass, tags as written."""
-    plain = [f for f in fields if f in docs.columns and f != "tags"]
+def facet_values(b: Bundle, docs: DataFrame, fields: list[str] | tuple[str, ...]) -> DataFrame:
+    """field, value, count of every value; all fields in one pass (each item of a list counts), tags as written."""
+    plain = [f for f in fields if f != "tags"]
     parts = []
     if plain:
-        each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in plain])
-        parts.append(docs.select(F.explode(each).alias("x")).select("x.field", "x.value").filter("value is not null").groupBy("field", "value").count())
+        named = lambda f: lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+        each = F.flatten(F.array(*[F.transform(M.items(docs, f), named(f)) for f in plain]))
+        parts.append(docs.select(F.explode(each).alias("x")).select("x.field", "x.value").groupBy("field", "value").count())
     if "tags" in fields:
         parts.append(docs.select(F.col("id").alias("doc_id")).join(b.tags.select("doc_id", "tag"), "doc_id").groupBy(F.col("tag").alias("value")).count().select(F.lit("tags").alias("field"), "value", "count"))
     empty = docs.sparkSession.createDataFrame([], "field string, value string, count bigint")
@@ -166,52 +165,67 @@ def facet_values(b: Bundle, docs: DataFrame, fields: list[str]) -> DataFrame:
 
 def sum_of(docs: DataFrame, name: str) -> DataFrame:
     """total and contributing count of a numeric field; texts are no numbers."""
-    number = dict(docs.dtypes)[name] in ("bigint", "int", "double")
-    v = F.col(name).cast("double") if number else F.lit(None).cast("double")
+    v = M.number(docs, name)
     return docs.select(F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), F.count(v).alias("contributing"))
 
 
 def sum_units(docs: DataFrame, name: str) -> DataFrame:
-    """unit and count over the documents that a sum of the field counts."""
-    return docs.filter(F.col(name).isNotNull()).groupBy(F.col("currency").alias("unit")).count()
+    """unit (the currency, else the unit) and count over the documents that a sum of the field counts."""
+    unit = F.coalesce(M.scalar(docs, "currency"), M.scalar(docs, "unit"))
+    return docs.filter(M.number(docs, name).isNotNull()).groupBy(unit.alias("unit")).count()
 
 
 def order_by(docs: DataFrame, sort: str) -> list[Column]:
-    """Sort key with ties by id; numbers as numbers; missing last.  A leading - turns everything round, so
-    missing come first and ids run down."""
+    """Sort key with ties by id; numbers as numbers and before texts; missing last.  A leading - turns everything round,
+    so missing come first and ids run down."""
     down, name = sort.startswith("-"), sort.removeprefix("-")
-    cols = [F.col("id")] if name == "id" or name not in docs.columns else [F.col(name), F.col("id")]
+    if name == "id":
+        cols = [F.col("id")]
+    elif M.is_column(docs, name):
+        cols = [docs[name], F.col("id")]
+    else:
+        cols = [M.number(docs, name), M.scalar(docs, name), F.col("id")]
     return [c.desc_nulls_first() if down else c.asc_nulls_last() for c in cols]
 
 
 def project(b: Bundle, docs: DataFrame) -> DataFrame:
     """id, title, type, status, lang, updated, tags as written, extra (key-sorted map of other scalars).
     Tags are joined to the shown rows only."""
-    extra = F.map_from_entries(F.array_sort(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in sorted(EXTRA)]), lambda x: x["v"].isNotNull())))
-    shown = docs.select("id", "title", "type", "status", "lang", "updated", extra.alias("extra"))
+    shown = docs.select("id", "title", "type", "status", "lang", "updated", M.extra(docs).alias("extra"))
     tags = b.tags.join(shown.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "tag"))), lambda x: x["tag"]).alias("tags"))
     return shown.join(tags.withColumnRenamed("doc_id", "id"), "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
 
 
+#: Values of a facet that a call shows.
+FACET_VALUES = 1000
+
+
+def shown_facets(b: Bundle, docs: DataFrame, fields: tuple[str, ...]) -> dict[str, list[tuple[str, int]]]:
+    """The most frequent values of each field (at most FACET_VALUES), all fields in one pass."""
+    per = Window.partitionBy("field").orderBy(F.desc("count"), "value")
+    rows = facet_values(b, docs, fields).withColumn("rank", F.row_number().over(per)).filter(F.col("rank") <= FACET_VALUES).collect()
+    out: dict[str, list[tuple[str, int]]] = {f: [] for f in fields}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        out[r["field"]].append((r["value"], r["count"]))
+    return out
+
+
 def run(b: Bundle, r: Request, scope: Scope = EVERYTHING) -> dict:
     """total, docs, more, facets and sum of a request.  The matching documents are kept once for all."""
     d = matching(b, r, scope)
-    facets, rows, total_sum = {}, [], None
+    rows, total_sum = [], None
     slim = d.drop("body").persist()
     try:
         total = slim.count()
-        for name in r.facets:
-            got = facet_values(b, slim, [name]).orderBy(F.desc("count"), "value").collect()
-            facets[name] = [(x["value"], x["count"]) for x in got]
+        facets = shown_facets(b, slim, r.facets) if r.facets else {}
         if r.sum_field:
             s = sum_of(slim, r.sum_field).first()
             units = {x["unit"]: x["count"] for x in sum_units(slim, r.sum_field).collect()}
             total_sum = {"field": r.sum_field, "value": s["total"], "count": s["contributing"], "units": units}
         if not r.count_only:
-            top = slim.orderBy(*order_by(slim, r.sort)).limit(r.limit)
-            rows = [x.asDict() for x in project(b, top).join(top.select("id"), "id", "left_semi").collect()]
-            where = {x["id"]: i for i, x in enumerate(top.select("id").collect())}
-            rows.sort(key=lambda x: where[x["id"]])
+            order = [x["id"] for x in slim.orderBy(*order_by(slim, r.sort)).limit(r.limit).select("id").collect()]
+            found = {x["id"]: x.asDict() for x in project(b, slim.filter(F.col("id").isin(order))).collect()} if order else {}
+            rows = [found[k] | {"extra": dict(sorted(found[k]["extra"].items()))} for k in order]
     finally:
         slim.unpersist()
     return {"total": total, "docs": rows, "more": 0 if r.count_only else max(0, total - len(rows)), "facets": facets, "sum": total_sum}

@@ -198,15 +198,13 @@ def category_results(results: DataFrame) -> DataFrame:
 
 
 def numbers(text: str) -> set[float]:
-    """Numbers of an answer, separators read both ways."""
+    """Numbers of an answer: without separators, and as written where that is a number."""
     out: set[float] = set()
-    for m in regex.findall(r"\d[\d.,]*", text):
-        m = m.rstrip(".,")
-        for s in (regex.sub("[.,]", "", m), m.replace(",", ""), m.replace(".", "").replace(",", ".")):
-            try:
-                out.add(float(s))
-            except ValueError:
-                pass
+    for found in regex.findall(r"[0-9][0-9.,]*", text):
+        written = found.rstrip(".,")
+        out.add(float(regex.sub("[.,]", "", written)))
+        if "," not in written and written.count(".") <= 1:
+            out.add(float(written))
     return out
 
 

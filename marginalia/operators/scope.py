@@ -54,13 +54,13 @@ class Scope:
         return some & ~none
 
     def meta(self, columns: dict[str, Column]) -> Column:
-        """`columns` maps field names to their values; unknown fields are missing."""
+        """`columns` maps field names to the lists of their values; unknown fields are missing."""
         out = F.lit(True)
         for name, wanted in self.within.items():
-            out &= F.coalesce(value_matches(columns[name], wanted), F.lit(False)) if name in columns else F.lit(False)
+            out &= F.coalesce(value_matches(columns[name], wanted, many=True), F.lit(False)) if name in columns else F.lit(False)
         for name, wanted in self.without.items():
             if name in columns:
-                out &= ~F.coalesce(value_matches(columns[name], wanted), F.lit(False))
+                out &= ~F.coalesce(value_matches(columns[name], wanted, many=True), F.lit(False))
         return out
 
     def visible(self, id_: Column, reserved: Column, columns: dict[str, Column]) -> Column:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import columns as C
+from marginalia.functions import fields as metadata
+from marginalia.functions.fields import EXTRA
 from marginalia.operators import access
 from marginalia.operators import query as Q
 from marginalia.operators.scope import Scope, glob_predicate
-from marginalia.plans.base import blank, query
+from marginalia.plans.base import SPACE, blank, query
 
 LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ACTIVE = "(status IS NULL OR status = 'stable') AND coalesce(effective_from <= '2025-06-01', true) AND coalesce(effective_to >= '2025-06-01', true)"
@@ -47,10 +49,10 @@ def f_lang(b):
     return ids(Q.matching(b, Q.Filter(lang=("en", "ja"))))
 
 
-@query("SELECT id FROM n WHERE type IN ('Policy', 'FAQ') AND status IN ('stable') AND lang IN ('en')")
+@query(f"SELECT id FROM n WHERE {LOW.format('trim(type)')} IN ('policy', 'faq') AND {LOW.format('trim(status)')} = 'stable' AND lang = 'en'")
 def f_prefilter(b):
-    """Plain comparisons reach the Parquet scan."""
-    return ids(b.docs.filter(F.col("type").isin("Policy", "FAQ") & F.col("status").isin("stable") & F.col("lang").isin("en") & ~F.coalesce("reserved", F.lit(False))))
+    """Type, status and language in one request; the language is a plain comparison."""
+    return ids(Q.matching(b, Q.Filter(type=("Policy", "FAQ"), status=("stable",), lang=("en",))))
 
 
 @query("SELECT id FROM n WHERE regexp_matches(id, '^policies/[^/]*/[^/]*1$') OR id = 'faq/hub' OR starts_with(id, 'faq/hub/')")
@@ -105,21 +107,39 @@ def f_active_on(b):
     return ids(Q.matching(b, Q.Filter(active_on="2025-06-01")))
 
 
-@query("""SELECT id, title, coalesce(list_sort(list_filter([CASE WHEN contract_value IS NOT NULL THEN 'contract_value=' || contract_value END, CASE WHEN currency IS NOT NULL THEN 'currency=' || currency END,
-    CASE WHEN region IS NOT NULL THEN 'region=' || region END], lambda x: x IS NOT NULL)).array_to_string(','), '') AS extra FROM n WHERE type = 'Contract'""")
+EXTRA_SQL = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{k}=' || {c} END" for k, c in (*((k, k) for k in EXTRA), ("generated_by", "generated.by"), ("generated_at", "generated.at")))
+
+
+@query(f"SELECT id, title, coalesce(array_to_string(list_sort(list_filter([{EXTRA_SQL}], lambda x: x IS NOT NULL)), ','), '') AS extra FROM n")
 def project_row(b):
-    """One text of the key-sorted extra fields; the fields with free texts are left to tests."""
-    rows = Q.project(b, Q.matching(b, Q.Filter(fields={})).filter("type = 'Contract'"))
-    kept = F.filter(F.map_entries("extra"), lambda x: x["key"].isin("contract_value", "currency", "region"))
-    return rows.select("id", "title", F.array_join(F.transform(kept, lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("extra"))
+    """The key-sorted extra fields as one text: those kept as columns and those only in the metadata block."""
+    rows = Q.project(b, Q.matching(b, Q.Filter()))
+    return rows.select("id", "title", F.array_join(F.transform(F.map_entries("extra"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",").alias("extra"))
 
 
-@query("SELECT id FROM n WHERE lang = 'vi' AND region IS NOT NULL AND trim(lower(region)) = 'north' AND updated >= '2025-01-01'")
+@query("SELECT id FROM n WHERE lang = 'vi' AND updated >= '2025-01-01' AND trim(lower(department)) IN ('quality', 'sales') AND generated.at >= '2024-06-01'")
 def unknown_args_to_fields(b):
-    r = Q.request_of({"lang": "vi", "region": "North", "updated_from": "2025-01-01"})
+    r = Q.request_of({"lang": "vi", "department": ["Quality", "sales"], "generated_at_from": "2024-06-01", "updated_from": "2025-01-01"})
     return ids(Q.matching(b, r))
 
 
+@query("SELECT id FROM n WHERE translate(trim(generated.by), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IS NOT NULL AND generated.at >= '2025-01-01' AND generated.at <= '2025-12-31'")
+def f_ranges_any(b):
+    """A range of a field that only the metadata block has."""
+    return ids(Q.matching(b, Q.Filter(ranges={"generated_at": {"from": "2025-01-01", "to": "2025-12-31"}})).filter(metadata.scalar(b.docs, "generated_by").isNotNull()))
+
+
+@query("SELECT field, value, count(*) AS count FROM (SELECT unnest(['generated_by', 'generated_at', 'department', 'contract_value']) AS field, unnest([generated.by, generated.at, department, CAST(contract_value AS VARCHAR)]) AS value FROM n) WHERE value IS NOT NULL GROUP BY field, value")
+def facet_any(b):
+    return Q.facet_values(b, Q.matching(b, Q.Filter()), ["generated_by", "generated_at", "department", "contract_value"])
+
+
+@query("SELECT id FROM n ORDER BY generated.at ASC NULLS LAST, id LIMIT 40")
+def sort_field_any(b):
+    d = Q.matching(b, Q.Filter())
+    return d.orderBy(*Q.order_by(d, "generated_at")).limit(40).select("id")
+
+
 @query("SELECT id FROM d WHERE (starts_with(id, 'policies/') OR regexp_matches(id, '^contracts/[^/]*/note-.*$')) AND NOT starts_with(id, 'policies/hub/')")
 def scope_path(b):
     return ids(Q.visible(b, Scope(allow=("policies", "contracts/*/note-**"), deny=("policies/hub",))))
@@ -130,9 +150,9 @@ def scope_meta_in(b):
     return ids(Q.visible(b, Scope(within={"status": ["stable", "DRAFT"]})))
 
 
-@query(f"SELECT id FROM d WHERE coalesce(reserved, false) OR NOT coalesce({LOW.format('trim(region)')} = 'north', false)")
+@query(f"SELECT id FROM d WHERE coalesce(reserved, false) OR NOT coalesce({LOW.format('trim(region)')} = 'us', false)")
 def scope_meta_notin(b):
-    return ids(Q.visible(b, Scope(without={"region": ["north"]})))
+    return ids(Q.visible(b, Scope(without={"region": ["us"]})))
 
 
 @query(f"SELECT id, coalesce(reserved, false) AS reserved FROM d WHERE (coalesce(reserved, false) OR coalesce({LOW.format('trim(lang)')} = 'en', false)) AND NOT starts_with(id, 'faq/')")
@@ -241,8 +261,8 @@ def vocab_usage(b):
     return access.vocabulary_usage(b, Q.matching(b, Q.Filter()))
 
 
-@query("""SELECT key, count(*) AS documents FROM (SELECT id, unnest(['department', 'region', 'customer', 'effective_from', 'effective_to', 'contract_value', 'currency']) AS key,
-    unnest([department, region, customer, effective_from, effective_to, CAST(contract_value AS VARCHAR), currency]) AS x FROM n) WHERE x IS NOT NULL
+@query("""SELECT key, count(*) AS documents FROM (SELECT id, unnest(['department', 'region', 'customer', 'effective_from', 'effective_to', 'contract_value', 'currency', 'generated_by', 'generated_at']) AS key,
+    unnest([department, region, customer, effective_from, effective_to, CAST(contract_value AS VARCHAR), currency, generated.by, generated.at]) AS x FROM n) WHERE x IS NOT NULL
     GROUP BY key HAVING count(*) >= greatest((SELECT count(*) FROM n) // 10, 1) ORDER BY documents DESC, key LIMIT 12""")
 def frequent_fields(b):
     return access.frequent_fields(b, Q.matching(b, Q.Filter()))
@@ -268,11 +288,16 @@ def get_lines(b):
     return access.lines_of(b.docs.filter("body is not null"), 2, 4)
 
 
-@query("SELECT * FROM (SELECT id, level, text FROM (SELECT id, length(regexp_extract(line, '^(#+)', 1)) AS level, line AS text FROM (SELECT id, unnest(string_split(body, chr(10))) AS line FROM n WHERE body IS NOT NULL AND NOT regexp_matches(body, '```|~~~')) WHERE regexp_matches(line, '^#{1,6} ')))".replace("line AS text", r"trim(regexp_replace(line, '^#+ +|\r$', '', 'g')) AS text"))
+_MARK = f"CASE WHEN regexp_matches(x, '^[{SPACE}]*```') THEN '`' WHEN regexp_matches(x, '^[{SPACE}]*~~~') THEN '~' ELSE '' END"
+#: A fold over the lines: whether a fence is open (and of which kind), and the headings found so far.
+_FOLD = f"""list_reduce(string_split(body, chr(10)), lambda a, x: CASE WHEN left(a, 1) <> '-' THEN CASE WHEN {_MARK} = left(a, 1) THEN '-' || substring(a, 2) ELSE a END
+    WHEN {_MARK} <> '' THEN {_MARK} || substring(a, 2) WHEN regexp_matches(x, '^#{{1,6}}[ \t]') THEN a || chr(1) || x ELSE a END, '-')"""
+
+
+@query(f"""SELECT id, length(regexp_extract(h, '^(#+)', 1)) AS level, regexp_replace(regexp_replace(regexp_replace(h, '^#+[ \t]+|[{SPACE}]+$', '', 'g'), '#+$', ''), '[{SPACE}]+$', '') AS text
+    FROM (SELECT id, unnest(string_split(substring({_FOLD}, 3), chr(1))) AS h FROM n WHERE body IS NOT NULL) WHERE h <> ''""")
 def headings(b):
-    """Headings of documents without fences, where a pattern per line is exact."""
-    d = Q.matching(b, Q.Filter()).filter("body is not null and not body rlike '```|~~~'")
-    return access.headings_of(d).select("id", "level", "text")
+    return access.headings_of(Q.matching(b, Q.Filter()).filter("body is not null")).select("id", "level", "text")
 
 
 @query()

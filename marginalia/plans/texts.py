@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marginalia.bundle import DOC_COLUMNS
 from marginalia.functions import columns as C
 from marginalia.functions import markdown as M
+from marginalia.functions.fields import COLUMNS as FIELD_COLUMNS
 from marginalia.operators import access, adopt, grep, lint
 from marginalia.operators import query as Q
 from marginalia.plans.base import CJK, SPACE, blank, plain, query
@@ -85,9 +87,7 @@ def content_hash(b):
     return b.docs.filter("body is not null").select("id", C.content_hash(F.col("body")).alias("hash"))
 
 
-@query(r"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title,
-    '\[\[[^\]|#]+(?:#[^\]|]*)?\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]|#]+)(?:#[^\]|]*)?\]\]', '\1', 'g'), '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\[[^\]]*\]', '\1', 'g'),
-    '\[\^[^\]]*\]|<[^>]+>', '', 'g'), '(?:\*\*|__|\*|_|~~)([^*_~]+)(?:\*\*|__|\*|_|~~)', '\1', 'g'), '\s+', ' ', 'g')) AS plain FROM d WHERE title IS NOT NULL""")
+@query(f"""SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(title, '{C.INLINE}', '\\1\\2\\3\\4', 'g'), '{C.EMPHASIS}', '\\1', 'g'), '[{SPACE}]+', ' ', 'g')) AS plain FROM d WHERE title IS NOT NULL""")
 def clean_inline(b):
     return b.docs.filter("title is not null").select("id", C.clean_inline(F.col("title")).alias("plain"))
 
@@ -102,16 +102,12 @@ def slug(b):
     return b.docs.select("id", C.slug(F.col("id")).alias("slug"))
 
 
-@plain("SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: try_cast(x AS DOUBLE)))) AS numbers FROM documents WHERE regexp_matches(text, '^[^.,]*$')")
-def numbers_in(spark, d):
-    """Numbers of texts without separators, where both readings are one."""
-    docs = table(spark, d, "documents").filter(F.col("text").rlike(r"^[^.,]*$"))
-    return docs.select("doc_id", C.numbers_in(F.col("text")).alias("numbers"))
+NUMBERS = "list_transform(regexp_extract_all(text, '[0-9][0-9.,]*'), lambda x: rtrim(x, '.,'))"
 
 
-@plain()
-def numbers_in_all(spark, d):
-    """Numbers of every text, both readings of separators kept: the whole job, of which numbers_in is the part that its SQL can express."""
+@plain(f"""SELECT doc_id, list_sort(list_distinct(list_filter(list_concat(list_transform({NUMBERS}, lambda x: try_cast(regexp_replace(x, '[.,]', '', 'g') AS DOUBLE)),
+    list_transform({NUMBERS}, lambda x: try_cast(x AS DOUBLE))), lambda x: x IS NOT NULL))) AS numbers FROM documents WHERE text IS NOT NULL""")
+def numbers_in(spark, d):
     docs = table(spark, d, "documents").filter("text is not null")
     return docs.select("doc_id", C.numbers_in(F.col("text")).alias("numbers"))
 
@@ -134,11 +130,13 @@ def terms(b):
 
 # -- search ------------------------------------------------------------------------------------------
 
-LINES = ", l AS (SELECT id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS no FROM n WHERE body IS NOT NULL), h AS (SELECT id, no, line FROM l WHERE regexp_matches(lower(line), 'warranty (card|claim)|price tag'))"
+#: The metadata block in front of a body.
+BLOCK = "CASE WHEN fm_state = 'valid' THEN '---' || chr(10) || concat_ws('', " + ", ".join(f"'{c}: ' || {c} || chr(10)" for c in DOC_COLUMNS if c in FIELD_COLUMNS) + ") || '---' || chr(10) ELSE '' END"
+LINES = f", w AS (SELECT id, {BLOCK} || coalesce(body, '') AS whole FROM n), l AS (SELECT id, unnest(string_split(whole, chr(10))) AS line, unnest(range(1, len(string_split(whole, chr(10))) + 1)) AS no FROM w), h AS (SELECT id, no, line FROM l WHERE regexp_matches(lower(line), 'warranty (card|claim)|price tag|type: faq'))"
 
 
 def _hits(b):
-    return grep.line_hits(Q.matching(b, Q.Filter()), grep.compile_pattern("Warranty (card|claim)|price tag"))
+    return grep.line_hits(grep.corpus(b), grep.compile_pattern("Warranty (card|claim)|price tag|type: faq"))
 
 
 @query(LINES + " SELECT id, count(*) AS matches FROM h GROUP BY id")
@@ -159,8 +157,7 @@ def grep_context(b):
 @query(LINES + " SELECT id, no AS line, line AS text FROM h")
 def grep_native(b):
     """The way without Python, on the same lines."""
-    d = Q.matching(b, Q.Filter()).filter("body is not null")
-    return grep.native_hits(d, grep.compile_pattern("warranty (card|claim)|price tag"))
+    return grep.native_hits(grep.corpus(b), grep.compile_pattern("warranty (card|claim)|price tag|type: faq"))
 
 
 @query(LINES + """, r AS (SELECT l.id, l.no, substring(l.line, 1, 220) AS text, h.no IS NOT NULL AS hit, (SELECT count(*) FROM h x WHERE x.id = l.id) AS m FROM l LEFT JOIN h ON l.id = h.id AND l.no = h.no
@@ -264,37 +261,40 @@ CHECKS = {
     "missing-updated": blank("updated"), "invalid-status": f"NOT {blank('status')} AND status NOT IN ('stable', 'deprecated', 'draft')", "invalid-updated": f"NOT {blank('updated')} AND NOT {ISO.format('updated')}",
     "invalid-effective-range": f"coalesce(NOT {ISO.format('effective_from')}, false) OR coalesce(NOT {ISO.format('effective_to')}, false) OR coalesce({ISO.format('effective_from')} AND {ISO.format('effective_to')} AND effective_from > effective_to, false)",
 }
-RULES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS rule, path FROM n WHERE {v}" for k, v in CHECKS.items())
-FOLDERS = "SELECT DISTINCT array_to_string(string_split(id, '/')[1:k], '/') AS folder FROM (SELECT id, unnest(range(0, len(string_split(id, '/')))) AS k FROM n)"
+#: Findings on metadata are those of documents whose block can be read, outside of _meta/.
+USABLE = "fm_state = 'valid' AND NOT starts_with(id, '_meta/')"
+RULES_SQL = " UNION ALL ".join(f"SELECT '{k}' AS rule, path FROM n WHERE ({v})" + ("" if k in ("missing-frontmatter", "invalid-frontmatter", "doc-too-long") else f" AND {USABLE}") for k, v in CHECKS.items())
+FOLDERS = f"SELECT DISTINCT array_to_string(string_split(id, '/')[1:k], '/') AS folder FROM (SELECT id, unnest(range(0, len(string_split(id, '/')))) AS k FROM n WHERE {USABLE})"
 ALL_RULES = f"""{RULES_SQL}
-    UNION ALL SELECT 'missing-tags', path FROM n WHERE id NOT IN (SELECT doc_id FROM c)
-    UNION ALL SELECT 'unknown-tag', path FROM (SELECT DISTINCT path, tag FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical IS NULL)
-    UNION ALL SELECT 'non-canonical-tag', path FROM (SELECT DISTINCT path, tag, c.canonical FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical <> c.norm)
-    UNION ALL SELECT 'missing-index', CASE WHEN folder = '' THEN '/index.md' ELSE folder || '/index.md' END FROM ({FOLDERS})
+    UNION ALL SELECT 'missing-tags', path FROM n WHERE id NOT IN (SELECT doc_id FROM c) AND {USABLE}
+    UNION ALL SELECT 'unknown-tag', path FROM (SELECT DISTINCT path, tag FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical IS NULL AND {USABLE})
+    UNION ALL SELECT 'non-canonical-tag', path FROM (SELECT DISTINCT path, tag, c.canonical FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical <> c.norm AND {USABLE})
+    UNION ALL SELECT 'missing-index', CASE WHEN folder = '' THEN 'index.md' ELSE folder || '/index.md' END FROM ({FOLDERS})
         WHERE folder NOT IN (SELECT CASE WHEN contains(id, '/') THEN regexp_replace(id, '/[^/]*$', '') ELSE '' END FROM d WHERE id = 'index' OR id LIKE '%/index')"""
 
 
-def _lint(b):
-    none = b.links().limit(0)
-    return lint.lint(lint.Context(b, links=none))
+#: The documents hold no links and no index or log documents, so no finding comes from those.
+@query(f"SELECT rule, path, count(*) AS findings FROM ({ALL_RULES}) GROUP BY rule, path")
+def lint_(b):
+    return lint.lint(lint.Context(b)).groupBy("rule", "path").agg(F.count(F.lit(1)).alias("findings"))
 
 
-@query(f"SELECT rule, path, count(*) AS findings FROM ({ALL_RULES}) WHERE rule <> 'stale-index' GROUP BY rule, path")
-def lint_(b):
-    return _lint(b).filter("rule not in ('stale-index', 'log-date-heading')").groupBy("rule", "path").agg(F.count(F.lit(1)).alias("findings"))
+LEVELS = " ".join(f"WHEN '{r}' THEN {level}" for r, (level, _) in lint.RULES.items())
+ERRORS = ", ".join(f"'{r}'" for r, (_, severity) in lint.RULES.items() if severity == "error")
+FOUND = f"(SELECT rule, CASE rule {LEVELS} END AS level, rule IN ({ERRORS}) AS error FROM ({ALL_RULES}))"
 
 
-@query()
+@query(f"SELECT rule, level, CASE WHEN error THEN 'error' ELSE 'warning' END AS severity, count(*) AS findings FROM {FOUND} GROUP BY ALL")
 def lint_counts(b):
     return lint.counts(lint.lint(lint.Context(b)))
 
 
-@query()
+@query(f"SELECT count(*) FILTER (error) AS errors, count(*) FILTER (NOT error) AS warnings, coalesce(min(CASE WHEN error THEN level END) - 1, 2) AS level FROM {FOUND} WHERE level <= 2")
 def lint_summary(b):
-    return lint.summary(_lint(b))
+    return lint.summary(lint.lint(lint.Context(b)))
 
 
-@query("SELECT path, tag FROM (SELECT DISTINCT path, tag FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical IS NULL)")
+@query(f"SELECT path, tag FROM (SELECT DISTINCT path, tag FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical IS NULL AND {USABLE})")
 def lint_unknown_tag(b):
     return lint._tags(lint.Context(b))[1].select("path", F.col("message").alias("tag")).distinct()
 

@@ -67,7 +67,7 @@ def discover(root: str) -> list[str]:
 
 
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
-    """path, id, hash, size, mtime_ns, fm_state, fm_raw, frontmatter (JSON), body, error of every markdown
+    """path, id, hash, size, mtime_ns, fm_state, fm_raw (the metadata block with its delimiters), frontmatter (JSON), body, error of every markdown
     file; files that aren't UTF-8 have an error and no body."""
     return _read(spark, root, discover(root))
 
@@ -86,8 +86,9 @@ def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
             rows = []
             for path, data in zip(pdf["path"], pdf["content"]):
                 try:
-                    p = M.parse_document(bytes(data).decode())
-                    rows.append((path, p.state, p.raw, p.meta, p.body, None))
+                    text = bytes(data).decode()
+                    p = M.parse_document(text)
+                    rows.append((path, p.state, text[: len(text) - len(p.body)], p.meta, p.body, None))
                 except UnicodeDecodeError as e:
                     rows.append((path, None, None, None, None, f"not UTF-8: {e.reason}"))
             yield pd.DataFrame(rows, columns=["path", "fm_state", "fm_raw", "frontmatter", "body", "error"])

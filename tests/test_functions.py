@@ -39,7 +39,8 @@ def test_values(spark):
     assert one(spark, ["12", " 12", "1e3", ".5", "x", None], C.number_of_text) == [12.0, None, 1000.0, 0.5, None, None]
     assert one(spark, [0.0, 45000.0, 45000.5, -1.0, None], C.excel_date, "double") == ["1899-12-30", "2023-03-15", "2023-03-15 12:00:00", None, None]
     assert one(spark, [3.0, 3.5, None], C.fmt_num, "double") == ["3", "3.5", None]
-    assert one(spark, ["1.234,5 and 7."], C.numbers_in) == [[1.2345, 7.0, 1234.5, 12345.0]]
+    assert one(spark, ["1.234,5 and 7."], C.numbers_in) == [[7.0, 12345.0]]
+    assert one(spark, ["2,647 and 2.647, 1.5.", None, "x"], C.numbers_in) == [[1.5, 2.647, 15.0, 2647.0], None, []]
     assert one(spark, ["日本", "Điện", "plain", "12", None], C.detect_lang) == ["ja", "vi", "en", None, None]
     assert one(spark, ["**b** [t](u) ![i](j) [[a|b]] [[c#d]] x[^1] <b>y</b>"], C.clean_inline) == ["b t i b c x y"]
     json = lambda f: lambda c: f(F.parse_json(c))
@@ -116,6 +117,11 @@ def test_first_sentence():
     assert M.first_sentence("- a list item that is long enough to be one. Yes") == "a list item that is long enough to be one."
     assert M.first_sentence("# only\n\n![x](y)") is None
     assert M.first_sentence("word " * 100).endswith("…") and len(M.first_sentence("word " * 100)) <= 200
+    wide = "Der Fluss fließt. " + "Eine lange Zeile ohne Ende, " * 3
+    assert M.first_sentence(f"<p>no</p>\n~~~\ncode. Code here.\n~~~\n> quoted text here\n\n{wide}") == wide.strip()
+    assert M.first_sentence("<div><b>x</b>\n\ninside text is skipped too.\n</div>\n\nWas danach kommt, ist der Text, der zählt.") == "Was danach kommt, ist der Text, der zählt."
+    assert M.first_sentence("火山は突然噴火した。次の文。") == "火山は突然噴火した。次の文。"
+    assert M.first_sentence(None) is None and M.first_sentence("```\nnever closed, all of it code") is None
     assert M.first_h1("```\n# no\n```\n# Yes *it* is #\n") == "Yes it is"
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables: nulls, ties, empty inputs, hidden documents."""
 
 import hashlib
+from functools import reduce
 
 import pytest
 import regex
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from marginalia.bundle import Bundle, canonical_tags
 from marginalia.engine import Engine
 from marginalia.functions import columns as C
+from marginalia.functions import markdown as M
 from marginalia.operators import access, adopt, grep, lint, sample, sync, vectors
 from marginalia.operators import query as Q
 from marginalia.operators.scope import Scope, glob_predicate
@@ -115,8 +117,11 @@ def test_grep(bundle, empty):
     assert grep.run(bundle, "x", files_only=True)["docs"] == [{"id": "p/a", "matches": 1, "lines": []}, {"id": "p/b", "matches": 1, "lines": []}]
     assert grep.run(bundle, ".", limit=3)["truncated"]
     assert grep.run(empty, "x")["total_docs"] == 0 and grep.run(empty, "x")["hint"]
-    spanning = grep.line_hits(bundle.docs, grep.compile_pattern(r"x\ny"))
+    spanning = grep.line_hits(grep.corpus(bundle), grep.compile_pattern(r"x\ny"))
     assert [(r["id"], r["hits"]) for r in spanning.collect()] == [("p/b", [1])]
+    headed = Bundle(bundle.docs.withColumn("fm_raw", F.lit("---\ntitle: Zebra\n---\n")), bundle.tags, bundle.vocabulary)
+    assert grep.run(headed, "zebra")["total_docs"] == 4
+    assert [x[0] for x in next(d for d in grep.run(headed, "phi van", context=0)["docs"])["lines"]] == [7]
 
 
 def test_get(bundle):
@@ -127,6 +132,35 @@ def test_get(bundle):
         with pytest.raises(access.InvalidArgument):
             access.get(bundle, "p/a", lines=bad)
     assert access.get(bundle, "f/only")["content"] == ""
+    whole = access.get(bundle, "p/a", section="SCO")
+    assert whole["section"] == "Scope" and whole["tokens"] == M.tokens(BODY) and whole["frontmatter"] == {}
+
+
+META = [
+    ("a", '{"type": "x", "owner": "Kim", "level": 3, "areas": ["North", "South"], "open": true, "nested": {"k": 1}, "unit": "EUR", "odd \'key\'.x": "v"}'),
+    ("b", '{"owner": "kim ", "level": 10, "areas": "north", "open": false, "level_text": "12"}'), ("c", '{"level": "7", "areas": [], "owner": null}'), ("d", None), ("e", "{broken"),
+]
+
+
+def test_any_metadata_field(spark, bundle):
+    docs = bundle.docs.limit(0).drop("id").join(spark.createDataFrame(META, "id string, frontmatter string"), on=F.lit(True), how="right")
+    b = Bundle(docs, bundle.tags.limit(0), bundle.vocabulary)
+    find = lambda **x: ids(Q.matching(b, Q.request_of(x)))
+    assert find(owner="KIM") == ["a", "b"] and find(areas="south") == ["a"] and find(open="TRUE") == ["a"] and find(nested="1") == [] and find(missing="x") == []
+    assert find(fields={"odd 'key'.x": ["V"]}) == ["a"] and find(level_from="5") == ["b", "c"] and find(areas_from="a") == ["b"]
+    assert ids(Q.visible(b, Scope(without={"areas": ["north"]}))) == ["c", "d", "e"] and ids(Q.visible(b, Scope(within={"level": ["3"]}))) == ["a"]
+    facets = {(r["field"], r["value"]): r["count"] for r in Q.facet_values(b, docs, ["areas", "level"]).collect()}
+    assert facets == {("areas", "North"): 1, ("areas", "South"): 1, ("areas", "north"): 1, ("level", "3"): 1, ("level", "10"): 1, ("level", "7"): 1}
+    assert Q.sum_of(docs, "level").first().asDict() == {"total": 13.0, "contributing": 2}
+    assert {r["unit"]: r["count"] for r in Q.sum_units(docs, "level").collect()} == {"EUR": 1, None: 1}
+    assert [r["id"] for r in docs.orderBy(*Q.order_by(docs, "level")).collect()] == ["a", "b", "c", "d", "e"]
+    assert [r["id"] for r in docs.orderBy(*Q.order_by(docs, "-level")).collect()][-2:] == ["b", "a"]
+    got = Q.run(b, Q.request_of({"sort": "id", "facets": ["owner"], "sum_field": "level"}))
+    assert got["docs"][0]["extra"] == {"level": "3", "odd 'key'.x": "v", "open": "true", "owner": "Kim", "unit": "EUR"} and list(got["docs"][0]["extra"]) == sorted(got["docs"][0]["extra"])
+    rows = {(r["doc_id"], r["key"], r["idx"]): (r["value_type"], r["value_text"], r["value_num"]) for r in b.fields().collect()}
+    assert rows["a", "areas", 1] == ("string", "South", None) and rows["a", "level", 0] == ("number", "3", 3.0) and rows["b", "open", 0] == ("bool", "false", None) and rows["a", "nested", 0][0] == "json"
+    assert ("c", "owner", 0) not in rows
+    assert {r["key"]: r["documents"] for r in access.frequent_fields(b, docs).collect()}["level"] == 3
 
 
 def test_links_and_graph(bundle, empty):
@@ -153,14 +187,22 @@ def test_catalog_and_listing(bundle):
 
 
 def test_lint(bundle, empty):
-    got = {}
+    own = bundle.docs.withColumn("fm_state", F.when(F.col("id") == "q", "valid").otherwise(F.col("fm_state")))
+    deep = own.filter("id = 'p/b'")
+    more_docs = [("w/bad", "invalid"), ("_meta/vocabulary", "valid"), ("p/sub/x", "valid"), ("p/_meta/y", "valid")]
+    whole = reduce(lambda a, b: a.unionByName(b), [own, *(deep.withColumns({"id": F.lit(k), "path": F.lit(f"{k}.md"), "fm_state": F.lit(v), "title": F.lit(None).cast("string"), "tokens": F.lit(1).cast("bigint"), "effective_to": F.lit(None).cast("string"), "status": F.lit("stable")}) for k, v in more_docs)])
+    bundle = Bundle(whole, bundle.tags, bundle.vocabulary, bundle.datasets)
+    got, message = {}, {}
     for r in lint.lint(lint.Context(bundle)).collect():
         got.setdefault(r["rule"], set()).add(r["path"])
-    assert got["missing-frontmatter"] == {"f/only.md"} and got["invalid-frontmatter"] == {"q.md"} and got["missing-type"] == {"f/only.md"}
+        message[r["rule"], r["path"]] = r["message"]
+    assert got["missing-frontmatter"] == {"f/only.md"} and got["invalid-frontmatter"] == {"w/bad.md"} and "missing-type" not in got
+    assert got["missing-title"] == {"p/sub/x.md", "p/_meta/y.md"}  # not those without a usable block, nor those in _meta
     assert got["description-repeats-title"] == {"q.md"} and got["doc-too-long"] == {"p/b.md"} and got["invalid-status"] == {"p/b.md"}
     assert got["invalid-effective-range"] == {"p/b.md"} and got["invalid-updated"] == {"q.md"} and got["unknown-tag"] == {"q.md"}
-    assert got["non-canonical-tag"] == {"p/b.md"} and got["missing-index"] == {"/index.md", "f/index.md"} and got["stale-index"] == {"p/index.md"}
-    assert got["broken-link"] == {"p/a.md"} and got["missing-tags"] == {"f/only.md"}
+    assert got["non-canonical-tag"] == {"p/b.md"} and got["missing-index"] == {"index.md", "p/sub/index.md", "p/_meta/index.md"} and got["stale-index"] == {"p/index.md"}
+    assert message["stale-index", "p/index.md"] == "does not list: p/_meta/ and 2 more"  # p/_meta isn't the collection's own _meta
+    assert got["broken-link"] == {"p/a.md"} and got["missing-tags"] == {"p/sub/x.md", "p/_meta/y.md"}
     assert [r["rule"] for r in lint.lint(lint.Context(empty)).collect()] == ["empty-bundle"]
     s = lint.summary(lint.lint(lint.Context(bundle))).first()
     assert s["level"] == -1 and s["errors"] > 5
@@ -170,7 +212,7 @@ def test_lint(bundle, empty):
     spark = bundle.spark
     parsed = spark.createDataFrame([("a.md", "a", '{"type": 3}', "valid", None), ("b.md", "b", '{"type": "x"}', "valid", None), ("index.md", "index", '{"format_version": 1}', "valid", None), ("s/index.md", "s/index", '{"x": 1}', "valid", None), ("z.md", "z", None, None, "not UTF-8")], "path string, id string, frontmatter string, fm_state string, error string")
     more = {(r["rule"], r["path"]) for r in lint.lint(lint.Context(empty, parsed=parsed, vocabulary_state="absent", broken_schemas=("_meta/types/x.md",))).collect()}
-    assert more == {("empty-bundle", ""), ("no-vocabulary", "_meta/vocabulary.md"), ("invalid-schema", "_meta/types/x.md"), ("invalid-type", "a.md"), ("index-frontmatter", "s/index.md"), ("unreadable", "z.md")}
+    assert more == {("empty-bundle", "."), ("no-vocabulary", "_meta/vocabulary.md"), ("invalid-schema", "_meta/types/x.md"), ("invalid-type", "a.md"), ("index-frontmatter", "s/index.md"), ("unreadable", "z.md")}
     assert "missing-type" not in {r["rule"] for r in lint.lint(lint.Context(bundle, disabled=frozenset({"missing-type"}))).collect()}
 
 
@@ -310,7 +352,7 @@ def test_numbers_of_every_text(spark, tmp_path):
     texts = ["1.234,5 and 7.", "1,234.50", "2.5.2025", "from 1,2 to 3.4, at 12", "no number", "", "8 and 08", "...", None, "3,,4"]
     rows = list(enumerate(texts))
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r["numbers"] for r in QUERIES["numbers_in_all"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["numbers"] for r in QUERIES["numbers_in"](spark, str(tmp_path)).collect()}
     assert got == {k: sorted(sample.numbers(t)) for k, t in rows if t is not None}
 
 
