@@ -1,8 +1,7 @@
 """Read-only SQL over a bundle's datasets: one SELECT, visible tables only, a row limit and a timeout.
 
-The statement is parsed by Spark, its plan is walked against lists of what is allowed, and it runs in a
-session of its own that holds only the visible tables.  A small rewriter accepts common spellings of
-another SQL dialect (total, group_concat, iif, case-blind LIKE, integer division, sums of conditions).
+The statement is put into Spark's dialect (`dialect`), parsed, and the nodes of its plan are held against lists of
+what is allowed; it runs in a session of its own that holds only the visible tables.
 """
 
 from __future__ import annotations
@@ -14,19 +13,29 @@ import threading
 import time
 import uuid
 from collections.abc import Mapping
+from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marginalia.operators.dialect import DialectError, integer_divisions, nodes, rewrite
 from marginalia.operators.scope import EVERYTHING, Scope
 
 SCHEMA_TABLE = "_schema"
-#: Functions that reach outside of the query (fixed values).
-FORBIDDEN = frozenset(
-    "java_method reflect try_reflect input_file_name input_file_block_start input_file_block_length current_catalog current_database current_schema current_user user session_user "
-    "version spark_partition_id read_files raise_error assert_true sql_keywords collations from_avro to_avro aes_decrypt aes_encrypt".split()
+#: Groups of built-in functions that only compute on their arguments (fixed values).
+GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs map_funcs math_funcs predicate_funcs "
+    "string_funcs struct_funcs variant_funcs window_funcs table_funcs".split()
 )
+#: Functions allowed besides, and functions of those groups that aren't.
+ALSO = frozenset("typeof range".split())
+NOT_THESE = frozenset("sql_keywords collations read_files current_user session_user user raise_error assert_true".split())
 #: Nodes of a parsed plan that write, run commands or scripts, or read files (fixed values).
-BAD_NODES = re.compile(r"(?i)\b(ScriptTransformation|ScriptInputOutputSchema|InsertInto\w*|CreateTable\w*|CreateView\w*|Drop\w+|Alter\w+|SetCommand|Unresolved(?:Insert|Table\b|Namespace)\w*|Command\w*|RunnableCommand|Explain\w*|Cache\w*|Describe\w*|Show\w*|MergeInto\w*|DeleteFrom\w*|UpdateTable\w*|AddJar\w*|SetCatalog\w*)\b")
+BAD_NODES = re.compile(
+    r"(?i)(ScriptTransformation|ScriptInputOutputSchema|Insert\w*|Create\w*|Replace\w*|Drop\w*|Alter\w*|Set\w*Command\w*|SetCatalog\w*|SetNamespace\w*|Unresolved(?:Insert\w*|Table|Namespace|CurrentNamespace|Identifier|TableOrView)\Z|\w*Command\Z|Explain\w*|Cache\w*|Uncache\w*|"
+    r"Describe\w*|Show\w*|MergeInto\w*|DeleteFrom\w*|UpdateTable\w*|Add\w*|Truncate\w*|Refresh\w*|Repair\w*|Load\w*|CompoundBody|Call\w*|Optimize\w*|Analyze\w*|Comment\w*|Rename\w*|Declare\w*|Execute\w*)"
+)
 
 
 class SqlError(ValueError):
@@ -37,49 +46,50 @@ class SqlTimeout(TimeoutError):
     """A statement that took too long."""
 
 
-def rewrite(sql: str) -> str:
-    """Spellings of the other dialect in Spark's.  Texts in quotes stay as they are."""
-    parts = re.split(r"('(?:[^']|'')*')", sql)
-    for k in range(0, len(parts), 2):
-        p = parts[k]
-        p = re.sub(r'"([^"]+)"', r"`\1`", p)
-        p = re.sub(r"\[([A-Za-z_]\w*)\]", r"`\1`", p)
-        p = re.sub(r"(?i)\bIS\s+NOT\s+(?!NULL\b|TRUE\b|FALSE\b|DISTINCT\b|UNKNOWN\b)", "IS DISTINCT FROM ", p)
-        p = re.sub(r"(?i)\bAS\s+(NOT\s+)?MATERIALIZED\s*\(", "AS (", p)
-        p = re.sub(r"(?i)\biif\s*\(", "if(", p)
-        p = re.sub(r"(?i)\bgroup_concat\s*\(", "listagg(", p)
-        p = re.sub(r"(?i)\bunicode\s*\(", "ascii(", p)
-        p = re.sub(r"(?i)(?<!I)\bLIKE\b", "ILIKE", p)
-        p = re.sub(r"(?i)\btotal\s*\(([^()]*)\)", r"coalesce(sum(cast(\1 AS double)), 0D)", p)
-        p = re.sub(r"(?i)\b(sum|avg)\s*\(\s*([\w.`]+\s*(?:<=|>=|<>|!=|=|<|>)\s*[\w.`]+)\s*\)", r"\1(cast((\2) AS int))", p)
-        p = re.sub(r"\b(\d+)\s*/\s*(\d+)\b(?!\.)", r"(\1 div \2)", p)
-        parts[k] = p
-    return "".join(parts)
-
-
 def inspect(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
-    """Relations (not those that WITH names) and functions of a statement; raises SqlError for anything
-    but one query."""
-    text = re.sub(r";\s*$", "", sql.strip())
-    if not text:
+    """Relations (not those that WITH names) and functions of a statement, from the nodes of its parsed plan; raises
+    SqlError for anything but one query."""
+    if not sql.strip():
         raise SqlError("the statement is empty")
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise SqlError(str(e).split("\n")[0]) from None
-    shown = plan.toString()
-    if BAD_NODES.search(re.sub(r"\[[^\[\]]*\]", "", shown)) or re.search(r"(?i)\bTRANSFORM\s*\([^()]*\)\s*USING\b|\bUSING\s+'", text):
-        raise SqlError("only a query is allowed")
-    if not re.match(r"(?is)^\s*(\(|select\b|with\b|values\b|from\b|table\b)", re.sub(r"(?s)^(\s|--[^\n]*\n|/\*.*?\*/)*", "", text)):
-        raise SqlError("only a query is allowed")
-    # names after FROM, JOIN and TABLE in the parsed plan's text: 'UnresolvedRelation [a, b]
-    relations = {tuple(p.strip().strip("`") for p in m.split(",")) for m in re.findall(r"UnresolvedRelation \[([^\]]*)\]", shown)}
-    ctes = {m.lower() for m in re.findall(r"(?i)(?:\bwith\b(?:\s+recursive)?|,)\s*`?(\w+)`?\s*(?:\([^()]*\)\s*)?(?:max\s+recursion\s+level\s+\d+\s+)?as\s*\(", text)}
-    for r in relations:
-        if len(r) > 1:
-            raise SqlError(f"no such table: {'.'.join(r)}")
-    functions = {m.lower() for m in re.findall(r"(?i)\b([a-z_]\w*)\s*\(", re.sub(r"'(?:[^']|'')*'", "''", text))}
-    return {r[0].lower() for r in relations} - ctes, functions
+    relations, functions, names = set(), set(), set()
+    for full, node in nodes(plan):
+        kind = full.rpartition(".")[2]
+        if ".expressions." not in full and BAD_NODES.match(kind):
+            raise SqlError("only a query is allowed")
+        if kind == "UnresolvedRelation":
+            parts = node.multipartIdentifier()
+            if parts.size() > 1:
+                raise SqlError(f"no such table: {parts.mkString('.')}")
+            relations.add(parts.apply(0).lower())
+        elif kind == "UnresolvedWith":
+            pairs = node.cteRelations()
+            names |= {pairs.apply(k)._1().lower() for k in range(pairs.size())}
+        elif kind == "UnresolvedFunction":
+            functions.add(node.nameParts().mkString(".").lower())
+        elif kind == "UnresolvedTableValuedFunction":
+            functions.add(node.name().mkString(".").lower())
+    return relations - names, functions
+
+
+def allowed_function(spark: SparkSession, name: str) -> bool:
+    """Whether a built-in function only computes: its group is one of GROUPS, or it is named in ALSO."""
+    if name in ALSO:
+        return True
+    jvm = spark.sparkContext._jvm
+    catalyst = jvm.org.apache.spark.sql.catalyst
+    info = catalyst.analysis.FunctionRegistry.builtin().lookupFunction(catalyst.FunctionIdentifier(name))
+    if not info.isDefined():
+        info = catalyst.analysis.TableFunctionRegistry.builtin().lookupFunction(catalyst.FunctionIdentifier(name))
+    return info.isDefined() and info.get().getGroup() in GROUPS and name not in NOT_THESE
+
+
+def _source(path: str) -> tuple[str, str | None]:
+    file, mark, sheet = path.partition("#")
+    return file, sheet if mark else None
 
 
 class Gate:
@@ -98,22 +108,30 @@ class Gate:
         return sorted(r["name"] for r in rows.filter(scope.path(rows["path"])).collect())
 
     def schema_rows(self, scope: Scope = EVERYTHING) -> DataFrame:
-        """table_name, position, column_name, label, type, source of the visible tables."""
-        rows = [(n, i, f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString(), self.sources.get(n, n)) for n in self.visible(scope) for i, f in enumerate(self.datasets[n].schema.fields)]
-        return self.spark.createDataFrame(rows, "table_name string, position int, column_name string, label string, type string, source string")
+        """table_name, position, column_name, label, type, source, sheet of the visible tables; the sheet is null but for
+        tables of a workbook, whose source names it behind #."""
+        rows = [(n, i, f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString(), *_source(self.sources.get(n, n))) for n in self.visible(scope) for i, f in enumerate(self.datasets[n].schema.fields)]
+        return self.spark.createDataFrame(rows, "table_name string, position int, column_name string, label string, type string, source string, sheet string")
 
     def tables(self, scope: Scope = EVERYTHING) -> list[dict]:
-        return [{"name": n, "source": self.sources.get(n, n), "rows": self.datasets[n].count(), "columns": [(f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString()) for f in self.datasets[n].schema.fields]} for n in self.visible(scope)]
+        """name, source, rows and columns of each visible table; all are counted in one job."""
+        seen = self.visible(scope)
+        parts = [self.datasets[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in seen]
+        rows = {r["name"]: r["n"] for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+        return [{"name": n, "source": self.sources.get(n, n), "rows": rows[n], "columns": [(f.name, self.labels.get(n, {}).get(f.name, f.name), f.dataType.simpleString()) for f in self.datasets[n].schema.fields]} for n in seen]
 
     def plan(self, sql: str, scope: Scope = EVERYTHING) -> DataFrame:
         """The checked query as a DataFrame of the gate's own session."""
         tables = self.visible(scope)
-        text = rewrite(re.sub(r";\s*$", "", sql.strip()))
+        try:
+            text = rewrite(re.sub(r";\s*$", "", sql.strip()))
+        except DialectError as e:
+            raise SqlError(str(e)) from None
         relations, functions = inspect(self.spark, text)
         allowed = {n.lower() for n in tables} | ({SCHEMA_TABLE} if len(tables) == len(self.datasets) else set())
         if bad := relations - allowed:
             raise SqlError(f"no such table: {', '.join(sorted(bad))}")
-        if bad := functions & FORBIDDEN:
+        if bad := {f for f in functions if not allowed_function(self.spark, f)}:
             raise SqlError(f"not allowed: {', '.join(sorted(bad))}")
         session = self.spark.newSession()
         session.conf.set("spark.sql.ansi.enabled", "false")
@@ -124,7 +142,12 @@ class Gate:
         if SCHEMA_TABLE in relations:
             self._share(session, SCHEMA_TABLE, self.schema_rows(scope))
         try:
-            return session.sql(text)
+            df = session.sql(text)
+            while at := integer_divisions(df._jdf.queryExecution().analyzed(), text):  # those around them may follow
+                for k in reversed(at):
+                    text = f"{text[:k]} div {text[k + 1 :]}"
+                df = session.sql(text)
+            return df
         except Exception as e:
             raise SqlError(str(e).split("\n")[0]) from None
 
@@ -154,6 +177,8 @@ class Gate:
 
 def cell(v):
     """A result cell: null, number, text; bytes as a count, values that aren't finite as null."""
+    if isinstance(v, Decimal):
+        v = float(v)
     if isinstance(v, float) and not math.isfinite(v):
         return None
     if isinstance(v, bytes | bytearray):

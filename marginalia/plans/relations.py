@@ -319,7 +319,7 @@ SQL = {
     "sql_full": ("SELECT p.sku AS a, i.sku AS b FROM price_list p FULL JOIN (SELECT DISTINCT sku FROM inventory) i ON p.sku = i.sku", None),
     "sql_using": ("SELECT sku, product_name, qty FROM price_list JOIN (SELECT sku, qty FROM inventory) i USING (sku)", None),
     "sql_semi": ("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", None),
-    "sql_anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", None),
+    "sql_anti": ("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')", None),
     "sql_scalar_subquery": ("SELECT p_partkey FROM part p WHERE p_size = (SELECT max(p_size) FROM part x WHERE x.p_brand = p.p_brand)", None),
     "sql_theta": ("SELECT a.sku AS cheap, count(*) AS dearer FROM price_list a JOIN price_list b ON a.category = b.category AND a.price_vnd < b.price_vnd GROUP BY a.sku", None),
     "sql_group": ("SELECT region, month, sum(units) AS units, sum(revenue) AS revenue FROM sales GROUP BY region, month HAVING count(*) > 2", None),
@@ -335,7 +335,15 @@ SQL = {
     "sql_strings": ("SELECT sku, upper(sku) AS up, substr(sku, 1, 3) AS head, instr(sku, '-') AS at, replace(sku, '-', '') AS bare, length(product_name) AS n FROM price_list", None),
     "sql_json": ("SELECT event_id, get_json_object(props, '$.k') AS k FROM events", "SELECT event_id, props->>'$.k' AS k FROM events"),
     "sql_limit": ("SELECT row_no FROM (SELECT DISTINCT row_no FROM sales) ORDER BY row_no LIMIT 10 OFFSET 5", None),
-    "sql_like": ("SELECT sku FROM sales WHERE sku LIKE 'SKU-A%'", "SELECT sku FROM sales WHERE sku ILIKE 'SKU-A%'"),
+    "sql_like": ("SELECT sku, product_name FROM inventory WHERE product_name LIKE '%A%E%'", "SELECT sku, product_name FROM inventory WHERE product_name ILIKE '%A%E%'"),
+    "sql_glob": ("SELECT sku FROM inventory WHERE sku GLOB '*[A-F]*[0-4]' AND sku NOT GLOB '?X*'", "SELECT sku FROM inventory WHERE regexp_matches(sku, '[A-F].*[0-4]$') AND NOT regexp_matches(sku, '^.X')"),
+    "sql_minmax": ("SELECT sku, max(qty, reorder_level) AS more, min(qty, reorder_level, 50) AS less FROM inventory", "SELECT sku, CASE WHEN qty IS NOT NULL AND reorder_level IS NOT NULL THEN greatest(qty, reorder_level) END AS more, CASE WHEN qty IS NOT NULL AND reorder_level IS NOT NULL THEN least(qty, reorder_level, 50) END AS less FROM inventory"),
+    "sql_div_columns": ("SELECT region, sum(revenue) / count(*) AS mean, sum(units / 2) AS halves, sum(units) / 2e0 AS half FROM sales GROUP BY region", "SELECT region, CAST(sum(revenue) // count(*) AS BIGINT) AS mean, sum(CAST(trunc(units / 2) AS BIGINT)) AS halves, sum(units) / 2e0 AS half FROM sales GROUP BY region"),
+    "sql_dates": ("SELECT o_orderkey, date(o_orderdate, 'start of month', '+1 month', '-1 day') AS last, strftime('%Y-%j', o_orderdate) AS day, date(o_orderdate, 'weekday 1') AS monday, julianday(o_orderdate) AS jd FROM orders", "SELECT o_orderkey, strftime(last_day(CAST(o_orderdate AS DATE)), '%Y-%m-%d') AS last, strftime(o_orderdate, '%Y-%j') AS day, strftime(CAST(o_orderdate AS DATE) + CAST((8 - isodow(CAST(o_orderdate AS DATE))) % 7 AS INTEGER), '%Y-%m-%d') AS monday, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 2440587.5 AS jd FROM orders"),
+    "sql_json_arrow": ("SELECT event_id, props ->> '$.k' AS k, props -> 'k' AS j FROM events", "SELECT event_id, props->>'$.k' AS k, CAST(props->'$.k' AS VARCHAR) AS j FROM events"),
+    "sql_cast": ("SELECT sku, cast(substr(sku, instr(sku, '-') + 2) || 'x' AS integer) AS n, cast(sku AS integer) AS none, cast(qty AS text) AS t FROM inventory", "SELECT sku, coalesce(try_cast(regexp_extract(substr(sku, instr(sku, '-') + 2), '^[0-9]+') AS BIGINT), 0) AS n, CAST(0 AS BIGINT) AS none, CAST(qty AS VARCHAR) AS t FROM inventory"),
+    "sql_printf": ("SELECT sku, printf('%s:%05d', sku, qty) AS x FROM inventory WHERE qty >= 0", "SELECT sku, sku || ':' || lpad(CAST(qty AS VARCHAR), 5, '0') AS x FROM inventory WHERE qty >= 0"),
+    "sql_concat": ("SELECT category, group_concat(DISTINCT warehouse) IS NOT NULL AS some, count(*) AS n FROM inventory GROUP BY category", "SELECT category, string_agg(DISTINCT warehouse, ',') IS NOT NULL AS some, count(*) AS n FROM inventory GROUP BY category"),
     "sql_total": ("SELECT region, total(revenue) AS revenue FROM sales GROUP BY region", "SELECT region, coalesce(sum(CAST(revenue AS DOUBLE)), 0) AS revenue FROM sales GROUP BY region"),
     "sql_bool_sum": ("SELECT category, sum(qty < reorder_level) AS low FROM inventory GROUP BY category", "SELECT category, sum(CAST(qty < reorder_level AS INTEGER)) AS low FROM inventory GROUP BY category"),
     "sql_iif": ("SELECT sku, iif(qty IS NOT 0, 'some', 'none') AS stock, ifnull(qty, -1) AS qty FROM inventory", "SELECT sku, CASE WHEN qty IS DISTINCT FROM 0 THEN 'some' ELSE 'none' END AS stock, coalesce(qty, -1) AS qty FROM inventory"),
