@@ -10,40 +10,62 @@ from pyspark.sql import functions as F
 
 from marginalia.bundle import Bundle, canonical_tags, from_testdata
 from marginalia.functions import columns as C
-from marginalia.operators import access, adopt, grep, lint, sample, vectors
+from marginalia.operators import access, adopt, grep, lint, meta, sample, vectors
 from marginalia.operators import query as Q
 from marginalia.operators.scope import EVERYTHING, Scope
 from marginalia.operators.sqlgate import Gate
+from marginalia.operators.sync import State
 from marginalia.sources import files
+from marginalia.tables import cut_lineage
 
 
 class Engine:
     """Reads over a bundle.  `reload` gives the bundle anew; it is called again when it is older than
     `ttl` seconds."""
 
-    def __init__(self, bundle: Bundle, embedder: vectors.Embedder | None = None, reload: Callable[[], Bundle] | None = None, ttl: float = 2.0, sources: dict[str, str] | None = None):
+    def __init__(self, bundle: Bundle, embedder: vectors.Embedder | None = None, reload: Callable[[], Bundle] | None = None, ttl: float = 2.0, sources: dict[str, str] | None = None, state: State | None = None):
         self.bundle, self.embedder, self._reload, self._ttl, self._at = bundle, embedder or vectors.LetterEmbedder(), reload, ttl, time.time()
-        self._sources = sources
+        self._sources, self._labels, self._state, self._meta = sources, None, state, None
+        self._chunks: DataFrame | None = None  # the chunks of the bundle with the identities of their embeddings
+        self._cache: DataFrame | None = None  # embeddings by identity
 
     @classmethod
     def open_testdata(cls, spark: SparkSession, folder: str) -> Engine:
         return cls(from_testdata(spark, folder), reload=lambda: from_testdata(spark, folder))
 
     @classmethod
-    def open_folder(cls, spark: SparkSession, root: str, vocabulary: DataFrame | None = None) -> Engine:
+    def open_folder(cls, spark: SparkSession, root: str, vocabulary: DataFrame | None = None, state: State | None = None, embedder: vectors.Embedder | None = None) -> Engine:
+        """A folder's documents and tables.  With a state only files that changed are read again, and embeddings are kept;
+        tables are read again where their files changed.  The vocabulary is the folder's own if none is given."""
+        engine = cls.__new__(cls)
+        data: dict = {"version": None}
+
         def load() -> Bundle:
-            d = files.documents(files.read_markdown(spark, root))
+            if state is not None:
+                files.sync_folder(spark, root, state)
+                d = state.read("docs")
+            else:
+                d = cut_lineage(files.documents(files.read_markdown(spark, root)))
+            if (version := files.data_version(root)) != data["version"]:
+                tables, sources, labels, _ = files.datasets(spark, root)
+                data.update(version=version, tables=tables)
+                engine._sources, engine._labels = sources, labels
             tags = d.select(F.col("id").alias("doc_id"), F.posexplode("tags").alias("ord", "tag")).withColumn("norm", C.normalize_tag(F.col("tag")))
             tags = tags.withColumn("folded", C.fold(F.col("norm")))
-            names = vocabulary if vocabulary is not None else spark.createDataFrame([], "tag string, synonyms array<string>, facet string, description string")
-            return Bundle(d.drop("tags"), canonical_tags(tags, names), names, tables)
+            engine._meta = meta.read(d)
+            names = vocabulary if vocabulary is not None else meta.vocabulary(spark, engine._meta)
+            return Bundle(d.drop("tags"), canonical_tags(tags, names), names, data["tables"])
 
-        tables, sources, _, _ = files.datasets(spark, root)
-        return cls(load(), reload=load, sources=sources)
+        bundle = load()
+        sources, labels, own = engine._sources, engine._labels, engine._meta
+        engine.__init__(bundle, embedder, reload=load, sources=sources, state=state)
+        engine._labels, engine._meta = labels, own
+        return engine
 
     def refresh(self) -> None:
         if self._reload and time.time() - self._at > self._ttl:
             self.bundle, self._at = self._reload(), time.time()
+            self._chunks = None
 
     # -- reads -------------------------------------------------------------------------------------
 
@@ -82,14 +104,15 @@ class Engine:
     def stats(self, scope: Scope = EVERYTHING) -> dict:
         return access.stats(self.bundle, scope)
 
-    def lint(self, target: int = 2, disabled: tuple[str, ...] = (), max_doc_tokens: int = 8000) -> dict:
-        d = lint.lint(lint.Context(self.bundle, max_doc_tokens, disabled=frozenset(disabled))).filter(F.col("level") <= target).persist()
+    def lint(self, target: int = 2, disabled: tuple[str, ...] = (), max_doc_tokens: int = 8000, limit: int = 10_000) -> dict:
+        """The counts of all findings, and the first `limit` of them."""
+        d = lint.lint(meta.context(self.bundle, self._meta, max_doc_tokens=max_doc_tokens, disabled=frozenset(disabled))).filter(F.col("level") <= target).persist()
         try:
             s = lint.summary(d, target).first()
-            rows = [r.asDict() for r in d.orderBy("level", "path", "rule").collect()]
+            rows = [r.asDict() for r in d.orderBy("path", "line", "rule", "message").limit(limit).collect()]
         finally:
             d.unpersist()
-        return {"target": target, "level": s["level"], "errors": s["errors"], "warnings": s["warnings"], "diagnostics": rows}
+        return {"target": target, "level": s["level"], "errors": s["errors"], "warnings": s["warnings"], "diagnostics": rows, "more": s["errors"] + s["warnings"] - len(rows)}
 
     def vocabulary(self) -> list[dict]:
         return [r.asDict() for r in adopt.tag_groups(self.bundle.tags).orderBy(F.desc("documents"), "tag").collect()]
@@ -97,7 +120,7 @@ class Engine:
     # -- tables ------------------------------------------------------------------------------------
 
     def _gate(self) -> Gate:
-        return Gate(self.bundle.datasets, self._sources)
+        return Gate(self.bundle.datasets, self._sources, self._labels)
 
     def data_tables(self, scope: Scope = EVERYTHING) -> list[dict]:
         return self._gate().tables(scope)
@@ -107,16 +130,35 @@ class Engine:
 
     # -- vectors -----------------------------------------------------------------------------------
 
-    def _vectors(self, scope: Scope) -> DataFrame:
-        chunks = self.bundle.chunks().join(Q.visible(self.bundle, scope).select(F.col("id").alias("doc_id"), "title"), "doc_id")
-        got = vectors.embed(chunks, self.embedder)
-        return got.join(chunks.select(F.col("id").alias("chunk_id"), "doc_id", "heading", "text", "tokens"), "chunk_id")
+    def embed(self, most: int | None = None) -> int:
+        """Embeds the chunks that have no embedding yet (with `most` at most so many), and returns how many that were.
+        Embeddings are kept by identity: what was embedded once isn't again, whatever document it is in."""
+        if self._chunks is None:
+            titled = self.bundle.chunks().join(self.bundle.docs.select(F.col("id").alias("doc_id"), "title"), "doc_id")
+            self._chunks = cut_lineage(vectors.keyed(titled, self.embedder))
+        if self._cache is None and self._state is not None:
+            self._cache = self._state.read("vectors")
+        fresh = cut_lineage(vectors.fill_cache(self._chunks, self._cache, self.embedder, most))
+        n = fresh.count()
+        if n or self._cache is None:
+            self._cache = fresh if self._cache is None else self._cache.unionByName(fresh)
+            if self._state is not None:
+                self._state.commit({"vectors": self._cache})
+                self._cache = self._state.read("vectors")
+        return n
+
+    #: The most chunks that a search embeds on its way.
+    TOP_UP = 64
 
     def search(self, query: str, limit: int = 8, per_doc: int = 2, scope: Scope = EVERYTHING) -> dict:
-        v = self._vectors(scope)
+        self.embed(self.TOP_UP if self._cache is not None else None)
+        seen = self._chunks.join(Q.visible(self.bundle, scope).select(F.col("id").alias("doc_id")), "doc_id", "left_semi") if scope.restricted else self._chunks
+        v = seen.select(F.col("id").alias("chunk_id"), "doc_id", "key").join(self._cache, "key")
         q = self.bundle.spark.createDataFrame([(0, [float(x) for x in self.embedder.queries([query])[0]])], "query_id bigint, qvec array<float>")
-        hits = vectors.search(v, q, limit, per_doc).join(v.select("chunk_id", "heading", "text", "tokens"), "chunk_id").orderBy("rank").collect()
-        return {"model": self.embedder.model, "hits": [{"id": h["doc_id"], "heading": h["heading"], "score": h["score"], "text": h["text"], "tokens": h["tokens"], "chunk_id": h["chunk_id"]} for h in hits]}
+        best = {h["chunk_id"]: h for h in vectors.search(v, q, limit, per_doc).collect()}  # at most 50
+        texts = {r["id"]: r for r in seen.filter(F.col("id").isin(list(best))).select("id", "heading", "text", "tokens").collect()} if best else {}
+        hits = sorted(best.values(), key=lambda h: h["rank"])
+        return {"model": self.embedder.model, "hits": [{"id": h["doc_id"], "heading": (t := texts[h["chunk_id"]])["heading"], "score": h["score"], "text": t["text"], "tokens": t["tokens"], "chunk_id": h["chunk_id"]} for h in hits]}
 
     def retrieve(self, query: str, budget: int = 3000, scope: Scope = EVERYTHING) -> dict:
         found = self.search(query, 12, 2, scope)

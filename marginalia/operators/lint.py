@@ -89,7 +89,7 @@ def _filters(c: Context) -> DataFrame:
         "invalid-frontmatter": F.coalesce(F.col("fm_state").isin("unterminated", "invalid"), F.lit(False)),
         "missing-type": empty("type"),
         "doc-too-long": F.coalesce(F.col("tokens") > c.max_doc_tokens, F.lit(False)),
-        "missing-title": empty("title"),
+        "missing-title": empty("title") | (F.col("title_from") != "metadata" if "title_from" in c.bundle.docs.columns else F.lit(False)),
         "missing-description": empty("description"),
         "description-repeats-title": F.coalesce(C.ascii_lower(F.trim("description")) == C.ascii_lower(F.trim("title")), F.lit(False)),
         "description-too-short": F.coalesce(~empty("description") & (weight < 20), F.lit(False)),

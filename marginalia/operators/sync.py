@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 
@@ -63,28 +62,47 @@ class State:
 
     def current(self) -> dict | None:
         """The version in force; None if there is none or it was written with another identity."""
-        try:
-            with open(self._pointer(), encoding="utf-8") as f:
-                v = json.load(f)
-        except FileNotFoundError:
+        at, fs = self._file_system()
+        if not fs.exists(at):
             return None
+        stream = fs.open(at)
+        try:
+            v = json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
         return v if v["identity"] == self.identity else None
 
     def read(self, table: str) -> DataFrame | None:
         v = self.current()
-        return self.spark.read.parquet(f"{self.folder}/{v['version']}/{table}") if v and table in v["tables"] else None
+        return self.spark.read.parquet(f"{self.folder}/{v['tables'][table]}/{table}") if v and table in v["tables"] else None
 
     def commit(self, tables: dict[str, DataFrame]) -> str:
+        """Writes the tables as a new version; those not given stay as they are."""
         version = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
             df.write.parquet(f"{self.folder}/{version}/{name}")
-        os.makedirs(self.folder, exist_ok=True)
-        tmp = f"{self._pointer()}.{uuid.uuid4().hex}"
-        with open(tmp, "w", encoding="utf-8") as f:
-            json.dump({"version": version, "identity": self.identity, "tables": sorted(tables), "at": time.time()}, f)
-        os.replace(tmp, self._pointer())
+        known = (self.current() or {"tables": {}})["tables"]
+        text = json.dumps({"version": version, "identity": self.identity, "tables": known | dict.fromkeys(tables, version), "at": time.time()})
+        self._replace(text)
         return version
 
+    def _file_system(self):
+        """The folder's file system, whatever its scheme."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._pointer())
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _replace(self, text: str) -> None:
+        at, fs = self._file_system()
+        fs.mkdirs(at.getParent())
+        new = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._pointer()}.{uuid.uuid4().hex}")
+        out = fs.create(new, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not fs.rename(new, at):  # some file systems don't rename over a file
+            fs.delete(at, False)
+            if not fs.rename(new, at):
+                raise OSError(f"can't replace {self._pointer()}")
+
 
 class Claims:
     """Leases of batches: a claim older than its time is free again."""

@@ -47,9 +47,9 @@ class LetterEmbedder:
     queries = documents
 
 
-def cache_key(model: str, title: Column, text: Column) -> Column:
-    """Identity of an embedding: model, title and text."""
-    return F.sha2(F.concat(F.lit(model), F.lit("\0"), F.coalesce(title, F.lit("")), F.lit("\0"), text), 256)
+def cache_key(model: str, title: Column, heading: Column, text: Column) -> Column:
+    """Identity of an embedding: the model, and all that it is given."""
+    return F.sha2(F.concat(F.lit(model), F.lit("\0"), embed_input(F.coalesce(title, F.lit("")), heading, text)), 256)
 
 
 def missing(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
@@ -80,13 +80,52 @@ def embed_sync(chunks: DataFrame, vectors: DataFrame, embedder: Embedder) -> Dat
     return kept.unionByName(embed(missing(chunks, vectors, embedder.model), embedder))
 
 
-def top_up(chunks: DataFrame, vectors: DataFrame, embedder: Embedder, most: int = 64) -> DataFrame:
-    """Vectors of at most `most` chunks that lack one (the first by id), to be added before a search."""
-    return embed(missing(chunks, vectors, embedder.model).orderBy("id").limit(most), embedder)
+def keyed(chunks: DataFrame, embedder: Embedder) -> DataFrame:
+    """The chunks (title, heading, text and more) with `key`, the identity of their embedding."""
+    return chunks.withColumn("key", cache_key(embedder.model, F.col("title"), F.col("heading"), F.col("text")))
 
 
-def scores(vectors: DataFrame, queries: DataFrame, block: int = 2000) -> DataFrame:
-    """query_id, chunk_id, doc_id, score (cosine) of every vector against a stated set of queries.
+def fill_cache(chunks: DataFrame, cache: DataFrame | None, embedder: Embedder, most: int | None = None) -> DataFrame:
+    """The new rows (key, vec) of a cache for keyed chunks: each different text that it lacks is embedded once.  With
+    `most` only so many of them, the first by key."""
+    wanted = chunks.select("key", "title", "heading", "text").dropDuplicates(["key"])
+    wanted = wanted.join(cache.select("key"), "key", "left_anti") if cache is not None else wanted
+    wanted = wanted.orderBy("key").limit(most) if most is not None else wanted
+    texts = wanted.select("key", embed_input(F.coalesce("title", F.lit("")), F.col("heading"), F.col("text")).alias("t")).sortWithinPartitions(F.length("t"))
+
+    batch = 16
+
+    def run(batches):
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                part = pdf.iloc[k : k + batch]
+                yield pd.DataFrame({"key": part["key"], "vec": list(embedder.documents(part["t"].tolist()))})
+
+    return texts.mapInPandas(run, "key string, vec array<float>")
+
+
+def _contenders(s: np.ndarray, docs: np.ndarray, k: int, per_doc: int) -> np.ndarray:
+    """Which scores (vectors x queries) of a block can be among the k best of their query with at most per_doc of a
+    document.  What is left out has per_doc better rows of its document or k better rows in all even here; the better
+    rows of another block can only push it further down."""
+    s = s.copy()
+    _, of, n = np.unique(docs, return_inverse=True, return_counts=True)
+    order = np.argsort(of, kind="stable")
+    ends = np.cumsum(n)
+    for d in np.flatnonzero(n > per_doc):
+        rows = order[ends[d] - n[d] : ends[d]]
+        own = s[rows]
+        own[own < np.partition(own, len(rows) - per_doc, axis=0)[len(rows) - per_doc]] = -np.inf
+        s[rows] = own
+    if len(s) <= k:
+        return np.isfinite(s)
+    return np.isfinite(s) & (s >= np.partition(s, len(s) - k, axis=0)[len(s) - k])
+
+
+def scores(vectors: DataFrame, queries: DataFrame, block: int = 2000, best: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, chunk_id, doc_id, score (cosine) of every vector against a stated set of queries; with `best` =
+    (k, per_doc) only of those that can be among the k best of a query, so that what leaves a block doesn't grow with
+    vectors times queries.
 
     The queries (query_id, qvec) are at most QUERY_BLOCK rows, which is checked; they are held as one matrix
     and every partition multiplies its vectors by it in blocks.  Vectors of another length are left out;
@@ -101,14 +140,15 @@ def scores(vectors: DataFrame, queries: DataFrame, block: int = 2000) -> DataFra
     shared = vectors.sparkSession.sparkContext.broadcast((ids, mat))
 
     def run(batches):
-        names, m = shared.value
+        names, m = np.array(shared.value[0]), shared.value[1]
         for pdf in batches:
             ok = [k for k, v in enumerate(pdf["vec"]) if v is not None and len(m) and len(v) == m.shape[1]]
             for a in range(0, len(ok), block):
                 part = pdf.iloc[ok[a : a + block]]
                 s = _unit(np.array(part["vec"].tolist(), np.float64)) @ m.T
-                n = len(part)
-                yield pd.DataFrame({"query_id": np.tile(names, n), "chunk_id": np.repeat(part["chunk_id"].to_numpy(), len(names)), "doc_id": np.repeat(part["doc_id"].to_numpy(), len(names)), "score": s.ravel()})
+                keep = _contenders(s, part["doc_id"].astype(str).to_numpy(), *best) if best else np.ones(s.shape, bool)
+                v, q = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": names[q], "chunk_id": part["chunk_id"].to_numpy()[v], "doc_id": part["doc_id"].to_numpy()[v], "score": s[v, q]})
 
     return vectors.select("chunk_id", "doc_id", "vec").mapInPandas(run, f"query_id {kind}, chunk_id bigint, doc_id string, score double")
 
@@ -133,10 +173,10 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 8, per_doc: int
     by hash, one pass over the vectors each; only a block at a time is held."""
     k, n = max(1, min(50, limit)), queries.count()
     if n <= QUERY_BLOCK:
-        return top_k(scores(vectors, queries), k, per_doc)
+        return top_k(scores(vectors, queries, best=(k, per_doc)), k, per_doc)
     blocks = 2 * -(-n // QUERY_BLOCK)
     part = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [top_k(scores(vectors, queries.filter(part == i)), k, per_doc) for i in range(blocks)])
+    return reduce(DataFrame.unionByName, [top_k(scores(vectors, queries.filter(part == i), best=(k, per_doc)), k, per_doc) for i in range(blocks)])
 
 
 def pack(hits: DataFrame, budget: int = 3000) -> DataFrame:

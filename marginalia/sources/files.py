@@ -73,29 +73,32 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    schema = "path string, hash string, size bigint, mtime_ns bigint, fm_state string, fm_raw string, frontmatter string, body string, error string, id string"
+    schema = "path string, hash string, size bigint, mtime_ns bigint, fm_state string, fm_raw string, frontmatter string, body string, h1 string, tokens bigint, error string"
     if not paths:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema + ", id string")
     base = root.rstrip("/") if "://" in root else os.path.abspath(root)
     literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", f"{base}/{p}") for p in paths]  # a path is no pattern
     files = spark.read.format("binaryFile").load(literal)
     files = files.withColumn("path", F.expr(f"substring(path, locate({_quoted(base + '/')}, path) + {len(base) + 1})"))
 
     def parse(batches):
+        import hashlib
+
         for pdf in batches:
             rows = []
-            for path, data in zip(pdf["path"], pdf["content"]):
+            for path, at, size, data in zip(pdf["path"], pdf["mtime_ns"], pdf["size"], pdf["content"]):
+                facts = (path, hashlib.sha256(data).hexdigest(), size, at)
                 try:
                     text = bytes(data).decode()
                     p = M.parse_document(text)
-                    rows.append((path, p.state, text[: len(text) - len(p.body)], p.meta, p.body, None))
+                    rows.append((*facts, p.state, text[: len(text) - len(p.body)], p.meta, p.body, M.first_h1(p.body), M.tokens(p.body), None))
                 except UnicodeDecodeError as e:
-                    rows.append((path, None, None, None, None, f"not UTF-8: {e.reason}"))
-            yield pd.DataFrame(rows, columns=["path", "fm_state", "fm_raw", "frontmatter", "body", "error"])
+                    rows.append((*facts, None, None, None, None, None, None, f"not UTF-8: {e.reason}"))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"tokens": "Int64"})
 
-    facts = files.select("path", F.sha2("content", 256).alias("hash"), F.col("length").alias("size"), (F.unix_millis("modificationTime") * 1000000).alias("mtime_ns"))
-    parsed = files.select("path", "content").mapInPandas(parse, "path string, fm_state string, fm_raw string, frontmatter string, body string, error string")
-    return facts.join(parsed, "path").withColumn("id", F.regexp_replace("path", r"\.md$", ""))
+    # one pass: the content is read, hashed and parsed in the same task, and nothing is joined
+    slim = files.select("path", (F.unix_millis("modificationTime") * 1000000).alias("mtime_ns"), F.col("length").alias("size"), "content")
+    return slim.mapInPandas(parse, schema).withColumn("id", F.regexp_replace("path", r"\.md$", ""))
 
 
 def _quoted(s: str) -> str:
@@ -135,18 +138,12 @@ def documents(parsed: DataFrame) -> DataFrame:
     g = lambda k: F.get_json_object("frontmatter", f"$.{k}")
     from marginalia.functions import columns as C
 
-    def names(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "h1": [M.first_h1(b) for b in pdf["body"]], "tokens": [M.tokens(b) for b in pdf["body"]]})
-
-    heads = parsed.select("path", "body").mapInPandas(names, "path string, h1 string, tokens bigint")
     title = C.first_filled(*[g(k) for k in C.TITLE_KEYS])
     # a list, or a text parted by commas or else by blanks
     text = lambda k: g(k)
     as_list = lambda k: F.when(text(k).startswith("["), F.from_json(text(k), "array<string>")).when(text(k).contains(","), F.split(text(k), ",")).otherwise(F.split(F.trim(text(k)), r"\s+"))
     tags = F.coalesce(*[F.filter(F.transform(as_list(k), lambda x: F.trim(x)), lambda x: x != "") for k in C.TAG_KEYS])
-    d = parsed.join(heads, "path")
-    return d.select(
+    return parsed.select(
         "id", "path", "hash", "size", "mtime_ns", "tokens", C.is_reserved(F.col("id")).alias("reserved"), "fm_state", g("type").alias("type"),
         F.coalesce(title, "h1", C.id_name(F.col("id"))).alias("title"), F.when(title.isNotNull(), "metadata").when(F.col("h1").isNotNull(), "heading").otherwise("name").alias("title_from"),
         C.first_filled(*[g(k) for k in C.DESCRIPTION_KEYS]).alias("description"), g("lang").alias("lang"), g("status").alias("status"), g("updated").alias("updated"),
@@ -382,13 +379,21 @@ def with_transcripts(sources: DataFrame, transcripts: DataFrame) -> DataFrame:
     return sources.drop("needs_ocr").join(left, "path", "left").withColumn("needs_ocr", F.coalesce("needs_ocr", F.array().cast("array<int>")))
 
 
+DATA = ("csv", "tsv", "xlsx", "xlsm", "xls", "ods")
+
+
+def data_version(root: str) -> tuple[tuple[str, int, int], ...]:
+    """path, size and time of the files that tables come from: other tables only where this differs."""
+    return tuple((p, (st := os.stat(os.path.join(root, p))).st_size, st.st_mtime_ns) for p in walk(root, DATA))
+
+
 def datasets(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict[str, str], dict[str, dict[str, str]], list[tuple[str, str]]]:
     """Typed tables of a folder's CSV, TSV and XLSX files by name, the file of each, the headers of their
     columns, and (file, reason) of what couldn't be read.  A name that two files give belongs to the first."""
     from marginalia.sources import tabular
 
     tables, sources, labels, skipped = {}, {}, {}, []
-    for path in walk(root, ("csv", "tsv", "xlsx", "xlsm", "xls", "ods")):
+    for path in walk(root, DATA):
         full, ext = os.path.join(os.path.abspath(root), path), path.rpartition(".")[2].lower()
         try:
             if ext in ("csv", "tsv"):

@@ -49,10 +49,13 @@ def spread(df: DataFrame, per_core: int = 3, enough: int = 64 << 20) -> DataFram
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the cluster's spark.checkpoint.dir, or, where that is unset, an own one."""
+    """The checkpoint folder: the cluster's spark.checkpoint.dir, or, where that is unset and everything runs on this
+    machine, an own one.  On a cluster without the setting there is no folder that all executors share: an error."""
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="marginalia-")

@@ -53,6 +53,72 @@ def test_engine_on_a_folder(spark, folder):
         e.call("drop")
 
 
+def once_embedder(folder):
+    class OnceEmbedder:
+        """Fails where a text is embedded for the second time."""
+
+        def __init__(self, folder):
+            self.folder, self.model, self.dims = folder, "once", 16
+
+        def documents(self, texts):
+            import hashlib
+            import os
+
+            for t in texts:
+                os.close(os.open(f"{self.folder}/{hashlib.md5(t.encode()).hexdigest()}", os.O_CREAT | os.O_EXCL))
+            return self.queries(texts)
+
+        def queries(self, texts):
+            from marginalia.operators.vectors import LetterEmbedder
+
+            return LetterEmbedder(self.dims).documents(texts)
+
+    return OnceEmbedder(folder)
+
+
+def test_nothing_is_embedded_twice(spark, tmp_path):
+    from marginalia.operators.sync import State
+
+    root, seen = tmp_path / "kb", tmp_path / "seen"
+    seen.mkdir()
+    (root / "_meta" / "types").mkdir(parents=True)
+    for name, text in {"a.md": "# Boats\n\nBoats cross the wide river at dawn.", "b.md": "# Hills\n\nHills are green in spring.", "t.csv": "k,v\n1,x\n"}.items():
+        (root / name).write_text(text)
+    open_ = lambda: Engine.open_folder(spark, str(root), state=State(spark, str(tmp_path / "state")), embedder=once_embedder(str(seen)))
+    e = open_()
+    assert e.search("river boats")["hits"][0]["id"] == "a" and len(list(seen.iterdir())) == 2
+    assert e.search("green hills")["hits"][0]["id"] == "b" and e.embed() == 0
+    assert open_().search("green hills")["hits"][0]["id"] == "b"  # another process
+    (root / "c.md").write_text("# Goats\n\nGoats climb the steep rock.")
+    (root / "t.csv").write_text("k,v\n1,x\n2,y\n")
+    e._ttl = 0
+    assert e.call("search", {"query": "goats climb"})["hits"][0]["id"] == "c" and len(list(seen.iterdir())) == 3
+    assert e.call("data_query", {"sql": "SELECT count(*) FROM t", "timeout": 60})["rows"] == [[2]]
+    (root / "t.csv").unlink()
+    assert e.call("data_tables") == []
+
+
+def test_rules_see_the_whole_collection(spark, tmp_path):
+    for name, text in {
+        "_meta/vocabulary.md": "---\nterms:\n  boats: {synonyms: [ships], facet: topic}\n---\n", "_meta/types/Guide.md": "---\nfields:\n  owner: {type: string, required: true}\n  area: {type: list, enum: [N, S]}\n  size: {type: integer, enum: [1, 2]}\n---\n",
+        "_meta/types/Odd.md": "---\nfields: 3\n---\n", "index.md": "---\nformat_version: 1\n---\n- [a](a.md)\n", "log.md": "## someday\n", "bad.md": None,
+        "a.md": "---\ntype: Guide\ntitle: A\ndescription: All about the boats of the river\ntags: [Ships, odd]\nlang: en\nstatus: stable\nupdated: 2026-01-01\nsupersedes: [b, gone]\narea: [N, X]\nsize: 3\ngenerated: {by: x, fields: [title]}\n---\nSee [x](nowhere.md).\n",
+        "b.md": "---\ntype: 7\ntitle: B\ndescription: An older text on the boats\ntags: [boats]\nlang: en\nstatus: stable\nupdated: 2026-01-01\nsupersedes: {a: 1}\n---\n", "s/c.md": "---\ntype: Guide\nowner: Kim\nsize: big\n---\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"\xff") if text is None else (tmp_path / name).write_text(text)
+    got = Engine.open_folder(spark, str(tmp_path)).lint(target=3)
+    found = {(d["rule"], d["path"]) for d in got["diagnostics"]}
+    for want in [
+        ("unreadable", "bad.md"), ("invalid-type", "b.md"), ("invalid-schema", "_meta/types/Odd.md"), ("log-date-heading", "log.md"), ("stale-index", "index.md"), ("missing-index", "s/index.md"), ("unknown-tag", "a.md"),
+        ("non-canonical-tag", "a.md"), ("unknown-supersedes", "a.md"), ("superseded-still-stable", "a.md"), ("invalid-supersedes", "b.md"), ("unreviewed-generated", "a.md"), ("schema-missing-field", "a.md"),
+        ("schema-not-allowed", "a.md"), ("schema-wrong-type", "s/c.md"), ("broken-link", "a.md"), ("missing-title", "s/c.md"),
+    ]:
+        assert want in found, want
+    assert ("no-vocabulary", "_meta/vocabulary.md") not in found and ("missing-index", "index.md") not in found and got["more"] == 0
+    assert sum(d["rule"] == "schema-not-allowed" for d in got["diagnostics"]) == 2  # an item of a list, and a number
+
+
 def test_replay(spark, folder):
     e = Engine.open_folder(spark, folder)
     cases = [
