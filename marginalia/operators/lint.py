@@ -219,6 +219,11 @@ def _links(c: Context) -> list[DataFrame]:
     return [diagnostic(lost, "broken-link", F.col("path"), F.col("raw"), F.col("line"))]
 
 
+def distinct(diagnostics: DataFrame) -> DataFrame:
+    """Equal diagnostics once."""
+    return diagnostics.dropDuplicates()
+
+
 def lint(c: Context) -> DataFrame:
     """All diagnostics, equal ones once.
 
@@ -229,8 +234,8 @@ def lint(c: Context) -> DataFrame:
     slim = replace(b, docs=cut_lineage(b.docs.drop("body")), tags=cut_lineage(b.tags.drop("folded")))
     c = replace(c, bundle=slim, whole=b, links=c.links if c.links is not None else b.links())
     parts = [_filters(c), *_tags(c), *_structure(c), *_index_contents(c), *_supersedes(c), *_generated(c), *_schemas(c), *_files(c), *_links(c), *(r(c) for r in c.extra)]
-    out = reduce(DataFrame.unionByName, parts)
-    return out.filter(~F.col("rule").isin(*c.disabled) if c.disabled else F.lit(True)).dropDuplicates()
+    out = distinct(reduce(DataFrame.unionByName, parts))
+    return out.filter(~F.col("rule").isin(*c.disabled) if c.disabled else F.lit(True))
 
 
 def summary(diagnostics: DataFrame, target: int = 2) -> DataFrame:

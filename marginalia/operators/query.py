@@ -210,6 +210,12 @@ def shown_facets(b: Bundle, docs: DataFrame, fields: tuple[str, ...]) -> dict[st
     return out
 
 
+def page(docs: DataFrame, limit: int | None = 50) -> DataFrame:
+    """total, shown and more of a result with a limit."""
+    shown = F.least("total", F.lit(limit)) if limit is not None else F.col("total")
+    return docs.agg(F.count(F.lit(1)).alias("total")).withColumn("shown", shown).withColumn("more", F.col("total") - F.col("shown"))
+
+
 def run(b: Bundle, r: Request, scope: Scope = EVERYTHING) -> dict:
     """total, docs, more, facets and sum of a request.  The matching documents are kept once for all."""
     d = matching(b, r, scope)

@@ -67,8 +67,9 @@ def heldout(docs: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B0
 
 
 def batches(passages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa: B008: frozen
-    """key and batch: passages (key, turn, tokens; at most max_passages rows) packed in order, a batch
-    being closed at its passages or tokens."""
+    """key and batch: passages (key, turn, tokens) packed in order, a batch being closed at its passages or tokens.  They
+    are a plan of at most max_passages rows, which one task holds; more are an error."""
+    passages = passages.orderBy("turn", "key").limit(s.max_passages + 1)
     rows = F.array_sort(F.collect_list(F.struct("turn", "key", F.col("tokens").cast("bigint").alias("tokens"))))
     start = F.struct(F.lit(1).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("t"), F.array().cast("array<struct<key:string,batch:int>>").alias("out"))
 
@@ -78,7 +79,8 @@ def batches(passages: DataFrame, s: Settings = Settings()) -> DataFrame:  # noqa
         item = F.array(F.struct(p["key"].alias("key"), b.alias("batch")))
         return F.struct(b.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, p["tokens"]).otherwise(a["t"] + p["tokens"]).alias("t"), F.concat(a["out"], item).alias("out"))
 
-    packed = passages.agg(F.aggregate(rows, start, step).alias("x"))
+    checked = passages.agg(rows.alias("rows")).withColumn("rows", F.when(F.size("rows") <= s.max_passages, F.col("rows")).otherwise(F.raise_error(F.lit(f"more than {s.max_passages} passages"))))
+    packed = checked.select(F.aggregate("rows", start, step).alias("x"))
     return packed.select(F.explode("x.out").alias("o")).select("o.key", "o.batch")
 
 
@@ -162,7 +164,8 @@ def check_questions(questions: DataFrame, passages: DataFrame, langs: list[str])
 def fresh_questions(questions: DataFrame, known: DataFrame) -> DataFrame:
     """The first of each normalized question that the known set (q) doesn't hold."""
     q = questions.withColumn("norm", C.question_normalize(F.col("q")))
-    first = q.withColumn("n", F.row_number().over(Window.partitionBy("norm").orderBy("q_id"))).filter("n = 1").drop("n")
+    # a partial aggregate: equal questions, however many, never meet in one task
+    first = q.groupBy("norm").agg(F.min_by(F.struct(*questions.columns), "q_id").alias("x")).select("norm", "x.*")
     return first.join(known.select(C.question_normalize(F.col("q")).alias("norm")), "norm", "left_anti").drop("norm")
 
 
@@ -217,3 +220,16 @@ def judge_case(expected: dict, ids: list[str], text: str) -> bool:
     if r := expected.get("rank"):
         ok &= r["id"] in ids[: r["k"]]
     return bool(ok)
+
+
+def status(questions: DataFrame) -> DataFrame:
+    """lang, kind (train or heldout) and rows of questions (lang, heldout)."""
+    kind = F.when(F.coalesce("heldout", F.lit(False)), "heldout").otherwise("train")
+    return questions.groupBy("lang", kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def answered(questions: DataFrame, passages: DataFrame) -> DataFrame:
+    """q_id, key and heldout of the questions (q_id, passage) on passages (key, heldout); questions on others are left
+    out."""
+    p = passages.select("key", F.coalesce("heldout", F.lit(False)).alias("heldout"))
+    return questions.join(p, questions["passage"] == p["key"]).select("q_id", "key", "heldout")

@@ -43,7 +43,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__.rstrip("_")
         QUERIES[key] = lambda spark, d: f(from_testdata(spark, d))
         if sql is not None:
-            ORACLE[key] = BASE + sql
+            ORACLE[key] = BASE.replace("WITH", "WITH RECURSIVE", 1) + sql.removeprefix("RECURSIVE ") if sql.startswith("RECURSIVE ") else BASE + sql
         return f
 
     return add

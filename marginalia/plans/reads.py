@@ -211,8 +211,7 @@ def sort_field_down(b):
 
 @query("SELECT count(*) AS total, least(count(*), 50) AS shown, greatest(count(*) - 50, 0) AS more FROM n WHERE lang = 'ja'")
 def limit_more(b):
-    d = Q.matching(b, Q.Filter(lang=("ja",))).select("id")
-    return d.agg(F.count(F.lit(1)).alias("total")).select("total", F.least("total", F.lit(50)).alias("shown"), F.greatest(F.col("total") - 50, F.lit(0)).alias("more"))
+    return Q.page(Q.matching(b, Q.Filter(lang=("ja",))))
 
 
 @query("SELECT count(*) AS docs, (SELECT count(*) FROM d WHERE coalesce(reserved, false)) AS reserved, CAST(sum(greatest(coalesce(tokens, 0), 0)) AS BIGINT) AS tokens FROM n")
@@ -305,9 +304,12 @@ def get_section(b):
     return access.sections_of(Q.matching(b, Q.Filter()), "scope")
 
 
-@query()
+@query(f"SELECT id, true AS is_front, true AS within FROM n WHERE body IS NOT NULL")
 def cut_to_tokens(b):
-    return access.cut_bodies(Q.matching(b, Q.Filter()), 100)
+    """Whether what is left of each body is its front, and within the budget or one line of three characters a token."""
+    d = Q.matching(b, Q.Filter()).filter("body is not null")
+    got = access.cut_bodies(d, 100).join(d.select("id", "body"), "id")
+    return got.select("id", F.col("body").startswith(F.col("content")).alias("is_front"), ((C.estimate_tokens(F.col("content")) <= 100) | ((F.length("content") <= 300) & ~F.col("content").contains("\n"))).alias("within"))
 
 
 def union(*parts: DataFrame) -> DataFrame:

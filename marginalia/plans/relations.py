@@ -10,7 +10,8 @@ from marginalia.operators import access, sample, sync, vectors
 from marginalia.operators import query as Q
 from marginalia.operators.scope import Scope
 from marginalia.operators.sqlgate import Gate
-from marginalia.plans.base import ORACLE, plain, query
+from marginalia.plans.reads import DETECT
+from marginalia.plans.base import blank, ORACLE, plain, query
 from marginalia.streaming.ingest import windowed
 from marginalia.tables import run_sql, table
 
@@ -82,19 +83,13 @@ def links_out(b):
     return access.outgoing(links, known).select(F.col("target").alias("id"), F.col("exists").cast("int").alias("exists"))
 
 
-@plain("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@plain("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def j_chunk_missing_vec(spark, d):
     chunks = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
-    have = table(spark, d, "orders").select(F.col("o_custkey").alias("chunk_id"), F.lit("m").alias("model"))
+    have = table(spark, d, "orders").select(F.col("o_custkey").alias("chunk_id"), F.when(F.col("o_orderstatus") == "F", "m").otherwise("other").alias("model"))
     return vectors.missing(chunks, have, "m").select(F.col("id").alias("c_custkey"))
 
 
-@plain("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
-def j_answers_passages(spark, d):
-    c = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(c, "o_custkey", "left_semi").select("o_orderkey", "o_orderstatus")
-
-
 SUPERSEDES = "s AS (SELECT id, substring(id, 1, length(id) - 1) || '0' AS old FROM n WHERE id NOT LIKE '%0')"
 
 
@@ -172,9 +167,12 @@ def sink_index(spark, d):
 # -- sets --------------------------------------------------------------------------------------------
 
 
-@query(f", {SUPERSEDES} SELECT DISTINCT substring(old, 1, 12) AS part FROM s")
+@query("SELECT DISTINCT 'unknown-tag' AS rule, path, tag AS message FROM c JOIN n ON n.id = c.doc_id WHERE c.canonical IS NULL AND fm_state = 'valid'")
 def dedup_diagnostics(b):
-    return _supersedes(b).select(F.substring("old", 1, 12).alias("part")).dropDuplicates()
+    """A document can have a tag twice: its findings come once."""
+    from marginalia.operators import lint
+
+    return lint.distinct(lint._tags(lint.Context(b))[1]).select("rule", "path", "message")
 
 
 @plain("""WITH q AS (SELECT doc_id AS q_id, trim(regexp_replace(lower(source), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM documents WHERE source IS NOT NULL)
@@ -191,17 +189,14 @@ def _passages(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.lit("d"), F.expr("doc_id div 3")).alias("doc_id"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("tokens"), "text", "lang")
 
 
-@plain("""WITH p AS (SELECT 'd' || (doc_id // 3) || '#' || doc_id AS key, 'd' || (doc_id // 3) AS doc, lower(lang) AS lang FROM documents WHERE n_chars >= 40 AND lang IN ('en', 'vi', 'ja') AND text IS NOT NULL AND length(trim(text)) > 0 AND regexp_matches(text, '[a-zA-Z]')),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sha256(key)) AS rank_in_doc FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rank_in_doc, sha256(key)) AS turn FROM r WHERE rank_in_doc <= 4)
-    SELECT key, turn FROM s ORDER BY turn, lang LIMIT 60""")
-def stratified_rr(spark, d):
-    docs = table(spark, d, "documents").filter("lang in ('en', 'vi', 'ja') and text rlike '[a-zA-Z]'")
-    return sample.stratified(_passages(docs), sample.Settings(max_passages=60)).select("key", "turn")
+#: The plan drawn from all documents, its language by label, else as detected.
+PLAN = f"""p AS (SELECT 'd' || (doc_id // 3) || '#' || doc_id AS key, 'd' || (doc_id // 3) AS doc, n_chars AS tokens, coalesce(nullif(CASE WHEN NOT {blank("lang")} THEN lower(regexp_extract(trim(lang), '^([^-_]+)', 1)) END, ''), {DETECT.format("substring(text, 1, 2000)")}, 'other') AS lang
+        FROM documents WHERE n_chars >= 40 AND NOT {blank("text")}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sha256(key)) AS rank_in_doc FROM p), s AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY rank_in_doc, sha256(key)) AS turn FROM r WHERE rank_in_doc <= 4)"""
 
 
-@plain()
-def stratified_rr_all(spark, d):
-    """The whole job, of which stratified_rr is the part that its SQL can express: all documents, the strata left to the operator."""
+@plain(f"WITH {PLAN} SELECT key, turn FROM s ORDER BY turn, lang LIMIT 60")
+def stratified_rr(spark, d):
     return sample.stratified(_passages(table(spark, d, "documents")), sample.Settings(max_passages=60)).select("key", "turn")
 
 
@@ -210,13 +205,26 @@ def heldout_split(spark, d):
     return sample.heldout(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id")))
 
 
-@plain()
+@plain(f"""WITH RECURSIVE {PLAN}, o AS (SELECT *, row_number() OVER (ORDER BY turn, lang, key) AS rn FROM (SELECT * FROM s ORDER BY turn, lang LIMIT 400)),
+    b AS (SELECT rn, key, 1 AS batch, 1 AS n, CAST(tokens AS BIGINT) AS t FROM o WHERE rn = 1 UNION ALL
+        SELECT o.rn, o.key, CASE WHEN b.n >= 10 OR b.t + o.tokens > 6000 THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.n >= 10 OR b.t + o.tokens > 6000 THEN 1 ELSE b.n + 1 END,
+            CASE WHEN b.n >= 10 OR b.t + o.tokens > 6000 THEN CAST(o.tokens AS BIGINT) ELSE CAST(b.t + o.tokens AS BIGINT) END FROM b JOIN o ON o.rn = b.rn + 1)
+    SELECT key, batch FROM b""")
 def batch_pack(spark, d):
     """The plan drawn from all documents, packed in its order."""
     plan = sample.stratified(_passages(table(spark, d, "documents")))
     return sample.batches(plan.select(F.struct("turn", "top", "passage_lang").alias("turn"), "key", "tokens"))
 
 
+@plain("""SELECT doc_id AS q_id, CAST(doc_id AS VARCHAR) AS key, heldout FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256(CAST(doc_id AS VARCHAR))) <= (SELECT CAST(least(greatest(ceil(count(*) * 0.15), least(20, count(*) // 4)), count(*) - 1) AS BIGINT) FROM documents) AS heldout, text FROM documents)
+    WHERE text IS NOT NULL""")
+def j_answers_passages(spark, d):
+    """Questions on all documents, split as their passages are; those without text are no passages."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    p = sample.heldout(docs.select("doc_id")).join(docs.filter("text is not null").select("doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "key")
+    return sample.answered(table(spark, d, "documents").select(F.col("doc_id").alias("q_id"), F.col("doc_id").cast("string").alias("passage")), p)
+
+
 QUERY_VECS = "q AS (SELECT vec_id AS query_id, embedding AS qvec FROM embeddings WHERE vec_id % 20 = 0)"
 SCORES = f", {QUERY_VECS}, s AS (SELECT query_id, vec_id AS chunk_id, CAST(label AS VARCHAR) AS doc_id, list_cosine_similarity(CAST(qvec AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS score FROM q, embeddings)"
 BEST = SCORES + ", a AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS n FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM a WHERE n <= 2)"
@@ -247,10 +255,13 @@ def _dot(b):
     return b.vectors.select("chunk_id", F.round(C.dot(F.col("vec"), F.col("vec")), 4).alias("squares"), F.round(C.dot(C.l2_normalize(F.col("vec")), C.l2_normalize(F.col("vec"))), 6).alias("unit"))
 
 
-@query(name="pack_budget")
+@query("RECURSIVE " + BEST + """, h AS (SELECT query_id, rank, chunk_id, 200 + chunk_id % 700 AS tokens FROM b WHERE rank <= 12),
+    k AS (SELECT query_id, rank, [chunk_id] AS chunks, CAST(tokens AS BIGINT) AS tokens FROM h WHERE rank = 1 UNION ALL
+        SELECT h.query_id, h.rank, CASE WHEN k.tokens + h.tokens <= 3000 THEN list_append(k.chunks, h.chunk_id) ELSE k.chunks END, CASE WHEN k.tokens + h.tokens <= 3000 THEN CAST(k.tokens + h.tokens AS BIGINT) ELSE k.tokens END FROM k JOIN h ON h.query_id = k.query_id AND h.rank = k.rank + 1)
+    SELECT query_id, array_to_string(chunks, ',') AS chunks, tokens FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank DESC) = 1""", name="pack_budget")
 def _pack(b):
     hits = vectors.search(b.vectors, _queries(b), 12, 2).withColumn("tokens", 200 + F.col("chunk_id") % 700)
-    return vectors.pack(hits, 3000)
+    return vectors.pack(hits, 3000).select("query_id", F.array_join(F.transform("chunks", lambda x: x.cast("string")), ",").alias("chunks"), "tokens")
 
 
 @query(name="embed_sync")
@@ -280,34 +291,24 @@ def eval_by_category(spark, d):
 
 @plain("SELECT lang, kind, count(*) AS rows FROM (SELECT lang, CASE WHEN doc_id % 7 = 0 THEN 'heldout' ELSE 'train' END AS kind FROM documents) GROUP BY lang, kind")
 def tune_status(spark, d):
-    return table(spark, d, "documents").groupBy("lang", F.when(F.col("doc_id") % 7 == 0, "heldout").otherwise("train").alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-GRAMS = """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS ws FROM documents WHERE lang = 'en' AND text IS NOT NULL AND regexp_matches(text, '^[\\x00-\\x7f]*$')),
-    g AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS k FROM w WHERE len(ws) >= 5))"""
-
-
-@plain(GRAMS + " SELECT DISTINCT doc_id FROM g WHERE doc_id % 20 = 0 AND run IN (SELECT run FROM g WHERE doc_id % 20 <> 0)")
-def ngram_copy(spark, d):
-    """English documents (the stated query set) that share five words with any other."""
-    docs = table(spark, d, "documents").filter(F.col("lang").eqNullSafe("en") & F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    q = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("q_id"), F.col("text").alias("q"))
-    return sample.copied(q, docs.filter("doc_id % 20 <> 0").select("text")).select(F.col("q_id").alias("doc_id"))
+    return sample.status(table(spark, d, "documents").select("lang", (F.col("doc_id") % 7 == 0).alias("heldout")))
 
 
 @plain()
-def ngram_copy_all(spark, d):
-    """The whole job, of which ngram_copy is the part that its SQL can express: every row whose id is divisible by 20 against all rows but itself."""
+def ngram_copy(spark, d):
+    """Every row whose id is divisible by 20 against all rows but itself.  Folding is beyond SQL; a test compares with
+    brute force."""
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return sample.copied_from_others(rows, F.col("id") % 20 == 0).select(F.col("id").alias("doc_id"))
 
 
-@plain()
-def check_batch(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null and source is not null")
-    p = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("lang", F.lit("other")).alias("lang"), F.col("source").alias("title"), "text")
-    kinds = F.element_at(F.array(*map(F.lit, ("natural", "keyword", "vague", "cross"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    q = docs.select(F.col("doc_id").alias("q_id"), F.col("doc_id").cast("string").alias("passage"), kinds.alias("kind"), F.coalesce("lang", F.lit("en")).alias("lang"), F.substring("text", 1, 40).alias("q"))
+@query()
+def check_batch(b):
+    """The description of every document as a question on it."""
+    d = Q.matching(b, Q.Filter()).filter("body is not null")
+    p = d.select(F.col("id").alias("key"), F.coalesce("lang", F.lit("other")).alias("lang"), "title", F.col("body").alias("text"))
+    kinds = F.element_at(F.array(*map(F.lit, ("natural", "keyword", "vague", "cross"))), (F.pmod(F.crc32(F.col("id")), F.lit(4)) + 1).cast("int"))
+    q = d.select(F.col("id").alias("q_id"), F.col("id").alias("passage"), kinds.alias("kind"), F.coalesce("lang", F.lit("en")).alias("lang"), F.coalesce("description", "title", F.lit("")).alias("q"))
     return sample.check_questions(q, p, ["en", "vi", "ja"])
 
 

@@ -180,6 +180,18 @@ def chunk_body(b):
     return b.chunks()
 
 
+@query(f"SELECT id, true AS complete, true AS in_order, true AS within FROM n WHERE NOT {blank('body')}")
+def chunk_checked(b):
+    """The chunks of each document, checked: together they hold all of its text, in order of lines, and only pieces of
+    one long line are above the limit."""
+    d = Q.matching(b, Q.Filter()).filter(F.col("body").rlike(r"[^\p{IsWhite_Space}]"))
+    solid = lambda c: F.regexp_replace(c, r"\p{IsWhite_Space}+", "")
+    rows = F.array_sort(F.collect_list(F.struct("ord", "text", "start_line", "end_line")))
+    own = b.chunks().groupBy(F.col("doc_id").alias("id")).agg(rows.alias("x"), F.bool_and((C.estimate_tokens(F.col("text")) <= M.CHUNK_MAX) | (F.col("start_line") == F.col("end_line"))).alias("within"))
+    starts = F.transform("x", lambda c: c["start_line"])
+    return own.join(d.select("id", "body"), "id").select("id", (solid(F.array_join(F.transform("x", lambda c: c["text"]), "")) == solid(F.col("body"))).alias("complete"), (F.array_sort(starts) == starts).alias("in_order"), "within")
+
+
 @query()
 def first_sentence(b):
     return lint.first_h1_of(b.docs)
@@ -304,7 +316,11 @@ def tags_dedup(b):
     return lint.canonical_plan(b).select("doc_id", F.size("before").alias("before"), F.size("after").alias("after"))
 
 
-@query()
+DIR = "CASE WHEN contains(id, '/') THEN regexp_replace(id, '/[^/]*$', '') ELSE '' END"
+
+
+@query(f"""SELECT f.folder, CASE WHEN x.id IS NOT NULL THEN '- [' || coalesce(title, string_split(id, '/')[-1]) || '](./' || string_split(id, '/')[-1] || '.md)' END AS line
+    FROM ({FOLDERS}) f LEFT JOIN (SELECT *, {DIR} AS dir FROM n) x ON x.dir = f.folder WHERE f.folder NOT IN (SELECT {DIR} FROM d WHERE id = 'index' OR id LIKE '%/index')""")
 def fix_safe(b):
     return lint.index_plan(lint.Context(b))
 

@@ -432,10 +432,10 @@ def test_copies_among_all_rows(spark, tmp_path):
 
     want = [a for a in texts if a % 20 == 0 and any(runs(texts[a]) & runs(t) for b, t in texts.items() if b != a)]
     assert want == [0, 20, 40, 80, 100]
-    assert sorted(r["doc_id"] for r in QUERIES["ngram_copy_all"](spark, str(tmp_path)).collect()) == want
+    assert sorted(r["doc_id"] for r in QUERIES["ngram_copy"](spark, str(tmp_path)).collect()) == want
 
 
 def test_strata_of_all_documents(spark, tmp_path):
     want = [x[:2] for x in drawn(passages(spark, tmp_path), 60)]
-    got = [(r["key"], r["turn"]) for r in QUERIES["stratified_rr_all"](spark, str(tmp_path)).collect()]
+    got = [(r["key"], r["turn"]) for r in QUERIES["stratified_rr"](spark, str(tmp_path)).collect()]
     assert len(want) == 60 and got == want and any(k.endswith("#482") for k, _ in got)
