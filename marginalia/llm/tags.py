@@ -129,7 +129,7 @@ FROM r LATERAL VIEW explode(sequence(0, k)) s AS seg WHERE k > 0
 #: What follows an abbreviated first word.
 ABBREVIATED = "regexp_extract(f, r'^[a-z]{3,}[.] *([^.]+)$', 1)"
 
-DISTINCT_VALUES = r"SELECT DISTINCT tag FROM <<tags>> WHERE tag IS NOT NULL AND tag rlike r'[^\p{IsWhite_Space}]'"
+DISTINCT_VALUES = r"SELECT tag, count(*) AS uses FROM <<tags>> WHERE tag IS NOT NULL AND tag rlike r'[^\p{IsWhite_Space}]' GROUP BY tag"
 
 VALUES = rf"""
 WITH folded AS (SELECT tag, {fold_sql("tag")} AS f FROM <<distinct_values>>)
@@ -165,7 +165,7 @@ WITH found AS (
     FROM <<parts>> p JOIN <<segments>> r ON p.kind = r.kind AND p.len = r.len AND p.seg = r.seg AND p.part = r.part
     WHERE p.kind <> 'short' OR startswith(r.first_word, p.prefix)
 ), best AS (SELECT tag, term, min(score) AS score FROM found WHERE near GROUP BY tag, term
-), least AS (SELECT tag, min(struct(score, term)) AS b, max_by(term, -score * 1000) AS any_term, collect_set(struct(score, term)) AS all_of FROM best GROUP BY tag)
+), least AS (SELECT tag, min(struct(score, term)) AS b, collect_set(struct(score, term)) AS all_of FROM best GROUP BY tag)
 SELECT tag, b.term AS canonical, b.score AS score FROM least WHERE size(filter(all_of, x -> x.score = b.score)) = 1
 """
 
@@ -175,33 +175,44 @@ UNION ALL
 SELECT v.tag, '{NONE}' AS canonical, CAST(NULL AS INT) AS score FROM <<distinct_values>> v LEFT ANTI JOIN <<matches>> m ON v.tag = m.tag
 """
 
-# the map of values is met by salted rows, so that a value that a third of all rows hold is spread; never
-# broadcast, since Spark's size estimate doesn't know of the sixteen copies
-APPLIED = """
-WITH salted AS (SELECT *, pmod(xxhash64(doc_id, ord), 16) AS salt FROM <<rows>>),
-     map AS (SELECT tag, canonical AS meant, score, salt FROM <<resolved>> LATERAL VIEW explode(sequence(0, 15)) s AS salt)
-SELECT /*+ MERGE(m) */ s.doc_id, s.ord, s.tag, s.canonical AS stored, m.meant AS canonical, m.score FROM salted s JOIN map m ON s.tag = m.tag AND s.salt = m.salt
+#: A value is frequent if it holds more than one of so many rows; so there are fewer frequent values than this.
+FREQUENT = 256
+
+# frequent values are few and are broadcast; the other rows meet the map by value, where no key has many rows; rows that
+# have their meaning already are kept apart by a key of their own that no value has
+APPLIED = f"""
+WITH frequent AS (SELECT r.tag, r.canonical AS meant, r.score FROM <<resolved>> r JOIN <<distinct_values>> v ON r.tag = v.tag WHERE v.uses > (SELECT sum(uses) FROM <<distinct_values>>) / {FREQUENT}),
+     marked AS (SELECT /*+ BROADCAST(f) */ t.*, f.meant AS known, f.score AS known_score, CASE WHEN f.tag IS NULL THEN t.tag ELSE concat(t.tag, chr(0), pmod(xxhash64(t.doc_id, t.ord), {FREQUENT})) END AS wanted
+        FROM <<rows>> t LEFT JOIN frequent f ON t.tag = f.tag)
+SELECT doc_id, ord, tag, stored, canonical, score FROM (
+    SELECT /*+ MERGE(m) */ s.doc_id, s.ord, s.tag, s.canonical AS stored, CASE WHEN s.known IS NOT NULL THEN s.known ELSE m.canonical END AS canonical, CASE WHEN s.known IS NOT NULL THEN s.known_score ELSE m.score END AS score
+    FROM marked s LEFT JOIN <<resolved>> m ON s.wanted = m.tag) WHERE canonical IS NOT NULL
 """
 
 
-def resolve(tags: DataFrame, terms: DataFrame) -> DataFrame:
-    """tag, canonical ('(none)' where it means no term), score (0 same key, 1 abbreviated, 1 + edits) of
-    every distinct value."""
+def _resolved(tags: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tag, canonical, score; tag, uses) of every distinct value.  Both are small beside the rows and read twice."""
     sql = run_sql
     refs = sql(REFERENCES, terms=terms.select("tag", "synonyms"))
     segments = sql(SEGMENTS_OF_REFERENCES, refs=refs)
-    distinct_values = sql(DISTINCT_VALUES, tags=tags.select("tag"))
+    distinct_values = cut_lineage(sql(DISTINCT_VALUES, tags=tags.select("tag")))
     parts = sql(PARTS_OF_VALUES, vals=sql(VALUES, distinct_values=spread(distinct_values)))  # small rows, much work for each
-    matches = cut_lineage(sql(MATCHES, parts=parts, segments=segments))  # read twice below
-    return sql(RESOLVED, matches=matches, distinct_values=distinct_values)
+    matches = cut_lineage(sql(MATCHES, parts=parts, segments=segments))
+    return sql(RESOLVED, matches=matches, distinct_values=distinct_values), distinct_values
+
+
+def resolve(tags: DataFrame, terms: DataFrame) -> DataFrame:
+    """tag, canonical ('(none)' where it means no term), score (0 same key, 1 abbreviated, 1 + edits) of
+    every distinct value."""
+    return _resolved(tags, terms)[0]
 
 
 def applied(doc_tags: DataFrame, terms: DataFrame) -> DataFrame:
     """doc_id, ord, tag, stored, canonical and score of each (doc_id, ord) with a value.  Repeated rows
     count once; of different rows with one key the greatest (tag, canonical) is taken."""
-    sql = run_sql
-    rows = sql("SELECT doc_id, ord, x.tag, x.canonical FROM (SELECT doc_id, ord, max(struct(tag, canonical)) AS x FROM <<t>> GROUP BY doc_id, ord)", t=doc_tags.select("doc_id", "ord", "tag", "canonical"))
-    return sql(APPLIED, rows=rows, resolved=resolve(doc_tags, terms))
+    resolved, values = _resolved(doc_tags, terms)
+    rows = run_sql("SELECT doc_id, ord, x.tag, x.canonical FROM (SELECT doc_id, ord, max(struct(tag, canonical)) AS x FROM <<t>> GROUP BY doc_id, ord)", t=doc_tags.select("doc_id", "ord", "tag", "canonical"))
+    return run_sql(APPLIED, rows=rows, resolved=resolved, distinct_values=values)
 
 
 def misplaced(doc_tags: DataFrame, terms: DataFrame) -> DataFrame:
