@@ -77,8 +77,7 @@ _MARK = regex.compile(r"[ \t　]*(?:[-*+•‣◦–—][ \t]+(?:\[[ xX]?\][ \t]
 _LINK = regex.compile(r"\[([^\[\]\n]*+)\]\([^()\n]*+\)")
 _CONTROL = regex.compile(r"<\|[^|>\s]*+\|>|[\p{So}\u200D\uFE0F]+\s*\Z")
 _URL = regex.compile(r"(?i)<?https?://[!-;=?-~]+>?|(?<![a-z0-9_.+-])[a-z0-9_.+-]++@[a-z0-9-]+(?:\.[a-z0-9-]+)+")
-_FINAL = regex.compile(r"[.!?…。！？｡．؟।។][\"'”’»«“」』）)\]]*\Z")
-_ASKS = regex.compile(r"[!?！？؟][\"'”’»«“」』）)\]]*\Z")
+_FINALS, _ASKS, _CLOSERS = frozenset(".!?…。！？｡．\u061F\u0964\u17D4"), frozenset("!?！？\u061F"), "\"'\u201D\u2019\u00BB\u00AB\u201C\u300D\u300F\uFF09)]"
 _PARTS = frozenset("/|·»›")
 _HEAD = regex.compile(r"[ \t]*#{1,6}\s")
 _PART = regex.compile(r"(?<!\s)\s+[·|»›→/–—•>~]+\s+|[,;、，；|•·]\s*|\t+|／")
@@ -219,13 +218,20 @@ def profiles(texts: list[str | None], sizes: list[int]) -> tuple[pd.DataFrame, l
     out["_damaged"] = total(moji | out_of_place, starts, ends)
     out["_letters"] = total(cls == 1, starts, ends)
     out["_solid"] = total(cls != 6, starts, ends)
-    out["_finals"] = total((raw & 8 > 0) & np.append(cls[1:] == 6, True), starts, ends)
+    out["_finals"] = total((raw & 8 > 0) & (np.append(cls[1:] == 6, True) | (cp >= 0x3002)), starts, ends)
+    kana = (cp >= 0x3041) & (cp <= 0x3096)
+    out["_hiragana"] = total(kana, starts, ends) / np.maximum(20, total(kana | (cp >= 0x30A1) & (cp <= 0x30FA) | (cp >= 0x3400) & (cp <= 0x9FFF), starts, ends))
     return out, lines, rows
 
 
 # -- rows ------------------------------------------------------------------------------------------
 
 
+def _last(s: str) -> str:
+    """The last character before closing marks and white space; '' if there is none."""
+    return s.rstrip().rstrip(_CLOSERS)[-1:]
+
+
 def _runs(ok: list[bool]) -> Iterator[tuple[int, int]]:
     k, n = 0, len(ok)
     while k < n:
@@ -241,7 +247,7 @@ def _runs(ok: list[bool]) -> Iterator[tuple[int, int]]:
 
 def _told(rows: list[str]) -> float:
     """Share of rows that read as sentences."""
-    return sum(score(r) > 0 and bool(_FINAL.search(r.rstrip())) for r in rows) / len(rows)
+    return sum(_last(r) in _FINALS and score(r) > 0 for r in rows) / len(rows)
 
 
 def _lag(x: list[int]) -> float:
@@ -346,6 +352,7 @@ def _odd_word(w: str) -> bool:
 def _junk_share(lines: list[str], f: dict[str, float]) -> float:
     """Share of characters that are damaged, encoded, random or left by machines."""
     body = "\n".join(lines)
+    plain_lines = not f["delimiter_alignment"] and "](" not in body  # the statistics are those of these lines
     if "](" in body:
         body = _LINK.sub(r"\1", body)
     body = body.strip()
@@ -364,7 +371,7 @@ def _junk_share(lines: list[str], f: dict[str, float]) -> float:
         share = max(share, sum(len(m.group()) for m in _TAG.finditer(body)) / n)
     if _LOG_HINT.search(body):
         share = max(share, sum(len(x) for x in lines if _LOG.search(x)) / max(1, sum(map(len, lines))))
-    letters = len(_LETTER.findall(body))
+    letters = int(f["_letters"]) if plain_lines else len(_LETTER.findall(body))
     if 2 * letters < n:  # symbols in place of letters
         marks = len(_rx(r"[\p{S}\p{P}]").findall(_rx(r"(?m)[|:]?[ \t]*-{2,}|^[ \t]*[-*+>#|]+|\|").sub(" ", body)))
         if marks > letters and letters + marks > 20 and len(_rx(r"\p{L}{3,}").findall(body)) < 3:
@@ -429,7 +436,8 @@ def score(s: str) -> float:
     p = _phrase(s)
     if not p:
         return -BASE
-    final = bool(_FINAL.search(p))
+    end = _last(p)
+    final = end in _FINALS
     words = [w for w in _WORD.findall(p.lower()) if not w.isdigit()]
     if not words:
         return -BASE
@@ -447,7 +455,7 @@ def score(s: str) -> float:
         size = min(len(words), letters / 4.5)
         common = len(_KO.findall(p)) if not p.isascii() and _HANGUL.search(p) else sum(w in _COMMON for w in words)
     parted = len(_rx(r"\s[/|·»›]\s").findall(p)) if _PARTS & set(p) else 0
-    return SIZE * min(size, 12) + FINAL * final + ASKED * bool(final and _ASKS.search(p)) + SHARED * min(common, 3) - PARTED * min(parted, 2) - BASE
+    return SIZE * min(size, 12) + FINAL * final + ASKED * (end in _ASKS) + SHARED * min(common, 3) - PARTED * min(parted, 2) - BASE
 
 
 def _in_a_row(s: str) -> int:
@@ -461,8 +469,8 @@ def _in_a_row(s: str) -> int:
 def kind_of(text: str, lines: list[str], rows: list[bool], f: dict[str, float]) -> str:
     """prose, list, table or junk, from a text's lines, which of them are rows, and its FEATURES."""
     if (
-        f["common_word_share"] >= 0.12 and f["delimiter_alignment"] == f["bullet_line_share"] == f["_damaged"] == 0 and f["symbol_ratio"] < 0.1 and f["digit_ratio"] < 0.1
-        and f["compressibility"] >= 0.5 and f["punctuated_line_share"] > 0.6 and f["short_line_share"] <= 0.34 and 3 <= f["n_words"] / max(1, f["_finals"]) <= 40
+        (f["common_word_share"] >= 0.12 or f["_hiragana"] >= 0.35) and f["delimiter_alignment"] == f["bullet_line_share"] == f["_damaged"] == 0 and f["symbol_ratio"] < 0.1 and f["digit_ratio"] < 0.1
+        and f["compressibility"] >= 0.5 and f["punctuated_line_share"] > 0.6 and f["short_line_share"] <= 0.34 and (3 <= f["n_words"] / max(1, f["_finals"]) <= 40 if f["common_word_share"] >= 0.12 else 8 <= f["_letters"] / max(1, f["_finals"]) <= 90)
     ):  # running text of common words with a final mark every few words
         return "prose"
     loose = [x for x, r in zip(lines, rows) if not r]
@@ -514,7 +522,8 @@ def kind_of(text: str, lines: list[str], rows: list[bool], f: dict[str, float])
             continue
         alone = len(spans) == 1
         if not alone:  # several final marks in one line: running text
-            with_next = ["\n" not in y[: len(y) - len(y.lstrip())] and bool(_FINAL.search(x)) and bool(_FINAL.search(y.rstrip())) for x, y in zip(spans, spans[1:])]
+            ended = [_last(x) in _FINALS for x in spans]
+            with_next = [a and b and "\n" not in y[: len(y) - len(y.lstrip())] for a, b, y in zip(ended, ended[1:], spans[1:])]
             scores = [y + RUNNING * (a or b) for y, a, b in zip(scores, [False, *with_next], [*with_next, False])]
         for x, y in zip(spans, scores):
             own = [z for z in x.split("\n") if z.strip()]
