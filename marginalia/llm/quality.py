@@ -219,6 +219,7 @@ def profiles(texts: list[str | None], sizes: list[int]) -> tuple[pd.DataFrame, l
     out["_letters"] = total(cls == 1, starts, ends)
     out["_solid"] = total(cls != 6, starts, ends)
     out["_finals"] = total((raw & 8 > 0) & (np.append(cls[1:] == 6, True) | (cp >= 0x3002)), starts, ends)
+    out["_parted"] = total(np.isin(cp, [ord(c) for c in ",;|·•、，；／"]), starts, ends) / np.maximum(1, n_words)
     kana = (cp >= 0x3041) & (cp <= 0x3096)
     out["_hiragana"] = total(kana, starts, ends) / np.maximum(20, total(kana | (cp >= 0x30A1) & (cp <= 0x30FA) | (cp >= 0x3400) & (cp <= 0x9FFF), starts, ends))
     return out, lines, rows
@@ -468,11 +469,11 @@ def _in_a_row(s: str) -> int:
 
 def kind_of(text: str, lines: list[str], rows: list[bool], f: dict[str, float]) -> str:
     """prose, list, table or junk, from a text's lines, which of them are rows, and its FEATURES."""
-    if (
-        (f["common_word_share"] >= 0.12 or f["_hiragana"] >= 0.35) and f["delimiter_alignment"] == f["bullet_line_share"] == f["_damaged"] == 0 and f["symbol_ratio"] < 0.1 and f["digit_ratio"] < 0.1
-        and f["compressibility"] >= 0.5 and f["punctuated_line_share"] > 0.6 and f["short_line_share"] <= 0.34 and (3 <= f["n_words"] / max(1, f["_finals"]) <= 40 if f["common_word_share"] >= 0.12 else 8 <= f["_letters"] / max(1, f["_finals"]) <= 90)
-    ):  # running text of common words with a final mark every few words
-        return "prose"
+    if f["delimiter_alignment"] == f["bullet_line_share"] == f["_damaged"] == 0 and f["symbol_ratio"] < 0.1 and f["digit_ratio"] < 0.1 and f["compressibility"] >= 0.5:
+        # running text of common words (or kana) with a final mark every few words
+        gap = f["n_words"] / f["_finals"] if f["common_word_share"] >= 0.08 and f["_finals"] else f["_letters"] / f["_finals"] / 2.4 if f["_hiragana"] >= 0.35 and f["_finals"] else 0
+        if f["_parted"] <= (0.16 if f["common_word_share"] >= 0.08 else 3.0) and 5.5 <= gap <= 18 or (3 <= gap <= 40 and f["punctuated_line_share"] > 0.6 and f["short_line_share"] <= 0.34):
+            return "prose"
     loose = [x for x, r in zip(lines, rows) if not r]
     size = sum(map(len, lines))
     if _junk_share(loose, f) * sum(map(len, loose)) > 0.5 * size:
