@@ -101,6 +101,7 @@ _CAMEL = regex.compile(r"\p{Ll}{1,2}\p{Lu}")
 _LETTER = regex.compile(r"\p{L}")
 _WORDLIKE = regex.compile(r"[\p{L}\p{N}]")
 _SEPARATOR = regex.compile(r"[\s\"“”„«»()（）「」『』\[\]]")
+_BEFORE = regex.compile(r"(?r)[\s\"“”„«»()（）「」『』\[\]]")
 _HIRAGANA = regex.compile(r"[ぁ-ゖー]")
 _KATAKANA = regex.compile(r"[ァ-ヶーｦ-ﾟ]")
 _CHUNK = regex.compile(f"(?:(?![ぁ-ゖ])[{_CJK}])*[ぁ-ゖ\u3099\u309A]*")
@@ -499,38 +500,49 @@ def _stop_costs(s: str, i: int, at: int, token: str, before: str, composed: bool
 
 
 def _stops(s: str, marks: list[tuple[int, int]]) -> set[int]:
-    """Those of the single full stops of a block that end a sentence: the cheapest path through all of them."""
-    if not marks:
-        return set()
-    seps = [-1, *(m.start() for m in _SEPARATOR.finditer(s))]
-    joint = [m.start() for m in _rx(r"[/@_\\=]|\w\.\w").finditer(s, overlapped=True)]
-    dots = [i for i, _ in marks]
-    path: list[tuple[float, float, bool, bool]] = []  # cost of end, cost of going on, and which came before each
-    before: tuple[int, str] = (-10, "")  # the stop before: where it is, and what it would be
+    """Those of the single full stops of a block that end a sentence: the cheapest path through all of them.  Stops that
+    aren't near the one before cost the same whatever that one is, so the path is that of each run of near ones."""
+    out: set[int] = set()
+    joint: list[int] | None = None
+    seen = token = 0
+    run: list[tuple[int, float, float, str, bool]] = []  # of near stops: position, costs, state, begins in lower case
     for n, (i, at) in enumerate(marks):
-        k = bisect_left(seps, i) - 1
-        begin = seps[k] + 1
-        j = bisect_left(joint, begin)
-        composed = j < len(joint) and joint[j] < i - (s[joint[j]] not in "/@_\\=") * 2
+        sep = _BEFORE.search(s, seen, i)  # what lies before the last stop has been looked at
+        token = sep.end() if sep else token
+        seen, begin = i, token
+        composed = False
+        if at < len(s) and not s[at].isspace():  # only then does it matter
+            if joint is None:
+                joint = [m.start() for m in _rx(r"[/@_\\=]|\w\.\w").finditer(s, overlapped=True)]
+            k = bisect_left(joint, begin)
+            composed = k < len(joint) and joint[k] < i - (s[joint[k]] not in "/@_\\=") * 2
+        first = begin
         if n >= 8:  # of a token with many stops the last parts tell all but whether it is composed
-            begin = max(begin, dots[n - 8])
-        end, on, state = _stop_costs(s, i, at, s[begin:i], s[seps[k] - 1 : seps[k]] if seps[k] > 0 else "", composed)
-        if not path:
-            path.append((end, on, True, True))
-        else:
-            e, o = path[-1][:2]
-            near = i - before[0] <= 4
-            # a sentence of one short token is rare; initials and parts of abbreviations come together
-            ee = e + end + (NEAR if near and s[begin : begin + 1].islower() else 0.0)
-            oo = o + on - (NEAR if near and state == before[1] != "inside" else 0.0)
-            oe, eo = o + end, e + on
-            path.append((min(ee, oe), min(eo, oo), ee < oe, eo < oo))
-        before = (i, state)
+            begin = max(begin, marks[n - 8][0])
+        end, on, state = _stop_costs(s, i, at, s[begin:i], s[first - 2 : first - 1] if first > 1 else "", composed)
+        if run and i - run[-1][0] > 4:
+            out |= _ends(run)
+            run = []
+        run.append((i, end, on, state, s[begin : begin + 1].islower()))
+    return out | _ends(run)
+
+
+def _ends(run: list[tuple[int, float, float, str, bool]]) -> set[int]:
+    """The ends on the cheapest path through stops near to each other: a sentence of one short token is rare, initials
+    and parts of abbreviations come together."""
+    if len(run) < 2:
+        return {i for i, end, on, _, _ in run if end < on}
+    path = [(run[0][1], run[0][2], True, True)]  # cost of end, cost of going on, and whether an end came before each
+    for (_, _, _, last, _), (_, end, on, state, low) in zip(run, run[1:]):
+        e, o = path[-1][:2]
+        ee, oe = e + end + NEAR * low, o + end
+        eo, oo = e + on, o + on - NEAR * (state == last != "inside")
+        path.append((min(ee, oe), min(eo, oo), ee < oe, eo < oo))
     out, ends = set(), path[-1][0] < path[-1][1]
-    for k in range(len(marks) - 1, -1, -1):
+    for (i, *_), step in zip(reversed(run), reversed(path)):
         if ends:
-            out.add(marks[k][0])
-        ends = path[k][2] if ends else path[k][3]
+            out.add(i)
+        ends = step[2] if ends else step[3]
     return out
 
 
