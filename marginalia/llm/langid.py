@@ -144,7 +144,10 @@ class CharModels:
         """Index of the language of each cleaned segment (-1: rejected), its confidence, and the log-likelihoods."""
         if not segments:
             return np.zeros(0, int), np.zeros(0), np.zeros((0, len(self.langs)))
-        ent, lens = self.entropy(segments)
+        order = {x: k for k, x in enumerate(dict.fromkeys(segments))}  # equal segments are scored once
+        ent, lens = self.entropy(list(order))
+        of = np.fromiter((order[x] for x in segments), np.int64, len(segments))
+        ent, lens = ent[of], lens[of]
         ll = -ent * lens[:, None]
         top = ll.argmax(1)
         conf = 1 / np.exp(np.clip(ll * 0.5 - (ll.max(1) * 0.5)[:, None], -700, 0)).sum(1)  # tempered: characters aren't independent
