@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as M
+from marginalia.sources import office
 
 # ---- fixed values ---------------------------------------------------------------------------------
 SKIPPED_DIRS = frozenset("node_modules bower_components jspm_packages __pycache__ site-packages".split())
@@ -227,69 +228,71 @@ def html_to_markdown(source: str) -> tuple[str, str | None]:
     )
     root = next((n for p in pick for n in all_ if p(n)), t.root)
     title = next((" ".join("".join(k for k in n.kids if isinstance(k, str)).split()) for n in all_ if n.tag == "title"), None)
-    md = _markdown(root, 0)
+    md = _markdown(root)
     md = re.sub(r"[ \t]+\n", "\n", md)
     md = re.sub(r"\n{3,}", "\n\n", md).strip()
     return md + "\n", title or None
 
 
-def _markdown(n, depth: int) -> str:
-    if isinstance(n, str):
-        return re.sub(r"\s+", " ", n)
-    if n.tag in CHROME or depth > 200:
-        return ""
-    inner = lambda: "".join(_markdown(k, depth + 1) for k in n.kids)
-    tag = n.tag
-    if m := re.fullmatch("h([1-6])", tag):
-        return f"\n\n{'#' * int(m[1])} {inner().strip()}\n\n"
-    if tag == "table":
-        return _table(n)
-    if tag == "br":
-        return "\n"
-    if tag == "hr":
-        return "\n\n---\n\n"
-    if tag in ("strong", "b"):
-        return f"**{x}**" if (x := inner().strip()) else ""
-    if tag in ("em", "i"):
-        return f"*{x}*" if (x := inner().strip()) else ""
-    if tag == "code" and n.parent.tag != "pre":
-        return f"`{_text(n)}`"
-    if tag == "pre":
-        return f"\n\n```\n{_text(n).strip(chr(10))}\n```\n\n"
+def _markdown(root) -> str:
+    """Children first, by a stack: pages of any depth."""
+    done: dict[int, str] = {}
+    stack = [(root, False)]
+    while stack:
+        n, ready = stack.pop()
+        if ready:
+            done[id(n)] = _own(n, [(k, re.sub(r"\s+", " ", k) if isinstance(k, str) else done.pop(id(k))) for k in n.kids])
+        elif n.tag in CHROME:
+            done[id(n)] = ""
+        elif n.tag == "table":
+            done[id(n)] = _table(n)
+        elif n.tag == "pre":
+            done[id(n)] = f"\n\n```\n{_text(n).strip(chr(10))}\n```\n\n"
+        elif n.tag == "code":
+            done[id(n)] = f"`{_text(n)}`"
+        else:
+            stack.append((n, True))
+            stack.extend((k, False) for k in n.kids if not isinstance(k, str))
+    return done[id(root)]
+
+
+#: Elements that are blocks of their own.
+_BLOCK_TAGS = frozenset("p div section article main body html dl dt dd figure figcaption li tr td".split())
+
+
+def _own(n: _Node, parts: list[tuple[object, str]]) -> str:
+    """Markdown of an element from that of its children."""
+    inner, tag = "".join(x for _, x in parts), n.tag
+    bare = inner.strip()
+    if tag in ("br", "hr"):
+        return "\n" if tag == "br" else "\n\n---\n\n"
+    if tag in ("strong", "b", "em", "i"):
+        mark = "**" if tag in ("strong", "b") else "*"
+        return f"{mark}{bare}{mark}" if bare else ""
     if tag == "a":
-        x = inner().strip()
-        return f"[{x}]({n.attrs['href']})" if x and n.attrs.get("href") else x
+        return f"[{bare}]({n.attrs['href']})" if bare and n.attrs.get("href") else bare
     if tag == "img":
         return f"![{n.attrs.get('alt') or ''}]({n.attrs.get('src') or ''})"
     if tag in ("ul", "ol"):
-        items = [k for k in n.kids if isinstance(k, _Node) and k.tag == "li"]
-        lines = []
-        for i, k in enumerate(items, 1):
-            body = "".join(_markdown(x, depth + 1) for x in k.kids).strip().replace("\n\n", "\n")
-            lines.append((f"{i}. " if tag == "ol" else "- ") + body.replace("\n", "\n  "))
-        return "\n\n" + "\n".join(lines) + "\n\n"
+        items = [x.strip().replace("\n\n", "\n").replace("\n", "\n  ") for k, x in parts if isinstance(k, _Node) and k.tag == "li"]
+        return "\n\n" + "\n".join((f"{i}. " if tag == "ol" else "- ") + x for i, x in enumerate(items, 1)) + "\n\n"
     if tag == "blockquote":
-        return "\n\n" + "\n".join("> " + x for x in inner().strip().split("\n")) + "\n\n"
-    if tag in ("p", "div", "section", "article", "main", "body", "html", "dl", "dt", "dd", "figure", "figcaption", "li", "tr", "td"):
-        return f"\n\n{inner().strip()}\n\n"
-    return inner()
+        return "\n\n" + "\n".join("> " + x for x in bare.split("\n")) + "\n\n"
+    if m := re.fullmatch("h([1-6])", tag):
+        return f"\n\n{'#' * int(m[1])} {bare}\n\n"
+    return f"\n\n{bare}\n\n" if tag in _BLOCK_TAGS else inner
 
 
 def _table(n: _Node) -> str:
     rows = []
-
-    def collect(x: _Node) -> None:
-        for k in x.kids:
-            if not isinstance(k, _Node):
-                continue
-            if k.tag == "tr":
-                cells = [" ".join(_text(c).split()).replace("|", "\\|") for c in k.kids if isinstance(c, _Node) and c.tag in ("td", "th")]
-                if cells:
-                    rows.append(cells)
-            elif k.tag != "table":
-                collect(k)
-
-    collect(n)
+    stack = [n]
+    while stack:
+        x = stack.pop()
+        if x.tag == "tr":
+            if cells := [" ".join(_text(c).split()).replace("|", "\\|") for c in x.kids if isinstance(c, _Node) and c.tag in ("td", "th")]:
+                rows.append(cells)
+        else:
+            stack.extend(k for k in reversed(x.kids) if isinstance(k, _Node) and k.tag != "table")
     width = max(map(len, rows), default=0)
     if not width:
         return ""
@@ -298,8 +301,8 @@ def _table(n: _Node) -> str:
 
 
 def convert(path: str, data: bytes) -> tuple[str | None, str | None, str | None]:
-    """(markdown, title, error) of a file.  HTML and text are converted here; other formats need a
-    converter that isn't installed."""
+    """(markdown, title, error) of a file.  HTML, text and office documents are converted by their formats; PDF and
+    images need a converter that isn't installed."""
     ext = path.rpartition(".")[2].lower()
     if len(data) > SOURCE_LIMIT:
         return None, None, "too large"
@@ -308,6 +311,12 @@ def convert(path: str, data: bytes) -> tuple[str | None, str | None, str | None]
         return md, title, None
     if ext in ("txt", "rst", "adoc"):
         return data.decode("utf-8", "replace"), None, None
+    readers = {"docx": office.docx, "pptx": office.pptx, "odt": office.odt, "odp": office.odp, "rtf": office.rtf, "epub": lambda d: office.epub(d, html_to_markdown)}
+    if ext in readers:
+        try:
+            return (*readers[ext](data), None)
+        except office.OfficeError as e:
+            return None, None, str(e)
     return None, None, f"no converter for {ext}"
 
 
@@ -398,7 +407,7 @@ def datasets(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict
         try:
             if ext in ("csv", "tsv"):
                 got = {tabular.table_name(path): tabular.read_delimited(spark, full, "\t" if ext == "tsv" else ",")}
-            elif ext in ("xlsx", "xlsm"):
+            elif ext in ("xlsx", "xlsm", "ods"):
                 got = tabular.read_workbook(spark, full)
             else:
                 skipped.append((path, f"no reader for {ext}"))

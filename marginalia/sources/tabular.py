@@ -8,6 +8,7 @@ import zipfile
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
+from marginalia.sources.office import ods_sheets
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def serial_date(x: float) -> str:
 def read_workbook(spark: SparkSession, path: str) -> dict[str, tuple[DataFrame, list[str]]]:
     """Tables of a workbook by name.  A workbook is one file of bounded size, read by one task."""
     data = bytes(spark.read.format("binaryFile").load(path).first()["content"])
-    sheets = read_xlsx(data)
+    sheets = ods_sheets(data) if path.lower().endswith(".ods") else read_xlsx(data)
     out = {}
     for name, rows in sheets:
         head = [str(x or "") for x in rows[0]]
