@@ -78,14 +78,18 @@ class Engine:
     def get(self, id: str, scope: Scope = EVERYTHING, **args) -> dict:
         return access.get(self.bundle, id, scope=scope, **args)
 
+    #: Rows of a listing that a call shows.
+    SHOWN = 5000
+
     def list(self, dir: str = ".", scope: Scope = EVERYTHING) -> dict:
         """The folder's index document if nothing is hidden, else a listing."""
         key = dir.strip("./")
         index = None if scope.restricted else self.bundle.docs.filter(F.col("id") == (f"{key}/index" if key else "index")).first()
         if index is not None:
             return {"dir": dir, "source": "index.md", "content": index["body"]}
-        rows = access.list_dir(self.bundle, dir, scope).orderBy("kind", "name").collect()
-        return {"dir": dir, "source": "generated", "content": "\n".join(f"- {r['name']}/ ({r['documents']})" if r["kind"] == "dir" else f"- {r['name']}: {r['title'] or ''}" for r in rows)}
+        rows = access.list_dir(self.bundle, dir, scope).orderBy("kind", "name").limit(self.SHOWN + 1).collect()
+        more, rows = len(rows) > self.SHOWN, rows[: self.SHOWN]
+        return {"dir": dir, "source": "generated", "truncated": more, "content": "\n".join(f"- {r['name']}/ ({r['documents']})" if r["kind"] == "dir" else f"- {r['name']}: {r['title'] or ''}" for r in rows)}
 
     def catalog(self, max_tokens: int = access.CATALOG_TOKENS, scope: Scope = EVERYTHING) -> dict:
         return access.catalog(self.bundle, max_tokens, scope)
@@ -96,7 +100,8 @@ class Engine:
             raise access.NotFound(id)
         links = access.resolve_wiki(self.bundle.links(), self.bundle.docs.select("id"))
         links = links.filter(F.col("target").isNull() | scope.path(F.coalesce("target", F.lit(""))))
-        return {"id": id, "outgoing": [r.asDict() for r in access.outgoing(links, self.bundle.docs, id).collect()], "backlinks": [r.asDict() for r in access.backlinks(links, seen, id).collect()]}
+        out, back = access.outgoing(links, self.bundle.docs, id).orderBy("line").limit(self.SHOWN + 1).collect(), access.backlinks(links, seen, id).orderBy("src", "line").limit(self.SHOWN + 1).collect()
+        return {"id": id, "outgoing": [r.asDict() for r in out[: self.SHOWN]], "backlinks": [r.asDict() for r in back[: self.SHOWN]], "truncated": max(len(out), len(back)) > self.SHOWN}
 
     def graph(self, limit: int = 2000, scope: Scope = EVERYTHING, filter: dict | None = None) -> dict:
         return access.graph(self.bundle, Q.request_of(filter) if filter else None, limit, scope)
@@ -115,7 +120,8 @@ class Engine:
         return {"target": target, "level": s["level"], "errors": s["errors"], "warnings": s["warnings"], "diagnostics": rows, "more": s["errors"] + s["warnings"] - len(rows)}
 
     def vocabulary(self) -> list[dict]:
-        return [r.asDict() for r in adopt.tag_groups(self.bundle.tags).orderBy(F.desc("documents"), "tag").collect()]
+        """The most used groups of tags; `adopt.tag_groups` has all of them."""
+        return [r.asDict() for r in adopt.tag_groups(self.bundle.tags).orderBy(F.desc("documents"), "tag").limit(self.SHOWN).collect()]
 
     # -- tables ------------------------------------------------------------------------------------
 

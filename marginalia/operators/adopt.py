@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,39 @@ def plan(b: Bundle, level: int = 1, today: str = "2026-01-01") -> DataFrame:
     return out.filter(F.size("generated") > 0)
 
 
+def adopted(b: Bundle, level: int = 1, today: str = "2026-01-01") -> Bundle:
+    """The collection as it would be with the plan carried out: fields filled, and a block where there was none.  Blocks
+    that can't be read stay as they are."""
+    filled = plan(b, level, today).drop("generated")
+    names = [c for c in filled.columns if c != "id"]
+    joined = b.docs.alias("d").join(filled.alias("f"), F.col("d.id") == F.col("f.id"), "left")
+    able = F.coalesce(F.col("d.fm_state").isin("valid", "absent"), F.lit(False))
+    cols = [
+        F.when(able, F.coalesce(F.col(f"f.{c}"), F.col(f"d.{c}"))).otherwise(F.col(f"d.{c}")).alias(c) if c in names else F.when(F.col("d.fm_state") == "absent", "valid").otherwise(F.col("d.fm_state")).alias(c) if c == "fm_state" else F.col(f"d.{c}")
+        for c in b.docs.columns
+    ]
+    return replace(b, docs=joined.select(*cols))
+
+
+def report(b: Bundle, level: int = 1, today: str = "2026-01-01") -> dict:
+    """What the plan would do: documents, fields filled, listings to write, descriptions too short to help, the level
+    before and after, and how many findings of each rule up to that level would remain."""
+    from marginalia.operators import lint
+
+    p = plan(b, level, today).select(F.explode("generated").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    changes = {r["field"]: r["n"] for r in p.collect()}
+    before = lint.summary(lint.lint(lint.Context(b)), level).first()
+    after = adopted(b, level, today)
+    listings = lint.index_plan(lint.Context(after)).select("folder").distinct().count()
+    # with the listings written no index is missing
+    left = lint.lint(lint.Context(after, disabled=frozenset({"missing-index", "stale-index"}))).filter(F.col("level") <= level)
+    remaining = {r["rule"]: r["findings"] for r in lint.counts(left).collect()}
+    return {
+        "documents": plan(b, level, today).count(), "changes": changes, "listings": listings, "level_before": before["level"], "level_after": lint.summary(left, level).first()["level"],
+        "weak_descriptions": remaining.get("description-too-short", 0), "remaining": remaining,
+    }
+
+
 @F.pandas_udf(T.StringType())
 def term_key(s):
     return s.map(lambda t: "-".join(terms_text(t)), na_action="ignore")

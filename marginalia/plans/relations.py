@@ -110,9 +110,9 @@ def j_supersedes(b):
 SCHEMA_ROWS = [("Contract", "customer", "string", True, []), ("Contract", "contract_value", "string", False, []), ("Policy", "region", "string", False, ["north", "south"])]
 
 
-@query("""SELECT rule, path, field FROM (SELECT 'schema-missing-field' AS rule, path, 'customer' AS field FROM n WHERE type = 'Contract' AND customer IS NULL
-    UNION ALL SELECT 'schema-wrong-type', path, 'contract_value' FROM n WHERE type = 'Contract' AND contract_value IS NOT NULL
-    UNION ALL SELECT 'schema-not-allowed', path, 'region' FROM n WHERE type = 'Policy' AND region IS NOT NULL AND region NOT IN ('north', 'south'))""")
+@query("""SELECT rule, path, field FROM (SELECT 'schema-missing-field' AS rule, path, 'customer' AS field FROM n WHERE fm_state = 'valid' AND type = 'Contract' AND customer IS NULL
+    UNION ALL SELECT 'schema-wrong-type', path, 'contract_value' FROM n WHERE fm_state = 'valid' AND type = 'Contract' AND contract_value IS NOT NULL
+    UNION ALL SELECT 'schema-not-allowed', path, 'region' FROM n WHERE fm_state = 'valid' AND type = 'Policy' AND region IS NOT NULL AND region NOT IN ('north', 'south'))""")
 def j_type_schema(b):
     from functools import reduce
 

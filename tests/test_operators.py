@@ -220,6 +220,10 @@ def test_lint(bundle, empty):
 def test_adopt(bundle):
     got = {r["id"]: r for r in adopt.plan(bundle, 2).collect()}
     assert got["f/only"]["title"] == "Only" and got["f/only"]["type"] == "Document" and set(got["f/only"]["generated"]) == {"type", "title", "status", "updated"}
+    r = adopt.report(bundle, 1)
+    assert r["changes"]["title"] == 1 and r["level_before"] == -1 and r["listings"] >= 2 and "missing-frontmatter" not in r["remaining"] and "invalid-frontmatter" in r["remaining"]
+    done = {x["id"]: x for x in adopt.adopted(bundle, 2).docs.collect()}
+    assert (done["f/only"]["title"], done["f/only"]["fm_state"], done["q"]["fm_state"], done["p/a"]["title"]) == ("Only", "valid", "invalid", "Alpha")
     g = {r["tag"]: r for r in adopt.tag_groups(bundle.tags).collect()}
     assert g["Safety_Rule"]["documents"] == 1 and g["Safety_Rule"]["variants"] == []
     text = "---\r\na: 1\r\nb:\r\n  - x\r\nc: 2\r\n---\r\nBody"
