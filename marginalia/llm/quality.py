@@ -306,9 +306,10 @@ def table_lines(lines: list[str]) -> list[bool]:
 # -- junk ------------------------------------------------------------------------------------------
 
 
-def _repeat_share(text: str, lines: list[str]) -> float:
+def _repeat_share(text: str, lines: list[str], packed: float) -> float:
     """Share of characters in lines, stretches or words that come again and again, or in one unit of any length
-    over and over (the period is the first that most characters agree with)."""
+    over and over (the period is the first that most characters agree with; looked for only where the text packs to
+    about a third, as such a text does)."""
     whole = sum(map(len, lines)) or 1
     best = 0.0
     if len(lines) >= 4:
@@ -330,10 +331,10 @@ def _repeat_share(text: str, lines: list[str]) -> float:
     for run in _rx(r"(?s)(.{1,12}?)\1{9,}").finditer(body):
         if run[1].strip() and not _rx(r"[-=_*|:.\s]+").fullmatch(run[1]):
             best = max(best, len(run.group()) / max(1, len(body)))
-    if best < 0.6 and len(body) >= 40:  # longer units: the smallest shift under which the text is nearly itself
+    if best < 0.6 and packed < 0.35 and len(body) >= 40:  # longer units: the smallest shift under which the text is nearly itself
         cp = np.frombuffer(body.encode("utf-32-le", "replace"), np.uint32)
-        for p in np.flatnonzero(cp[1 : len(cp) // 4 + 1] == cp[0])[:200] + 1:
-            if (cp[p:] == cp[:-p]).mean() > 0.95:
+        for p in np.flatnonzero(cp[1 : len(cp) // 4 + 1] == cp[0]) + 1:
+            if (cp[p : 2 * p] == cp[:p]).mean() > 0.9 and (cp[p:] == cp[:-p]).mean() > 0.95:
                 return 1.0
     return best
 
@@ -482,7 +483,7 @@ def kind_of(text: str, lines: list[str], rows: list[bool], f: dict[str, float])
         symbols = [x for x, r in zip(lines, rows) if r and not _rx(r"\w").search(x)]
         if symbols and _junk_share(symbols, f) * sum(map(len, symbols)) > 0.5 * size:
             return "junk"
-    if f["compressibility"] < 0.5 and _repeat_share(text, lines) > 0.6:
+    if f["compressibility"] < 0.5 and _repeat_share(text, lines, f["compressibility"]) > 0.6:
         return "junk"
     # what the layout says about lines that stand by themselves: even, recurring and periodic lines are entries
     regular = 0.0

@@ -42,8 +42,8 @@ class Piece:
 class _Costs:
     """Hundredths of any stretch of a text in constant time, also where it begins or ends inside a word."""
 
-    def __init__(self, text: str) -> None:
-        self.prefix = np.concatenate(([0], np.cumsum(costs(text))))
+    def __init__(self, text: str, each: np.ndarray | None = None) -> None:
+        self.prefix = np.concatenate(([0], np.cumsum(costs(text) if each is None else each)))
         k = class_codes(text)
         letter = (k == WORD_) | (k == MARKED_)
         run = letter | (k == DIGIT_)
@@ -96,11 +96,13 @@ def split_text(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP) ->
         raise ValueError("limit must be at least 2 and overlap below it")
     if not text:
         return []
-    cost = _Costs(text)
-    prefix = cost.prefix
+    each = costs(text)
+    whole = int(each.sum())
     n, most, share = len(text), limit * 100, overlap * 100
-    if prefix[-1] <= most:
-        return [Piece(0, n, int(-(-prefix[-1] // 100)), 0, "end")]
+    if whole <= most:
+        return [Piece(0, n, -(-whole // 100), 0, "end")]
+    cost = _Costs(text, each)
+    prefix = cost.prefix
     levels = boundaries(text)
     out: list[Piece] = []
     start, before = 0, 0
