@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ class Engine:
 
     @classmethod
     def open_testdata(cls, spark: SparkSession, folder: str) -> Engine:
-        return cls(from_testdata(spark, folder), reload=lambda: from_testdata(spark, folder))
+        """Tables that don't change; the rows in force and their tags are worked out once and kept."""
+        b = from_testdata(spark, folder)
+        return cls(replace(b, docs=cut_lineage(b.docs), tags=cut_lineage(b.tags)))
 
     @classmethod
     def open_folder(cls, spark: SparkSession, root: str, vocabulary: DataFrame | None = None, state: State | None = None, embedder: vectors.Embedder | None = None) -> Engine:

@@ -155,8 +155,10 @@ def facet_values(b: Bundle, docs: DataFrame, fields: list[str] | tuple[str, ...]
     parts = []
     if plain:
         named = lambda f: lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
-        each = F.flatten(F.array(*[F.transform(M.items(docs, f), named(f)) for f in plain]))
-        parts.append(docs.select(F.explode(each).alias("x")).select("x.field", "x.value").groupBy("field", "value").count())
+        own = F.array(*[named(f)(docs[f].cast("string")) for f in plain if M.is_column(docs, f)]) if any(M.is_column(docs, f) for f in plain) else None
+        lists = [F.transform(M.items(docs, f), named(f)) for f in plain if not M.is_column(docs, f)]
+        each = F.concat(*([own] if own is not None else []), *lists) if lists else own
+        parts.append(docs.select(F.explode(each).alias("x")).select("x.field", "x.value").filter("value is not null").groupBy("field", "value").count())
     if "tags" in fields:
         parts.append(docs.select(F.col("id").alias("doc_id")).join(b.tags.select("doc_id", "tag"), "doc_id").groupBy(F.col("tag").alias("value")).count().select(F.lit("tags").alias("field"), "value", "count"))
     empty = docs.sparkSession.createDataFrame([], "field string, value string, count bigint")
