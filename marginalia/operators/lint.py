@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.bundle import Bundle
 from marginalia.functions import columns as C
+from marginalia.functions import fields as metadata
 from marginalia.functions import markdown as M
 from marginalia.operators import access
 from marginalia.tables import cut_lineage
@@ -173,23 +174,28 @@ def _generated(c: Context) -> list[DataFrame]:
 
 
 def _schemas(c: Context) -> list[DataFrame]:
-    """Declared fields per type: the schemas are few rows."""
+    """Declared fields per type, all findings in one pass over the documents of these types.
+
+    The schemas are few rows, which the driver has read, and are sent to every task: documents are neither moved nor
+    joined with their own fields.
+    """
     if c.schemas is None:
         return []
-    # one row an item: each item of a list is held against the allowed values, the field itself against its kind
-    fields = c.bundle.fields().select("doc_id", "key", F.col("value_text").alias("v"), F.when(F.col("idx") > 0, "json").otherwise(F.col("value_type")).alias("t"))
-    j = c.usable.select(F.col("id").alias("doc_id"), "path", "type").join(c.schemas, "type").join(fields.withColumnRenamed("key", "field"), ["doc_id", "field"], "left")
-    kind = F.lower("kind")
+    per_type = c.schemas.groupBy("type").agg(F.collect_list(F.struct("field", "kind", "required", "allowed")).alias("declared"))
+    d = c.usable.join(F.broadcast(per_type), "type")
+    each = d.select("path", F.explode("declared").alias("s"), metadata.pairs(d).alias("pairs")).select("path", "s.*", F.try_element_at("pairs", F.col("s.field")).alias("v"))
+    # the field itself is held against its kind, each item of a list against the allowed values
+    x = each.select("path", "field", F.lower("kind").alias("kind"), "required", "allowed", metadata.kind_of(F.col("v")).alias("t"), metadata.item_texts(F.col("v")).alias("texts"))
+    kind, t, v = F.col("kind"), F.col("t"), F.get("texts", F.lit(0))
     fits = (
-        F.when(kind.isin("any", ""), True).when(kind.isin("number", "float"), F.col("t") == "number").when(kind.isin("integer", "int"), (F.col("t") == "number") & F.col("v").rlike(r"^-?\d+(\.0+)?$"))
-        .when(kind.isin("bool", "boolean"), F.col("t") == "bool").when(kind.isin("date", "datetime"), C.is_iso_date(F.col("v"))).when(kind.isin("list", "array", "map", "object"), F.col("t") == "json").otherwise(F.col("t") == "string")
+        F.when(kind.isin("any", ""), True).when(kind.isin("number", "float"), t == "number").when(kind.isin("integer", "int"), (t == "number") & v.rlike(r"^-?\d+(\.0+)?$"))
+        .when(kind.isin("bool", "boolean"), t == "bool").when(kind.isin("date", "datetime"), (t == "string") & C.is_iso_date(v)).when(kind.isin("list", "array"), t == "list").when(kind.isin("map", "object"), t == "map").otherwise(t == "string")
     )
-    path, msg = F.col("path"), F.col("field")
-    return [
-        diagnostic(j.filter("v is null and required"), "schema-missing-field", path, msg),
-        diagnostic(j.filter(F.col("v").isNotNull() & ~fits), "schema-wrong-type", path, msg),
-        diagnostic(j.filter(F.col("v").isNotNull() & fits & (F.size("allowed") > 0) & ~F.array_contains("allowed", F.col("v"))), "schema-not-allowed", path, msg),
-    ]
+    other = F.exists("texts", lambda i: ~F.array_contains("allowed", i))
+    mark = lambda code: F.struct(F.lit(code).alias("rule"), F.lit(RULES[code][0]).alias("level"), F.lit(RULES[code][1]).alias("severity"))
+    found = F.when(t.isNull(), F.when(F.col("required"), mark("schema-missing-field"))).when(~fits, mark("schema-wrong-type")).when((F.size("allowed") > 0) & other, mark("schema-not-allowed"))
+    rows = x.select("path", F.col("field").alias("message"), F.explode(F.array_compact(F.array(found))).alias("f"))
+    return [rows.select("f.rule", "f.level", "f.severity", "path", F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("field"), "message")]
 
 
 def _files(c: Context) -> list[DataFrame]:

@@ -217,6 +217,34 @@ def test_lint(bundle, empty):
     assert "missing-type" not in {r["rule"] for r in lint.lint(lint.Context(bundle, disabled=frozenset({"missing-type"}))).collect()}
 
 
+def test_type_schemas(spark):
+    blocks = [
+        ("a", "Guide", '{"area": ["N", "S"], "size": 2, "day": "2025-01-01", "more": {"x": 1}}'), ("b", "Guide", '{"area": "N", "name": ["Kim"], "size": 2.5, "more": [1]}'),
+        ("c", "Guide", '{"name": null, "area": ["N", null, 3], "size": 3, "day": 20250101}'), ("d", "Guide", '{"name": "Kim", "area": []}'), ("e", "Other", "{}"), ("f", "Guide", None),
+    ]
+    docs = spark.createDataFrame([(k, f"{k}.md", t, j, "valid" if j else "invalid", False) for k, t, j in blocks], "id string, path string, type string, frontmatter string, fm_state string, reserved boolean")
+    declared = [("Guide", "name", "string", True, []), ("Guide", "area", "list", True, ["N", "S"]), ("Guide", "size", "integer", False, ["1", "2"]), ("Guide", "day", "date", False, []), ("Guide", "more", "map", False, None)]
+    schemas = spark.createDataFrame(declared, "type string, field string, kind string, required boolean, allowed array<string>")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    parts = lint._schemas(lint.Context(Bundle(docs, None, None), schemas=schemas))
+    got = sorted((r["path"], r["rule"], r["message"]) for r in reduce(lambda a, b: a.unionByName(b), parts).collect())
+    assert got == [
+        ("a.md", "schema-missing-field", "name"),
+        ("b.md", "schema-wrong-type", "area"), ("b.md", "schema-wrong-type", "more"), ("b.md", "schema-wrong-type", "name"), ("b.md", "schema-wrong-type", "size"),
+        ("c.md", "schema-missing-field", "name"), ("c.md", "schema-not-allowed", "area"), ("c.md", "schema-not-allowed", "size"), ("c.md", "schema-wrong-type", "day"),
+    ]
+    try:  # the schemas are the only side that is sent to every task, whatever the documents' size
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = reduce(lambda a, b: a.unionByName(b), lint._schemas(lint.Context(Bundle(docs, None, None), schemas=schemas)))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan
+    plain = docs.drop("frontmatter").filter("id in ('a', 'e')").withColumns({"region": F.lit("east"), "contract_value": F.lit(3)})
+    declared = [("Guide", "region", "string", False, ["north"]), ("Guide", "contract_value", "string", False, []), ("Guide", "customer", "string", True, [])]
+    (found,) = lint._schemas(lint.Context(Bundle(plain, None, None), schemas=spark.createDataFrame(declared, schemas.schema)))
+    assert sorted((r["rule"], r["message"]) for r in found.collect()) == [("schema-missing-field", "customer"), ("schema-not-allowed", "region"), ("schema-wrong-type", "contract_value")]
+
+
 def test_adopt(bundle):
     got = {r["id"]: r for r in adopt.plan(bundle, 2).collect()}
     assert got["f/only"]["title"] == "Only" and got["f/only"]["type"] == "Document" and set(got["f/only"]["generated"]) == {"type", "title", "status", "updated"}
