@@ -381,6 +381,32 @@ def test_questions(spark):
     assert [r["q_id"] for r in sample.fresh_questions(q, spark.createDataFrame([("C?",)], "q string")).collect()] == [1]
 
 
+def test_copied_questions(spark):
+    import random
+    import time
+
+    def overlap(q, t, n, chars):  # all pairs of runs
+        runs = lambda x, k, sep: [sep.join(x[i : i + k]) for i in range(len(x) - k + 1)]
+        a, b = runs(q.split(" "), n, " "), runs(t.split(" "), n, " ")
+        c, d = runs(q.replace(" ", ""), sample.COPY_CHARS, ""), runs(t.replace(" ", ""), sample.COPY_CHARS, "")
+        return any(x == y for x in a for y in b) or chars and any(x == y for x in c for y in d)
+
+    r = random.Random(3)
+    for _ in range(3000):
+        q, t = (" ".join(r.choice(["a", "b", "ab", "箱", "ba箱"]) for _ in range(r.choice([0, 3, 6, 12, 20]))) for _ in "qt")
+        n, chars = r.choice([5, 8]), r.random() < 0.5
+        assert sample.shares_run(q, t, n, chars) == overlap(q, t, n, chars), (q, t, n, chars)
+    assert not sample.shares_run(None, "a b c d e", 5, True) and not sample.shares_run("a b c d e", None, 5, True)
+    # a long passage takes time in proportion to its length
+    words = [f"word{i}" for i in range(40_000)]
+    p = spark.createDataFrame([("k1", "en", "T", " ".join(words)), ("k2", "ja", "T", "".join(chr(0x4E00 + i * 7919 % 20_000) for i in range(40_000)))], "key string, lang string, title string, text string")
+    asked = [(1, "k1", "vague", "en", " ".join(words[-6:])), (2, "k1", "vague", "en", " ".join(words[-4:] + ["x", "y"])), (3, "k2", "vague", "ja", p.collect()[1]["text"][-13:]), (4, "k2", "vague", "ja", "箱をいつ調べますか"), (5, "k9", "vague", "en", " ".join(words[-6:]))]
+    began = time.monotonic()
+    got = {r["q_id"]: r["problems"] for r in sample.check_questions(spark.createDataFrame(asked, "q_id int, passage string, kind string, lang string, q string"), p, ["en", "ja"]).collect()}
+    assert got == {1: ["copies the passage"], 2: [], 3: ["copies the passage"], 4: [], 5: ["unknown passage"]}
+    assert time.monotonic() - began < 60
+
+
 def test_scores():
     base, tuned = {"r_at_1": 0.8, "cross": 0.7}, {"r_at_1": 0.82, "cross": 0.7}
     assert sample.gate(base, tuned, {"r_at_1": 0.9}, {"r_at_1": 0.89})["passed"]
